@@ -168,7 +168,7 @@ def identify(docs: DataFrame, model: TextModel, *, text: str = "text", declared:
     domains = votes.where("host IS NOT NULL").groupBy(domain_of(F.col("host")).alias("domain")).agg(_plus(_counts(classes), flat, PRIOR_ROWS).alias("domain_prior"))
     hosts = (
         votes.where("host IS NOT NULL").groupBy("host").agg(_counts(classes).alias("c")).withColumn("domain", domain_of(F.col("host")))
-        .join(domains, "domain").select("host", F.transform(_plus(F.col("c"), F.col("domain_prior"), PRIOR_ROWS), F.log).alias("host_logs"))
+        .join(domains, "domain").select("host", F.transform(_plus(F.col("c"), F.col("domain_prior"), PRIOR_ROWS), lambda x: F.log(x)).alias("host_logs"))
     )
 
     def ratio(by: str) -> DataFrame:
@@ -180,7 +180,7 @@ def identify(docs: DataFrame, model: TextModel, *, text: str = "text", declared:
     out = _join(evidence(True), hosts, "host")
     for by, used in (("said", declared), ("suffix", url)):
         out = _join(out, ratio(by), by) if used else out.withColumn(f"{by}_logs", nothing)
-    total = F.coalesce(F.col("host_logs"), F.transform(flat, F.log))
+    total = F.coalesce(F.col("host_logs"), F.transform(flat, lambda x: F.log(x)))
     for c in ("t.logs", "said_logs", "suffix_logs"):
         total = F.zip_with(total, F.coalesce(F.col(c), nothing), lambda a, b: a + b)
     top = F.array_max("logs")
