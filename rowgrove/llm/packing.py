@@ -129,3 +129,10 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
+
+
+def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: sequences of the documents that are left."""
+    import public_tokenizers
+
+    return pack_documents(docs, public_tokenizers.path(VOCABULARY))
