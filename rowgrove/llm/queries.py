@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat_format, collision_search, decontamination, language_id, packing, quality, simhash, token_counts, url_rules
+from . import chat_format, collision_search, decontamination, html_extract, language_id, packing, quality, simhash, token_counts, url_rules
 
 QUERIES = {
+    "op1_html_extract": html_extract.op1_html_extract,
     "op2_token_counts": token_counts.op2_token_counts,
     "op3_chat_format": chat_format.op3_chat_format,
     "op5_url_rules": url_rules.op5_url_rules,
