@@ -27,8 +27,17 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
+#: Rows in an Arrow batch of documents: a batch and its copies stay small beside a worker's memory, whole texts included.
+BATCH_SETTING, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1_000
+
+
 def ship(spark: SparkSession) -> None:
-    """Make this package importable in Python workers that don't have it on their path."""
+    """Make this package importable in Python workers that don't have it on their path, and keep Arrow batches small.
+
+    A batch size that the session has set itself stays.
+    """
+    if spark.conf.get(BATCH_SETTING) == "10000":
+        spark.conf.set(BATCH_SETTING, str(BATCH_ROWS))
     sc = spark.sparkContext
     on_path = {os.path.realpath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p}
     if str(_ROOT) in on_path or sc.applicationId in _shipped or not (_ROOT / "rowgrove").is_dir():

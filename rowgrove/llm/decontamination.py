@@ -28,7 +28,7 @@ from .common import ship, table
 
 WINDOW = 10
 #: Text of a shard in bytes, about; the bits that hold a position in a shard.
-SHARD_BYTES = 6 << 20
+SHARD_BYTES = 2 << 20
 #: Every so many positions of a shard, the suffix position is kept.
 SAMPLE = 16
 #: Benchmark text in one block, at most about (a block is broadcast).
@@ -42,7 +42,7 @@ _LOWER[65:91] += 32
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
-@functools.lru_cache(maxsize=2)
+@functools.lru_cache(maxsize=1)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the hash's base and of its inverse, modulo 2**64."""
     inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -54,7 +54,7 @@ def hashed_words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     inside = np.concatenate(([False], _WORD[data], [False]))
     edges = np.flatnonzero(inside[1:] != inside[:-1])
     starts, ends = edges[::2], edges[1::2]
-    power, inverse = _powers(1 << max(16, int(len(data)).bit_length()))
+    power, inverse = _powers(1 << max(21, int(len(data)).bit_length()))
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)])))
     return starts, ends, (sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64)
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import ship, table
-from .vocab import ids_engine
+from .vocab import ids_engine, merges_agree
 
 VOCABULARY = "byte_bpe_50k.json"
 CAPACITY = 2048
@@ -107,6 +107,8 @@ def pack_documents(
     Returns, per piece: key, start, length, ids_crc32, doc_tokens, sequence_id, offset.
     """
     ship(docs.sparkSession)
+    if not merges_agree(path):
+        raise ValueError(f"{path}: some vocabulary strings don't encode alone, so merging by rank isn't proven")
     key_type = docs.schema[key].dataType.simpleString()
     groups = max(1, -(-docs.count() // group_pieces))
     pieces = cut_documents(docs, path, key=key, text=text, capacity=capacity, end_id=end_id)

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import ship, table
-from .vocab import OUTSIDE_AGREED, ids_engine, library, pieces_of_text, proven_words
+from .vocab import OUTSIDE_AGREED, ids_engine, library, merges_agree, pieces_of_text, whole_words
 
 VOCABULARY = "byte_bpe_50k.json"
 LIMIT = 1024
@@ -31,7 +31,7 @@ class _Counts(dict):
     """Tokens of a pre-token: 1 for the proven, merged once for the rest."""
 
     def __init__(self, path: str):
-        super().__init__(dict.fromkeys(proven_words(path), 1))
+        super().__init__(dict.fromkeys(whole_words(path), 1))
         self.start = len(self)
         self.path = path
         self.merge = ids_engine(path)._core_bpe.encode_single_piece
@@ -39,23 +39,32 @@ class _Counts(dict):
     def __missing__(self, piece: str) -> int:
         if len(self) - self.start > REMEMBERED:
             self.clear()
-            self.update(dict.fromkeys(proven_words(self.path), 1))
+            self.update(dict.fromkeys(whole_words(self.path), 1))
         n = self[piece] = len(self.merge(piece.encode("utf-8")))
         return n
 
 
-def counter(path: str):
+def has_shortcut(path: str) -> bool:
+    """Whether the whole-token shortcut is proven for the tokenizer file ``path``."""
+    if path.endswith(".model"):
+        return False
+    try:
+        return merges_agree(path)
+    except ValueError:
+        return False
+
+
+def counter(path: str, shortcut: bool):
     """A function from text to its token count under the tokenizer file ``path`` (.json or .model)."""
     if path.endswith(".model"):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         return lambda text: len(model.encode(text))
-    try:
-        engine = ids_engine(path)
-    except ValueError:  # another kind of vocabulary: the library itself
+    if not shortcut:  # another kind of vocabulary: the library itself
         plain = library(path)
         return lambda text: len(plain.encode(text, add_special_tokens=False).ids)
+    engine = ids_engine(path)
     counts = _Counts(path)
     pattern, special = pieces_of_text(path)
 
@@ -72,10 +81,11 @@ def counter(path: str):
 
 def token_count(text: Column, path: str) -> Column:
     """Tokens of ``text``, 0 for null."""
+    shortcut = has_shortcut(path)
 
     @F.pandas_udf("long")
     def counted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        count = counter(path)
+        count = counter(path, shortcut)
         for texts in batches:
             yield pd.Series([count(x) if x else 0 for x in texts], dtype="int64")
 

@@ -1,9 +1,9 @@
 """Byte-level BPE vocabularies in Python workers: proof of whole tokens, merges, ids.
 
-``proven_words`` proves, by asking the tokenizer library about each vocabulary string alone, which strings encode
-as their own single id. Where every merged string passes, merging by rank (tiktoken) gives the library's ids for any
+``merges_agree`` proves, by asking the tokenizer library about each vocabulary string alone, that every one encodes
+as its own single id. Where all pass, merging by rank (tiktoken) gives the library's ids for any
 text: boundaries that stand until a merge of rank r enclose a stretch that develops as it would alone, so the only pair
-that can form a proven string is the pair of its listed merge. ``ids_engine`` relies on that and checks it first.
+that can form a proven string is the pair of its listed merge. ``ids_engine`` relies on that, so callers check it first.
 """
 
 from __future__ import annotations
@@ -40,7 +40,6 @@ def _bytes(word: str) -> bytes:
     return bytes(table[c] for c in word)
 
 
-@functools.lru_cache(maxsize=4)
 def _parts(path: str) -> tuple[dict[str, int], dict[str, int]]:
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
@@ -50,24 +49,23 @@ def _parts(path: str) -> tuple[dict[str, int], dict[str, int]]:
 
 
 @functools.lru_cache(maxsize=4)
-def proven_words(path: str) -> frozenset[str]:
-    """Texts of the vocabulary strings that, alone, encode as exactly their own id (strings that aren't whole UTF-8 can't be pre-tokens)."""
-    words, _ = _parts(path)
-    model = library(path).model
+def whole_words(path: str) -> frozenset[str]:
+    """Vocabulary strings as texts, where ``merges_agree``: each encodes alone as one token. Those that aren't whole UTF-8 can't be pre-tokens."""
     found = set()
-    for word, number in words.items():
-        ids = model.tokenize(word)
-        if len(ids) == 1 and ids[0].id == number:
-            try:
-                found.add(_bytes(word).decode("utf-8"))
-            except UnicodeDecodeError:
-                continue
+    for word in _parts(path)[0]:
+        try:
+            found.add(_bytes(word).decode("utf-8"))
+        except UnicodeDecodeError:
+            continue
     return frozenset(found)
 
 
 @functools.lru_cache(maxsize=4)
 def merges_agree(path: str) -> bool:
-    """Whether every vocabulary string is proven, so that merging by rank equals merging by the listed pairs."""
+    """Whether every vocabulary string is proven, so that merging by rank equals merging by the listed pairs.
+
+    This is the offline proof: the driver asks once per file before it plans a query; workers don't load the library for it.
+    """
     words, _ = _parts(path)
     model = library(path).model
     return all([t.id for t in model.tokenize(word)] == [number] for word, number in words.items())
@@ -75,16 +73,13 @@ def merges_agree(path: str) -> bool:
 
 @functools.lru_cache(maxsize=4)
 def ids_engine(path: str):
-    """A merge engine with the library's ids for whole texts, special strings included."""
+    """A merge engine that has the library's ids for whole texts, special strings included, where ``merges_agree``."""
     import public_tokenizers
     import tiktoken
 
     words, special = _parts(path)
-    if not merges_agree(path):
-        raise ValueError(f"{path}: some vocabulary strings don't encode alone, so ranks don't stand for merges")
-    return tiktoken.Encoding(
-        "by-rank", pat_str=public_tokenizers.PATTERN, mergeable_ranks={_bytes(w): n for w, n in words.items()}, special_tokens=special
-    )
+    ranks = {_bytes(w): n for w, n in words.items()}
+    return tiktoken.Encoding("by-rank", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
 @functools.lru_cache(maxsize=4)
@@ -93,6 +88,6 @@ def pieces_of_text(path: str):
     import public_tokenizers
     import regex
 
-    _, special = _parts(path)
+    special = _parts(path)[1]
     split = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True)))) if special else None
     return regex.compile(public_tokenizers.PATTERN), split
