@@ -1,6 +1,6 @@
 r"""Chat formatting by schema fingerprints, in DataFrame functions alone.
 
-A record's nested field paths are written as a structure such as ``{messages:[{content,role}]}`` and hashed. The hash
+A record's nested field paths are written as a structure such as ``OBJECT<messages:ARRAY<OBJECT<content,role>>>`` and hashed. The hash
 selects a declared mapping, which turns prompts, instructions or message lists into canonical turns (role, text);
 the turns are rendered with ``<|im_start|>`` and ``<|im_end|>`` marks and a loss mask over assistant texts.
 ``fingerprint_of_schema`` serves records held as typed columns, ``fingerprint_of_json`` records held as JSON text, row by row.
@@ -61,7 +61,7 @@ LAYOUTS = (
 
 
 def structure_of_paths(paths) -> str:
-    """Canonical structure of nested field paths: ``a[].b`` and ``a[].c`` give ``{a:[{b,c}]}``."""
+    """Canonical structure of nested field paths: ``a[].b`` and ``a[].c`` give ``OBJECT<a:ARRAY<OBJECT<b,c>>>``."""
     tree: dict = {}
     for path in paths:
         node = tree
@@ -73,8 +73,8 @@ def structure_of_paths(paths) -> str:
         for name in sorted(node, key=lambda x: x.removesuffix("[]")):
             below = render(node[name]) if node[name] else ""
             bare = name.removesuffix("[]")
-            out.append(f"{bare}:[{below}]" if name.endswith("[]") else f"{bare}:{below}" if below else bare)
-        return "{" + ",".join(out) + "}"
+            out.append(f"{bare}:ARRAY<{below}>" if name.endswith("[]") else f"{bare}:{below}" if below else bare)
+        return "OBJECT<" + ",".join(out) + ">"
 
     return render(tree)
 
@@ -99,13 +99,10 @@ def fingerprint_of_schema(kind: T.DataType) -> str:
 def fingerprint_of_json(record: Column) -> Column:
     """Fingerprint of one JSON record, null if it isn't JSON: the inferred type without the types of its leaves."""
     kind = F.schema_of_variant(F.try_parse_json(record))
-    bare = F.regexp_replace(kind, r": (?!OBJECT<|ARRAY<)[A-Z]+(\([0-9, ]*\))?", "")
-    bare = F.regexp_replace(bare, "ARRAY<(?!OBJECT|ARRAY)[A-Z]+(\\([0-9, ]*\\))?>", "[]")
+    bare = F.regexp_replace(kind, r": (?!OBJECT<|ARRAY<)[A-Z_]+(\([0-9, ]*\))?", "")
+    bare = F.regexp_replace(bare, r"ARRAY<(?!OBJECT<|ARRAY<)[A-Z_]+(\([0-9, ]*\))?>", "ARRAY<>")
     for old, new in ((": ", ":"), (", ", ","), ("`", "")):
         bare = F.replace(bare, F.lit(old), F.lit(new))
-    # Angle brackets close in the order in which they open, so the two kinds of > are told apart from the inside out.
-    bare = F.replace(F.replace(bare, F.lit("ARRAY<OBJECT<"), F.lit("[{")), F.lit("OBJECT<"), F.lit("{"))
-    bare = F.replace(F.replace(bare, F.lit(">>>"), F.lit("}]}")), F.lit(">"), F.lit("}"))
     return F.substring(F.sha2(bare, 256), 1, 16)
 
 
@@ -132,6 +129,10 @@ def _turn(role: Column, text: Column) -> Column:
     return F.struct(role.alias("role"), F.coalesce(text, F.lit("")).alias("text"))
 
 
+def _messages(raw: Column, layout: Layout, role: str, text: str) -> Column:
+    return F.transform(raw, lambda m: _turn(_canonical(m[role], layout), m[text]))
+
+
 def _fields(layout: Layout, get) -> Column:
     """Turns of a layout of single fields; an optional second field (an input) is left out where it is empty."""
     return F.array(*[_turn(F.lit(role), F.concat_ws("\n", *[F.nullif(get(n), F.lit("")) for n in names])) for role, names in layout.fields])
@@ -144,8 +145,7 @@ def turns_of_struct(record: Column, kind: T.StructType, layouts=LAYOUTS) -> tupl
         return F.lit(None).cast("string"), F.lit(None).cast(TURNS)
     if found.messages:
         at, role, text = found.messages
-        turns = F.transform(record[at], lambda m: _turn(_canonical(m[role], found), m[text]))
-        return F.lit(found.name), F.coalesce(turns, F.array().cast(TURNS))
+        return F.lit(found.name), F.coalesce(_messages(record[at], found, role, text), F.array().cast(TURNS))
     return F.lit(found.name), _fields(found, lambda n: record[n])
 
 
@@ -157,7 +157,7 @@ def turns_of_json(record: Column, layouts=LAYOUTS) -> tuple[Column, Column]:
         if x.messages:
             at, role, text = x.messages
             raw = F.variant_get(value, f"$.{at}", f"array<struct<`{role}`:string,`{text}`:string>>")
-            made = F.transform(raw, lambda m, x=x, role=role, text=text: _turn(_canonical(m[role], x), m[text]))
+            made = _messages(raw, x, role, text)
         else:
             made = _fields(x, lambda n: F.variant_get(value, f"$.{n}", "string"))
         name = F.when(fingerprint == x.fingerprint, F.lit(x.name)).otherwise(name)
