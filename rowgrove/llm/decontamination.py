@@ -124,9 +124,11 @@ class WaveletMatrix:
 
 
 class FMIndex:
-    """Index over symbols in which 0 is a sentinel, different at each place and ordered by place."""
+    """Index over symbols in which 0 is a sentinel, different at each place and ordered by place; the last symbol is one."""
 
     def __init__(self, text: np.ndarray, most_symbol: int):
+        if not len(text) or text[-1]:
+            raise ValueError("a text ends with a sentinel")
         n = self.n = len(text)
         order = self._suffixes(text, most_symbol)
         before = np.where(order > 0, text[order - 1], 0)
