@@ -48,13 +48,13 @@ def test_foreign_and_letterless_texts_are_not_accepted(spark, docs, docs_of):
     assert lang.identify(df.where("false"), model, declared="lang", host="source").count() == 0
 
 
-def test_host_declaration_and_suffix_decide_what_text_leaves_open(spark, docs):
-    model = lang.fit(docs, rows=500)
-    some = docs.where("lang IN ('de', 'fr')").limit(300)
-    row = lambda text, said, host: F.struct(text.alias("text"), said.alias("said"), F.concat(F.lit("https://"), host, F.lit("/x")).alias("url"))
-    known = some.select(row(F.col("text"), F.col("lang"), F.concat(F.lit("www.site."), F.col("lang"))).alias("r")).select("r.*")
-    open_ = spark.createDataFrame([("e", None, "https://other.de/y"), ("e", None, "https://other.fr/y"), ("e", "fr", None), ("e", "de", None), ("e", None, "https://www.site.fr/z")], "text string, said string, url string")
-    found = lang.identify(known.union(open_), model, declared="said", url="url").where("row.text = 'e'")
+def test_host_declaration_and_suffix_decide_what_text_leaves_open(spark):
+    said = {"de": "der die und das mit", "fr": "les une est pas leur"}
+    model = lang.fit_texts([t for t in said.values() for _ in range(40)], [k for k in said for _ in range(40)])
+    known = [(said[k], k, f"https://www.site.{k}/x") for k in said for _ in range(60)]
+    open_ = [("o", None, "https://other.de/y"), ("o", None, "https://other.fr/y"), ("o", "fr", None), ("o", "de", None), ("o", None, "https://www.site.fr/z")]
+    df = spark.createDataFrame(known + open_, "text string, said string, url string")
+    found = lang.identify(df, model, declared="said", url="url").where("row.text = 'o'")
     got = {(r.row.said, r.row.url): r.lang for r in found.collect()}
     assert got == {(None, "https://other.de/y"): "de", (None, "https://other.fr/y"): "fr", ("fr", None): "fr", ("de", None): "de", (None, "https://www.site.fr/z"): "fr"}
 
@@ -77,7 +77,7 @@ def test_stage_keeps_columns(spark, docs):
 def test_linear_model_and_calibration():
     rng = np.random.default_rng(0)
     y = rng.integers(0, 2, 600).astype(float)
-    rows = [["good"] * (rng.random() < 0.1 + 0.8 * v) + [f"w{int(rng.integers(40))}"] for v in y]
+    rows = [["good"] * int(rng.random() < 0.1 + 0.8 * v) + [f"w{int(rng.integers(40))}"] for v in y]
     model = q.fit_linear(rows, y, np.ones(600), 4)
     z = np.array([model.raw(r) for r in rows])
     assert ((z > 0) == (y > 0)).mean() > 0.8
@@ -93,9 +93,9 @@ def test_views_teach_each_other():
 
     def rows(n, known):
         y = rng.integers(0, 2, n).astype(float)
-        return [[f"t{int(v)}", f"x{int(rng.integers(5))}"] for v in y], [[f"m{int(v)}{int(rng.integers(12 if known else 24))}"] for v in y], y
+        return [[f"t{int(v)}", *(f"x{n}" for n in rng.integers(0, 10**6, 30))] for v in y], [[f"m{int(v)}{int(rng.integers(12 if known else 24))}"] for v in y], y
 
-    (one, two, y), (pool_one, pool_two, _) = rows(90, True), rows(1500, False)
+    (one, two, y), (pool_one, pool_two, _) = rows(900, True), rows(1500, False)
     test = [[f"m{v}{k}"] for v in (0, 1) for k in range(12, 24)]
     alone = q.cotrain(one, two, y, [], [], rounds=1).views[1]
     taught = q.cotrain(one, two, y, pool_one, pool_two).views[1]
