@@ -80,7 +80,10 @@ class Maker:
         out = []
         if self.chance(0.8):
             tag = self.pick(["h1", "h1", "h2"])
-            out.append(f"<{tag}>{self.main_text(self.sentence(1, 12))}</{tag}>")
+            title = f"<{tag}>{self.main_text(self.sentence(1, 12))}</{tag}>"
+            if self.chance(0.15):  # an article's own header holds its title
+                title = f"<header>{title}{f'<p>{self.main_text(self.prose(1, 2))}</p>' if self.chance(0.4) else ''}</header>"
+            out.append(title)
         untidy = self.chance(0.4)
         for _ in range(int(self.r.integers(1, self.pick([4, 8, 24])))):
             kind = self.r.random()
@@ -94,11 +97,11 @@ class Maker:
                 out.append(f"<p><b>{text}<br>" if untidy and self.chance(0.3) else f"<p>{text}" if untidy and self.chance(0.3) else f"<p>{text}</p>")
             elif kind < 0.91:
                 out.append(f"<h{self.pick([2, 3])}>{self.main_text(self.sentence(1, 6))}</h{self.pick([2, 3])}>")
-            elif kind < 0.95:
+            elif kind < 0.935:
                 tag = self.pick(["ul", "ol"])
                 out.append(f"<{tag}>" + "".join(f"<li>{self.main_text(self.sentence(1, 9))}</li>" for _ in range(int(self.r.integers(2, 6)))) + f"</{tag}>")
             elif kind < 0.98:
-                out.append(f"<blockquote>{text}</blockquote>")
+                out.append(self.pick([f"<blockquote>{text}</blockquote>", f"<pre>{text}</pre>", f"<figure><img><figcaption>{text}</figcaption></figure>", f"<dl><dt>{self.main_text(self.word())}</dt><dd>{text}</dd></dl>", f"<div>{text}</div>", f"<section><p>{text}</p></section>"]))
             else:
                 out.append("<table>" + "".join(f"<tr><td>{self.main_text(self.word())}</td><td>{self.main_text(self.word())}</td></tr>" for _ in range(3)) + "</table>")
         for part, p in ((self.advert, 0.25), (self.aside, 0.12), (self.menu, 0.08), (self.talk, 0.12), (self.form, 0.06), (self.notice, 0.06)):
@@ -136,7 +139,7 @@ class Maker:
     def advert(self) -> str:
         body = self.pick([self.prose(1, 3), self.label(ADVERT), f"<p>{self.label(ADVERT)}</p><p>{self.prose(1, 3)}</p>", self.link(self.sentence(1, 6))])
         comment = f"<!-- ad {int(self.r.integers(9))} -->" if self.chance(0.4) else ""
-        return f"{comment}<{(t := self.pick(['div', 'div', 'section', 'aside']))}{self.attributes(AD_NAMES)}>{body}</{t}>"
+        return f"{comment}<{(t := self.pick(['div', 'div', 'section', 'aside'] if '<p' in body else ['div', 'div', 'section', 'p']))}{self.attributes(AD_NAMES)}>{body}</{t}>"
 
     def notice(self) -> str:
         body = self.pick([f"<p>{self.label(NOTICE)}. {self.prose(1, 3)}</p>", self.label(NOTICE), f"<p>{self.prose(1, 3)}</p><button>{self.label(FORM)}</button>"])

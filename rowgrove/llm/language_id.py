@@ -98,9 +98,9 @@ def fit_texts(texts: list[str], languages: list[str]) -> TextModel:
 
 def fit(docs: DataFrame, *, key: str = "doc_id", text: str = "text", declared: str = "lang", rows: int = TRAIN_ROWS) -> TextModel:
     """Fit the text models on at most ``rows`` rows with a declared language, chosen by a hash of the key."""
-    known = docs.where(F.col(declared).isNotNull() & (F.trim(declared) != "") & F.col(text).isNotNull())
+    known = docs.where(F.col(declared).isNotNull() & (F.trim(declared) != ""))
     share = max(1, known.select(key).count() // max(1, rows))
-    sample = known.where(F.pmod(F.xxhash64(F.col(key)), F.lit(share)) == 0).select(text, declared).limit(rows).toPandas()
+    sample = known.where((F.pmod(F.xxhash64(F.col(key)), F.lit(share)) == 0) & F.col(text).isNotNull()).select(text, declared).limit(rows).toPandas()
     return fit_texts(sample[text].tolist(), sample[declared].tolist())
 
 
