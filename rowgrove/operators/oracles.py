@@ -96,7 +96,7 @@ ORACLES: dict[str, str] = {
     "footer_column_chunks": """SELECT CAST(0 AS BIGINT) AS row_group, c AS col, n AS "column", (SELECT count(*) FROM orders) AS num_values, true AS start_ok, true AS length_ok
  FROM (VALUES (CAST(0 AS BIGINT), 'o_orderkey'), (1, 'o_custkey'), (2, 'o_orderstatus'), (3, 'o_totalprice'), (4, 'o_orderdate'), (5, 'o_orderpriority')) AS v(c, n)""",
     "footer_source": "SELECT count(*) AS num_rows, CAST(1 AS BIGINT) AS num_row_groups, CAST(6 AS BIGINT) AS num_columns FROM orders",
-    "row_group_source": f"WITH {_CUSTOMERS} SELECT ord // 300 AS rg, ord AS position, c_custkey, c_name FROM o WHERE ord // 300 IN (1, 3)",
+    "row_group_source": f"WITH {_CUSTOMERS} SELECT ord // 30 AS rg, ord AS position, c_custkey, c_name FROM o WHERE ord // 30 IN (1, 3)",
     "raw_chunk_bytes": "SELECT CAST(0 AS BIGINT) AS row_group, n AS \"column\", true AS whole FROM (VALUES ('s_suppkey'), ('s_name'), ('s_nationkey'), ('s_acctbal')) AS v(n)",
     "byte_ranges": "SELECT h AS is_head, 'PAR1' AS magic FROM (VALUES (true), (false)) AS v(h)",
     "split_row_groups": f"WITH {_ORDERS} SELECT ord, o_orderkey, o_totalprice FROM g WHERE rg = 2",

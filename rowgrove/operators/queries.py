@@ -245,10 +245,10 @@ def assemble_in_memory(spark, d):
 # Writers and footers
 
 
-def _written(spark, d) -> str:
+def _written(spark, d, rows: int = 300) -> str:
     to = scratch(spark, "written")
     df = _scan(spark, d, "customer").drop("file")
-    writer.write_row_groups(df, to, 300, order=["ord"], columns=df.columns)
+    writer.write_row_groups(df, to, rows, order=["ord"], columns=df.columns)
     return to
 
 
@@ -309,7 +309,7 @@ def footer_source(spark, d):
 
 def row_group_source(spark, d):
     footer.register(spark)
-    to = _written(spark, d)
+    to = _written(spark, d, 30)
     found = spark.read.format("rowgrove_row_groups").option("row_groups", "1,3").option("columns", "c_custkey,c_name").load(to)
     return found.select("rg", F.col("ord").alias("position"), "c_custkey", "c_name")
 
