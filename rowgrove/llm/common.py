@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import tempfile
 import zipfile
@@ -59,3 +60,22 @@ def reliable(df: DataFrame) -> DataFrame:
         named = spark.conf.get("spark.checkpoint.dir", None)
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="rowgrove-checkpoint-"))
     return df.checkpoint(eager=True)
+
+
+def relieve() -> None:
+    """In a Python worker: give freed memory back to the system, since several workers share an executor's allowance."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    if (trim := _malloc_trim()) is not None:
+        trim(0)
+
+
+@functools.lru_cache(maxsize=1)
+def _malloc_trim():
+    import ctypes
+
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):  # another C library
+        return None

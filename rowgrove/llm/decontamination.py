@@ -24,11 +24,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ship, table
+from .common import relieve, ship, table
 
 WINDOW = 10
 #: Text of a shard in bytes, about; the bits that hold a position in a shard.
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 1 << 20
 #: Every so many positions of a shard, the suffix position is kept.
 SAMPLE = 16
 #: Benchmark text in one block, at most about (a block is broadcast).
@@ -54,7 +54,7 @@ def hashed_words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     inside = np.concatenate(([False], _WORD[data], [False]))
     edges = np.flatnonzero(inside[1:] != inside[:-1])
     starts, ends = edges[::2], edges[1::2]
-    power, inverse = _powers(1 << max(21, int(len(data)).bit_length()))
+    power, inverse = _powers(1 << max(20, int(len(data)).bit_length()))
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)])))
     return starts, ends, (sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64)
 
@@ -323,6 +323,7 @@ def found_phrases(text: Column, held) -> Column:
             rows = [r for a, b in shards(texts) for r in search_shard(texts[a:b], phrases)]
             spans = [[{"start": s, "end": e} for s, e in r[1]] for r in rows]
             yield pd.DataFrame({"n_words": [r[0] for r in rows], "spans": spans, "items": [r[2] for r in rows]}, columns=["n_words", "spans", "items"])
+            relieve()
 
     return search(text)
 

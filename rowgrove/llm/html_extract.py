@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import html_lstm
-from .common import ship, table
+from .common import relieve, ship, table
 from .html_blocks import Block, Features, blocks_of
 
 MAIN = 0.5
@@ -65,6 +65,7 @@ def main_text(html: Column) -> Column:
         features = Features()
         for series in batches:
             yield pd.Series([t for a in range(0, len(series), 1000) for t in main_texts(series.iloc[a : a + 1000].tolist(), features)], dtype=object)
+            relieve()
 
     return extracted(html)
 

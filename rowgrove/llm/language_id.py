@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import reliable, ship, table
+from .common import reliable, relieve, ship, table
 
 UNKNOWN = "und"
 #: Most rows that the text models are fitted on.
@@ -38,7 +38,7 @@ PSEUDO = 1.0
 MIN_POSTERIOR = 0.6
 #: Evidence tables up to this many rows (about 200 bytes each) are broadcast, larger ones are joined by a shuffle.
 BROADCAST_ROWS = 100_000
-SLICE = 1 << 20
+SLICE = 1 << 18
 
 _FOLD = np.arange(256, dtype=np.uint32)
 _FOLD[:128] = 32
@@ -112,6 +112,7 @@ def text_evidence(text: Column, model: TextModel) -> Column:
         for texts in batches:
             n, logs = model.scores(texts.tolist())
             yield pd.DataFrame({"n": n, "logs": list(logs / (1.0 + n / SATURATION)[:, None])})
+            relieve()
 
     return scored(text)
 

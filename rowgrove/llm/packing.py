@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ship, table
+from .common import relieve, ship, table
 from .vocab import ids_engine, merges_agree
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -95,6 +95,7 @@ def cut_documents(docs: DataFrame, path: str, *, key: str, text: str, capacity:
         engine = ids_engine(path)
         for texts in batches:
             yield pd.Series([pieces_of(np.append(engine.encode_to_numpy(x or "", allowed_special="all"), np.uint32(end_id)), capacity) for x in texts], dtype=object)
+            relieve()
 
     return docs.select(F.col(key).alias("doc"), F.explode(cut(F.coalesce(F.col(text), F.lit("")))).alias("piece")).select("doc", "piece.*")
 

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import reliable, ship, table
+from .common import reliable, relieve, ship, table
 
 SHINGLE_WORDS = 4
 SEED = 42
@@ -63,6 +63,7 @@ def fingerprints(text: Column) -> Column:
     def printed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series(np.array([fingerprint(x) for x in texts], np.uint64).view(np.int64))
+            relieve()
 
     return printed(text)
 
