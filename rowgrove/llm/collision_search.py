@@ -9,7 +9,7 @@ would still miss is what the collision threshold misses.
 Blocks of vectors meet blocks of queries (a stated query set): rows of vectors are dealt by a hash into blocks of a fixed expected size, and each
 query block's results are merged by a grouped top-k. Nothing is collected.
 
-Defined results: vectors that are null, empty, zero, or hold null or non-finite components take no part, as queries or candidates; vectors of another
+Defined results: rows without an id and vectors that are null, empty, zero, or hold null or non-finite components take no part, as queries or candidates; vectors of another
 dimension than the query's are no candidates; rows with the query's id are its own; ties go to the smaller id; repeated candidate rows count once; with fewer candidates than
 asked for all are returned; an empty table gives an empty result; other columns are ignored.
 """
@@ -107,7 +107,7 @@ def nearest(vectors: DataFrame, is_query, *, key: str = "vec_id", vector: str =
     blocks, asks = max(1, -(-rows // block_rows)), max(1, -(-asking // query_rows))
     block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
     ask = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(asks)).cast("int")
-    candidates = usable.withColumn("block", block).withColumn("ask", F.explode(F.array(*[F.lit(i) for i in range(asks)])) if asks > 1 else F.lit(0))
+    candidates = usable.withColumn("block", block).withColumn("ask", F.explode(F.sequence(F.lit(0), F.lit(asks - 1))) if asks > 1 else F.lit(0))
     questions = usable.where("asks").withColumn("ask", ask).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def search(these: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:

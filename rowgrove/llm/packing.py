@@ -7,8 +7,8 @@ node the largest remaining room below it, so finding the first fit and updating
 
 Padding: full pieces waste nothing, and remainders share sequences; a group can leave one sparsely filled sequence.
 Defined results: a null or empty text is a document of the end id alone; any length is packed whole; an empty table gives
-an empty result; repeated rows are packed once each; ties in length go by (document, start, crc); other columns are
-ignored. Rows are pieces, so ids are never lost: each lies in exactly one piece.
+an empty result; repeated rows are packed once each; ties in length go by (document, start, crc); null
+keys are keys; other columns are ignored. Rows are pieces, so ids are never lost: each lies in exactly one piece.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -116,16 +117,15 @@ def pack_documents(
     # A full piece needs no partner: its sequence is its own, so only what is below capacity is grouped by chance.
     grouped = pieces.withColumn("grp", F.pmod(F.xxhash64(F.lit(seed), "doc", "start", "ids_crc32"), F.lit(groups)))
 
-    def pack(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["doc", "start", "ids_crc32"], kind="stable", ignore_index=True)
+    def pack(group: pa.Table) -> pa.Table:  # an Arrow table keeps null keys and large ones exact
+        group = group.sort_by([("doc", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")])
         sequence, offset = first_fit_decreasing(group["length"].to_numpy(), capacity)
-        out = group.rename(columns={"doc": key})
-        out["sequence_id"] = (group["grp"].to_numpy(np.int64) << 32) + sequence
-        out["offset"] = offset
-        return out[[key, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]]
+        numbers = (group["grp"].to_numpy().astype(np.int64) << 32) + sequence
+        columns = [group["doc"], *(group[c] for c in ("start", "length", "ids_crc32", "doc_tokens")), pa.array(numbers, pa.int64()), pa.array(offset, pa.int64())]
+        return pa.table(columns, names=[key, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
     schema = f"`{key}` {key_type}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    return grouped.groupBy("grp").applyInPandas(pack, schema)
+    return grouped.groupBy("grp").applyInArrow(pack, schema)
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,8 @@ Tasks return spanning links only, and stars are contracted until components stan
 
 Defined results: null, empty and blank texts have fingerprint zero and are linked like any other; fewer than four words are
 one shingle; repeated rows each get their row; an empty table gives an empty result; columns other than key and text are ignored
-(the pipeline stage carries them unchanged). Keys are integers without nulls.
+(the pipeline stage carries them unchanged). Keys are integers; rows with a null key take part with their fingerprint, but name no component,
+and have a null one where no row of their fingerprint has a key; the pipeline stage keeps them.
 """
 
 from __future__ import annotations
@@ -226,7 +227,8 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     ship(docs.sparkSession)
     printed = reliable(docs.select(F.col(key).cast("long").alias("key"), fingerprints(F.col(text)).alias("print")))
     distinct = reliable(printed.groupBy("print").agg(F.min("key").alias("rep")))
-    found = components(spanning_links(distinct, distinct.count(), most))
+    keyed = distinct.where("rep IS NOT NULL")
+    found = components(spanning_links(keyed, keyed.count(), most))
     owner = distinct.join(found, F.col("rep") == F.col("node"), "left").select("print", F.coalesce("component", "rep").alias("component_id"))
     return printed.join(owner, "print").select(F.col("key").alias(key), "print", "component_id")
 
@@ -234,9 +236,12 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
 def keep_one_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the document of smallest id of each component stays (once, if its row is repeated)."""
     found = near_duplicates(docs)
-    stay = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n"))
-    kept = docs.join(stay.select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
-    return kept if stay.where("n > 1").isEmpty() else kept.dropDuplicates(["doc_id"])
+    go = found.where("doc_id <> component_id").select("doc_id").distinct()
+    kept = docs.join(go, "doc_id", "left_anti").select(*docs.columns)
+    stay = found.where("doc_id = component_id")
+    if stay.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        return kept
+    return kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).union(kept.where("doc_id IS NULL"))
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

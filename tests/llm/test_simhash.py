@@ -94,5 +94,9 @@ def test_edges(spark, docs_of):
     got = {r.doc_id: r.component_id for r in s.near_duplicates(df).collect()}
     assert got == {0: 0, 1: 0, 2: 0, 3: 3, 4: 3, 5: 3, 6: 6}
     assert s.near_duplicates(df.where("false")).count() == 0
+    keyless = df.withColumn("doc_id", s.F.lit(None).cast("long")).where("text LIKE 'same%' OR text LIKE 'quite%'")
+    more = keyless.union(keyless.limit(1).withColumn("text", s.F.lit("only here without a key")))
+    assert sorted((str(r.doc_id), str(r.component_id)) for r in s.near_duplicates(df.union(more)).where("doc_id IS NULL").collect()) == [("None", "3"), ("None", "3"), ("None", "6"), ("None", "None")]
+    assert s.keep_one_each(spark, df.union(df).union(more), "").count() == 7
     kept = s.keep_one_each(spark, df.union(df), "")
     assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [0, 3, 6]

@@ -129,6 +129,13 @@ def test_packing_edges_and_groups(docs_of):
     assert len({r.sequence_id >> 32 for r in many}) == 8
 
 
+def test_null_and_large_keys(docs_of):
+    from pyspark.sql import functions as F
+
+    df = docs_of(["one", "two", "three"]).withColumn("doc_id", F.when(F.col("doc_id") > 0, F.col("doc_id") + F.lit(2**60 + 1)))
+    assert {r.doc_id for r in packing.pack_documents(df, PATH).collect()} == {None, 2**60 + 2, 2**60 + 3}
+
+
 def test_repeated_rows_are_packed_each(docs_of):
     df = docs_of(["one two", "three"])
     rows = packing.pack_documents(df.union(df), PATH).collect()
