@@ -33,6 +33,8 @@ WORD = re.compile(r"[^\W_]+")
 DIGIT = re.compile(r"\d")
 
 PATH_BUCKETS, WORD_BUCKETS, FIGURES = 1024, 1024, 14
+#: Characters beyond which a block is no longer any longer to the labeller (its text is still taken whole).
+LONG = 3_000
 
 
 @dataclass
@@ -177,7 +179,7 @@ class Features:
             count = text.count(" ") + 1
             signs = sum(map(text.count, ".,!?;:"))
             figures[i] = (
-                np.log1p(size) / 6, np.log1p(count) / 5, min(1.0, b.link_chars / size), min(1.0, 8 * signs / size), text[-1] in ".!?…", text[:1].isupper(),
+                np.log1p(min(size, LONG)) / 6, np.log1p(min(count, LONG / 6)) / 5, min(1.0, b.link_chars / size), min(1.0, 8 * signs / size), text[-1] in ".!?…", text[:1].isupper(),
                 bool(DIGIT.search(text)), "p" in tags, "li" in tags, not tags.isdisjoint(("h1", "h2", "h3", "h4", "h5", "h6")), len(b.path) / 10,
                 i / n, (n - i) / n, text[:1] in "©" or "©" in text,
             )

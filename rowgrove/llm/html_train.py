@@ -87,7 +87,7 @@ class Maker:
         untidy = self.chance(0.4)
         for _ in range(int(self.r.integers(1, self.pick([4, 8, 24])))):
             kind = self.r.random()
-            text = self.sentence(1, 4) if kind < 0.25 else self.prose()
+            text = self.sentence(1, 4) if kind < 0.25 else self.prose(20, 90) if kind < 0.27 else self.prose()
             if self.chance(0.07) and not self.plain:  # articles, too, speak of licences, offers and cookies
                 text = self.pick([*FOOT, *NOTICE, *ADVERT, *TALK]) + " " + (self.sentence(1, 9) if self.chance(0.7) else f"{self.word()} 4.0.")
             text = self.main_text(text)
@@ -178,6 +178,8 @@ class Maker:
         self.plain = self.chance(0.12)
         before = [f() for f, p in ((self.notice, 0.25), (self.header, 0.5), (self.menu, 0.85), (self.advert, 0.5), (self.form, 0.15), (self.aside, 0.2)) if self.chance(p)]
         after = [f() for f, p in ((self.advert, 0.2), (self.talk, 0.35), (self.aside, 0.35), (self.form, 0.25), (self.menu, 0.2), (self.footer, 0.85), (self.notice, 0.1)) if self.chance(p)]
+        if self.chance(0.08):  # a page of its article alone
+            before, after = [], []
         main = f"<{tag}{name if tag in ('article', 'main') or not self.plain else ''}>{self.article()}</{tag}>"
         if self.chance(0.3):
             main = f"<div{self.attributes(['container', 'wrapper', 'page', 'row', 'layout', 'outer'])}>{main}{after.pop(0) if after and self.chance(0.5) else ''}</div>"
