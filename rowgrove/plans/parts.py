@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.shipping import ship
+
 # Limits of multipart object stores.
 MIN_PART_BYTES = 5 * 1024 * 1024
 MAX_PARTS = 10_000
@@ -48,6 +50,7 @@ def plan_table(chunks: DataFrame, wanted: int, min_bytes: int = MIN_PART_BYTES)
         cuts = plan_parts(wanted, ends, min_bytes) or []
         return pd.DataFrame({"file": group["file"].iloc[0], "n": range(len(cuts)), "cut": cuts})
 
+    ship(chunks.sparkSession)
     return chunks.select("file", "start_off", "sz").groupBy("file").applyInPandas(plan, "file string, n long, cut long")
 
 

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.shipping import ship
 from .ordinals import ORD, POS, RG
 
 KEYS = ("file", RG)
@@ -41,6 +42,7 @@ def process_row_groups(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame]
     def ordered(group: pd.DataFrame) -> pd.DataFrame:
         return fn(group.sort_values(ORD, kind="stable", ignore_index=True))
 
+    ship(df.sparkSession)
     return df.groupBy(*_keys(df)).applyInPandas(ordered, schema)
 
 
@@ -51,6 +53,7 @@ def process_chunks(df: DataFrame, columns: list[str], fn: Callable[[int, str, pd
         group = group.sort_values(ORD, kind="stable", ignore_index=True)
         return pd.concat([fn(int(group[RG].iloc[0]), c, group[c]) for c in columns], ignore_index=True)
 
+    ship(df.sparkSession)
     kept = [c for c in dict.fromkeys([*_keys(df), ORD, POS, *columns]) if c in df.columns]
     return df.select(*kept).groupBy(*_keys(df)).applyInPandas(chunks, schema)
 

@@ -19,6 +19,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.window import Window
 
 from ..functions.paths import uri
+from ..functions.shipping import ship
 from .thrift import read_struct
 
 MAGIC = b"PAR1"
@@ -128,6 +129,7 @@ def footers(spark: SparkSession, path: str, relation: str = "files") -> DataFram
     """One of ``RELATIONS`` for every file under ``path``."""
     if relation not in RELATIONS:
         raise FooterError(f"no relation {relation}: one of {', '.join(RELATIONS)}")
+    ship(spark)
     schema = RELATIONS[relation]
     names = [c.split(" ")[0] for c in schema.split(", ")]
 
@@ -336,5 +338,6 @@ class _RowGroupReader(DataSourceReader):
 
 def register(spark: SparkSession) -> None:
     """Make both data sources known to the session."""
+    ship(spark)
     for source in (FooterSource, RowGroupSource):
         spark.dataSource.register(source)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.schema import SchemaError, require, same_columns, validate_flat_schema
+from ..functions.shipping import ship
 
 CODECS = {"none": "uncompressed", "uncompressed": "uncompressed", "snappy": "snappy", "zstd": "zstd"}
 ZSTD_LEVEL = 2
@@ -110,6 +111,7 @@ def assemble_bytes(df: DataFrame, group: str, order: str, *, codec: str = "zstd"
 
     out = pa.schema([("num_rows", pa.int64()), ("num_row_groups", pa.int64()), ("length", pa.int64()), ("content", pa.binary())])
     validate_flat_schema(schema)
+    ship(df.sparkSession)
     ready = df.repartition(1).sortWithinPartitions(group, order)
     return ready.mapInArrow(build, "num_rows long, num_row_groups long, length long, content binary")
 
