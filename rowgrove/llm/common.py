@@ -3,20 +3,16 @@
 from __future__ import annotations
 
 import functools
-import os
 import tempfile
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.shipping import ship as ship_code
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
-_ROOT = Path(__file__).resolve().parents[2]
-_shipped: set[str] = set()
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table ``name`` under ``sf_dir``, whatever store the path is in."""
@@ -39,17 +35,7 @@ def ship(spark: SparkSession) -> None:
     """
     if spark.conf.get(BATCH_SETTING) == "10000":
         spark.conf.set(BATCH_SETTING, str(BATCH_ROWS))
-    sc = spark.sparkContext
-    on_path = {os.path.realpath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p}
-    if str(_ROOT) in on_path or sc.applicationId in _shipped or not (_ROOT / "rowgrove").is_dir():
-        return
-    archive = os.path.join(tempfile.mkdtemp(prefix="rowgrove-code-"), "rowgrove_code.zip")
-    with zipfile.ZipFile(archive, "w") as z:
-        for f in sorted((_ROOT / "rowgrove").rglob("*")):
-            if f.suffix in {".py", ".npz"}:
-                z.write(f, f.relative_to(_ROOT))
-    sc.addPyFile(archive)
-    _shipped.add(sc.applicationId)
+    ship_code(spark)
 
 
 def reliable(df: DataFrame) -> DataFrame:
