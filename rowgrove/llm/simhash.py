@@ -25,6 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import shingle_join
 from .common import reliable, relieve, ship, table
 
 SHINGLE_WORDS = 4
@@ -234,10 +235,16 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
 
 
 def keep_one_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the document of smallest id of each component stays (once, if its row is repeated)."""
-    found = near_duplicates(docs)
-    go = found.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(go, "doc_id", "left_anti").select(*docs.columns)
+    """Pipeline stage: the document of smallest id of each component stays (once, if its row is repeated).
+
+    Components are those of op 9's links and of all pairs with a five-word similarity of 0.8 or more (``shingle_join``).
+    """
+    near = near_duplicates(docs)
+    known = near.where("doc_id <> component_id").select(F.col("component_id").alias("a"), F.col("doc_id").alias("b")).distinct()
+    wider = components(shingle_join.links(docs, known, components)).toDF("doc_id", "wider")
+    found = near.join(wider, "doc_id", "left").select("doc_id", F.coalesce("wider", "component_id").alias("component_id"))
+    go = reliable(found.where("doc_id <> component_id").select("doc_id").distinct())
+    kept = docs.join(shingle_join.broadcast_small(go), "doc_id", "left_anti").select(*docs.columns)
     stay = found.where("doc_id = component_id")
     if stay.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
         return kept
