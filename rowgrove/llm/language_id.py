@@ -5,7 +5,8 @@ counted over all rows by grouped aggregation: how far a declared language (marku
 suffix says, and the languages of a host, smoothed hierarchically (host towards domain, domain towards the whole corpus).
 A class ``und`` with a flat model takes texts that no trained language explains.
 
-The text models are fitted on at most ``TRAIN_ROWS`` rows with a declared language; every other count covers all rows.
+Every language declared on a text with letters is a class. The text models are fitted on at most ``TRAIN_ROWS`` rows (or ``LANGUAGE_ROWS`` of each
+language); every other count covers all rows.
 
 Defined results: a text without letters (null, empty, digits) is ``und`` and not accepted, whatever is declared; missing
 evidence (null host, suffix or declaration) is neutral; ties go to the first language in alphabetical order; repeated rows each get
@@ -19,14 +20,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import reliable, relieve, ship, table
 
 UNKNOWN = "und"
-#: Most rows that the text models are fitted on.
-TRAIN_ROWS = 4_000
+#: Most rows that the text models are fitted on, shared equally by the languages; rows of each language that are taken however many languages there are.
+TRAIN_ROWS, LANGUAGE_ROWS = 4_000, 50
+#: What a text needs to have trigrams.
+LETTER = r"[A-Za-z\x{80}-\x{10FFFF}]"
 #: Size of the hashed trigram space, smoothing of its counts.
 BUCKET_BITS = 15
 TRIGRAM_PSEUDO = 0.1
@@ -97,11 +100,20 @@ def fit_texts(texts: list[str], languages: list[str]) -> TextModel:
 
 
 def fit(docs: DataFrame, *, key: str = "doc_id", text: str = "text", declared: str = "lang", rows: int = TRAIN_ROWS) -> TextModel:
-    """Fit the text models on at most ``rows`` rows with a declared language, chosen by a hash of the key."""
-    known = docs.where(F.col(declared).isNotNull() & (F.trim(declared) != ""))
-    share = max(1, known.select(key).count() // max(1, rows))
-    sample = known.where((F.pmod(F.xxhash64(F.col(key)), F.lit(share)) == 0) & F.col(text).isNotNull()).select(text, declared).limit(rows).toPandas()
-    return fit_texts(sample[text].tolist(), sample[declared].tolist())
+    """Fit the text models of all declared languages on at most ``rows`` rows, or ``LANGUAGE_ROWS`` of each language where that is more.
+
+    The languages are counted over all rows; of each, the rows whose key has the smallest hash are taken.
+    """
+    known = docs.where(F.col(declared).isNotNull() & (F.trim(declared) != "") & F.col(text).rlike(LETTER))
+    known = known.select(F.col(declared).alias("said"), F.col(text).alias("text"), F.xxhash64(F.col(key)).alias("hash"))
+    most = max(LANGUAGE_ROWS, rows // max(1, known.select("said").distinct().count()))
+    # Hashes alone are ranked first; texts are ranked only up to the last hash of their language.
+    turn = Window.partitionBy("said")
+    ranked = known.select("said", "hash").withColumn("turn", F.row_number().over(turn.orderBy("hash"))).where(F.col("turn") <= most)
+    last = ranked.groupBy("said").agg(F.max("hash").alias("last"))
+    near = known.join(F.broadcast(last), "said").where("hash <= last")
+    sample = near.withColumn("turn", F.row_number().over(turn.orderBy("hash", "text"))).where(F.col("turn") <= most).select("text", "said").toPandas()
+    return fit_texts(sample["text"].tolist(), sample["said"].tolist())
 
 
 def text_evidence(text: Column, model: TextModel) -> Column:
