@@ -1,8 +1,9 @@
 """HTML pages as sequences of leaf blocks with tag paths, and the features of a block.
 
 A block is the text between two block-level tags. Inline tags don't end one, ``<br>`` is white space, character references are
-decoded, white space becomes one space. The head, scripts, styles, templates and comments hold no blocks. Unclosed and
-crossed tags are tolerated: an end tag without its start is ignored, and a start tag closes what it implies.
+decoded, white space becomes one space. The head, scripts, styles, templates, drawings and comments hold no blocks. Unclosed and
+crossed tags are tolerated: an end tag without its start is ignored, and a start tag closes what it implies. Of an unclosed element
+that would hold no blocks only the tag is skipped (a script or style reaches to the end).
 """
 
 from __future__ import annotations
@@ -16,10 +17,13 @@ import numpy as np
 
 # Element names of HTML.
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br".split()
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br object canvas math mi mn mo ms mtext mspace mrow mfrac"
+    " msqrt mroot mstyle mpadded mphantom msub msup msubsup munder mover munderover mmultiscripts semantics annotation".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea svg math iframe object canvas title select".split())
+RAW = frozenset("script style noscript template textarea svg iframe title select".split())
+#: Raw elements that may hold their own kind; raw elements that reach to the page's end where they aren't closed.
+NESTING, ENDLESS = frozenset("noscript template svg select".split()), frozenset("script style".split())
 #: Start tags that end an open element of the same or a listed kind, up to the enclosing list or table.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 LIMITS = frozenset("ul ol dl table body article section div main aside nav header footer form".split())
@@ -59,6 +63,18 @@ def _names(attributes: str) -> str:
     return " ".join(dict.fromkeys(out))
 
 
+def _ends(page: str, name: str) -> dict[int, int]:
+    """Where the content of each element of this name ends, by where it begins; those without an end tag of their own aren't in it."""
+    out, begun = {}, []
+    for m in re.finditer(rf"<(/?){name}(?=[\s/>])((?:[^>\"']|\"[^\"]*\"|'[^']*')*+>|[^>]*(?:>|\Z))", page, re.I):
+        if not m[1]:
+            if not (name == "svg" and m[2].endswith("/>")):
+                begun.append(m.end())
+        elif begun:
+            out[begun.pop()] = m.end()
+    return out
+
+
 def blocks_of(page: str) -> list[Block]:
     """Blocks in page order, none of them empty."""
     out: list[Block] = []
@@ -83,6 +99,8 @@ def blocks_of(page: str) -> list[Block]:
         if any(t == "a" for t, _ in stack[-6:]):
             state["links"] += len(text)
 
+    ends: dict[str, dict[int, int]] = {}
+    open_ended: set[str] = set()
     at = 0
     while m := TOKEN.search(page, at):
         say(page[at : m.start()])
@@ -101,10 +119,19 @@ def blocks_of(page: str) -> list[Block]:
                     break
             continue
         if name in RAW or name == "head":
-            end = re.compile(rf"</{re.escape(name)}\s*>" if name != "head" else r"</head\s*>|(?=<body[\s>])", re.I).search(page, at)
             if name not in INLINE:
                 flush()
-            at = end.end() if end else (at if name == "head" else len(page))
+            if name == "svg" and m[3].endswith("/>"):
+                continue
+            if name in NESTING:
+                if name not in ends:
+                    ends[name] = _ends(page, name)
+                at = ends[name].get(at, at)
+            elif name not in open_ended:
+                end = re.compile(rf"</{re.escape(name)}\s*>" if name != "head" else r"</head\s*>|(?=<body[\s>])", re.I).search(page, at)
+                if not end:
+                    open_ended.add(name)
+                at = end.end() if end else len(page) if name in ENDLESS else at
             continue
         if name == "br":
             parts.append(" ")
