@@ -7,15 +7,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.sizes import plain_bytes
-from .ordinals import ORD, RG
+from .ordinals import ORD, few
+from .ordinals import group_keys as _keys
 
 ID_BYTES = 2
 
 
-def _keys(df: DataFrame) -> list[str]:
-    return [k for k in ("file", RG) if k in df.columns]
-
-
 def build(df: DataFrame, column: str) -> DataFrame:
     """(file, rg, id, value): distinct values of each chunk, ids dense from 0 by first appearance; nulls have none."""
     keys = _keys(df)
@@ -50,3 +47,17 @@ def benefit(df: DataFrame, column: str) -> DataFrame:
     out = out.withColumn("dictionary_bytes", F.col("values_bytes") + ID_BYTES * F.col("num_rows"))
     fits = F.col("num_distinct") <= 1 << (8 * ID_BYTES)
     return out.withColumn("use_dictionary", fits & (F.col("dictionary_bytes") < F.col("plain_bytes"))).drop("values_bytes")
+
+
+def build_shared(df: DataFrame, column: str) -> DataFrame:
+    """(id, value): one dictionary for all chunks of all files, ids dense from 0 in order of the values; small ones are broadcast where they are joined.
+
+    Ids are numbered over distinct values, which a window sorts in one task, so it suits columns for which a dictionary makes sense at all.
+    """
+    values = df.where(F.col(column).isNotNull()).select(F.col(column).alias("value")).distinct()
+    return few(values.select((F.row_number().over(Window.orderBy("value")) - 1).cast("long").alias("id"), "value"))
+
+
+def encode_shared(df: DataFrame, column: str, dictionary: DataFrame) -> DataFrame:
+    """``df`` with the shared ``id`` of a column's values."""
+    return df.join(dictionary.withColumnRenamed("value", "_value"), F.col(column) == F.col("_value"), "left").drop("_value")

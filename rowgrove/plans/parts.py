@@ -59,6 +59,29 @@ def single_part(cuts: list[int] | None, total: int, last: bool) -> list[int] | N
     return [0, total] if cuts is None and last else cuts
 
 
+def buffer_flushes(sizes: DataFrame, min_bytes: int = MIN_PART_BYTES) -> DataFrame:
+    """(file, rg, part, buffered) of row groups (file, rg, bytes) that reach an upload buffer one after another.
+
+    A buffer is kept until it holds ``min_bytes`` and then goes as one part; the last goes whatever it holds. A file's groups are its footer, so files are
+    walked in groups.
+    """
+    if "file" not in sizes.columns:
+        sizes = sizes.withColumn("file", F.lit(""))
+
+    def walk(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("rg")
+        part, held, out = 0, 0, []
+        for n in group["bytes"].tolist():
+            held += n
+            full = single_part(plan_parts(1, [0, held], min_bytes), held, last=len(out) == len(group) - 1) is not None
+            out.append((part, held))
+            part, held = (part + 1, 0) if full else (part, held)
+        return pd.DataFrame({"file": group["file"], "rg": group["rg"], "part": [p for p, _ in out], "buffered": [h for _, h in out]})
+
+    ship(sizes.sparkSession)
+    return sizes.select("file", "rg", "bytes").groupBy("file").applyInPandas(walk, "file string, rg long, part long, buffered long")
+
+
 def group_chunks(chunks: DataFrame, cuts: DataFrame, magic: int, footer: int) -> DataFrame:
     """(n, num_chunks, bytes) of each part; the first part carries the leading magic too, the last the footer."""
     from pyspark.sql.window import Window

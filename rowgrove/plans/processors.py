@@ -9,13 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.shipping import ship
+from ..sources.footer import bytes_of_ranges
 from .ordinals import ORD, POS, RG
-
-KEYS = ("file", RG)
-
-
-def _keys(df: DataFrame) -> list[str]:
-    return [k for k in KEYS if k in df.columns]
+from .ordinals import group_keys as _keys
 
 
 def scan_chunks(df: DataFrame, columns: list[str], text: Callable[[str], Column] = lambda c: F.col(c).cast("string")) -> DataFrame:
@@ -58,10 +54,10 @@ def process_chunks(df: DataFrame, columns: list[str], fn: Callable[[int, str, pd
     return df.select(*kept).groupBy(*_keys(df)).applyInPandas(chunks, schema)
 
 
-def raw_chunks(files: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Compressed bytes of chunks: (path, row_group, column, start, length, bytes).
+def raw_chunks(chunks: DataFrame) -> DataFrame:
+    """Compressed bytes of chunks: (path, row_group, column, start, length, bytes), by one ranged read each.
 
-    ``files`` is a ``binaryFile`` scan (path, content), ``chunks`` the footer relation (path, row_group, column, start, length); they meet per file.
+    ``chunks`` is the footer relation or a part of it. To open one chunk's bytes again and again see ``sources.chunks.file_chunk``.
     """
-    met = files.select("path", "content").join(chunks.select("path", "row_group", "column", "start", "length"), "path")
-    return met.select("path", "row_group", "column", "start", "length", F.expr("substring(content, cast(start + 1 as int), cast(length as int))").alias("bytes"))
+    asked = chunks.select("path", "row_group", "column", "start", F.col("length").alias("n"))
+    return bytes_of_ranges(asked).withColumnRenamed("n", "length")

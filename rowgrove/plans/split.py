@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+from collections.abc import Iterator, Sequence
+from itertools import groupby
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.paths import delete_folder, exists, reliable, uri
+from ..functions.shipping import ship
 from ..functions.sizes import MAGIC_BYTES
-from .ordinals import ORD, RG
+from ..sources import chunks, footer, stores, thrift
+from .ordinals import FILE, ORD, RG, few, group_keys, number_groups, row_group_index
+from .parts import MIN_PART_BYTES, plan_parts
 
 
 class SplitError(ValueError):
@@ -15,12 +24,118 @@ class SplitError(ValueError):
 
 
 def split_by_row_group(df: DataFrame, path: str, *, codec: str = "zstd") -> None:
-    """Write one file for each row group, in folders ``rg=k``, rows in order; existing targets are refused.
+    """Write one file for each row group, in folders ``rg=k`` (k numbers the groups of all files), rows in order; an existing target is refused.
 
-    Rows are dealt by row group, so each group is one task's one file, and different groups are written in parallel.
+    Rows are dealt by row group, so each group is one task's one file, and different groups are written in parallel. If it fails, what was written goes.
+    """
+    keys = group_keys(df)
+    if FILE in keys:
+        numbers = few(number_groups(row_group_index(df)).select(*keys, F.col("group_no").alias("_no")))
+        df = df.join(numbers, keys).withColumn(RG, F.col("_no")).drop("_no", FILE)
+    if exists(df.sparkSession, path):
+        raise SplitError(f"{path} already exists")
+    try:
+        df.repartition(RG).sortWithinPartitions(RG, ORD).write.mode("errorifexists").option("compression", codec).partitionBy(RG).parquet(path)
+    except Exception:
+        delete_folder(df.sparkSession, path)
+        raise
+
+
+def split_files(spark: SparkSession, path: str, target: str) -> DataFrame:
+    """Cut every file under ``path`` into one file for each row group, bytes copied as they are, footers written anew.
+
+    Returns (path, row_group, file, length). Groups are read and written by a task each; an existing target is refused, and if one fails all files
+    written go. Rows of the result are read from a written table, so that nothing is cut twice.
     """
-    keys = [k for k in ("file", RG) if k in df.columns]
-    df.repartition(*keys).sortWithinPartitions(*keys, ORD).write.mode("errorifexists").option("compression", codec).partitionBy(RG).parquet(path)
+    if exists(spark, target):
+        raise SplitError(f"{target} already exists")
+    groups = footer.footers(spark, path, "row_groups").select("path", "row_group")
+    files = footer.list_files(spark, path).select(uri(F.col("path")).alias("path"))
+    numbers = few(files.withColumn("no", F.row_number().over(Window.orderBy("path")) - 1))
+    schema = "path string, row_group long, file string, length long"
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for source, group, no in batch[["path", "row_group", "no"]].itertuples(index=False):
+                old, data_end = chunks.file_footer(source)
+                content = chunks.split_group(source, old, int(group), data_end)
+                system, folder = stores.file_system(target)
+                system.create_dir(folder, recursive=True)
+                name = f"part-{no:05d}-{group:05d}.parquet"
+                with system.open_output_stream(written := f"{folder}/.{name}-{uuid.uuid4().hex}") as f:
+                    f.write(content)
+                system.move(written, f"{folder}/{name}")
+                yield pd.DataFrame({"path": [source], "row_group": [group], "file": [f"{target}/{name}"], "length": [len(content)]})
+
+    ship(spark)
+    met = groups.join(numbers, "path")
+    report = f"{target}.report-{uuid.uuid4().hex}"
+    try:
+        met.repartition(max(1, min(met.count(), footer.TASKS)), "path", "row_group").mapInPandas(cut, schema).write.parquet(report)
+    except Exception:
+        delete_folder(spark, target)
+        delete_folder(spark, report)
+        raise
+    return spark.read.schema(schema).parquet(report)
+
+
+def assemble_files(spark: SparkSession, sources: DataFrame, target: str, columns: Sequence[str], *, wanted_parts: int = 1, min_bytes: int = MIN_PART_BYTES, pairs: Sequence[tuple[str, str]] | None = None) -> int:
+    """Put one file together from chunks of other files without decoding or a local copy, and upload it in parts; returns its size.
+
+    ``sources`` is (position, column, path, row_group): the row groups of the file in order of position, with a chunk for each of ``columns``. Parts are cut at
+    ends of chunks (``plan_parts``); each is read by ranges and put by a task of its own. The driver holds the file's own footer and nothing else.
+    Missing or repeated columns and unequal row counts in a group are errors before anything is uploaded.
+    """
+    found = footer.footers(spark, "", "column_chunks", files=sources.select("path").distinct())
+    place = F.array_position(F.array(*map(F.lit, columns)), F.col("column"))
+    met = sources.join(found.select("path", "row_group", "column", "length", "num_values"), ["path", "row_group", "column"], "left").withColumn("col", place)
+    listed = reliable(met.select("position", "col", "column", "path", "row_group", "length", "num_values"))
+    _check_groups(listed, columns)
+    before = Window.orderBy("position", "col").rowsBetween(Window.unboundedPreceding, -1)  # over one file's chunks
+    laid = listed.withColumn("at", (F.coalesce(F.sum("length").over(before), F.lit(0)) + MAGIC_BYTES).cast("long"))
+    rows = laid.select("at", "length").orderBy("at").collect()
+    if not rows:
+        raise SplitError("a file without row groups can't be written")
+    ends = [0, *(r["at"] + r["length"] for r in rows)]
+    cuts = plan_parts(wanted_parts, ends, min_bytes) or [0, ends[-1]]
+    part = F.size(F.filter(F.array(*map(F.lit, cuts[:-1])), lambda a: F.col("at") >= a))
+    dealt = laid.withColumn("part", part.cast("long"))
+    first = laid.orderBy("at").select("path").first()["path"]
+    with stores.Upload(target) as upload:
+        name = upload.id
+
+        def put(group: pd.DataFrame) -> pd.DataFrame:
+            group = group.sort_values("at")
+            picked = [chunks.file_chunk(p, int(g), c) for p, g, c in group[["path", "row_group", "column"]].itertuples(index=False)]
+            number = int(group["part"].iloc[0])
+            data = b"".join([chunks.MAGIC if number == 1 else b"", *(c.read() for c in picked)])
+            stores.Upload(target, upload=name).put_part(number, data)
+            entries = [thrift.dump(c.moved(int(at))) for c, at in zip(picked, group["at"], strict=True)]
+            return pd.DataFrame({"position": group["position"], "col": group["col"], "rows": [c.rows for c in picked], "entry": entries})
+
+        last = len(cuts) - 1
+        ship(spark)
+        done = dealt.groupBy("part").applyInPandas(put, "position long, col long, rows long, entry binary").collect()
+        done.sort(key=lambda r: (r["position"], r["col"]))
+        base = chunks.file_footer(first)[0]
+        more = [e for p in {r["path"] for r in sources.select("path").distinct().collect()} for e in chunks.file_footer(p)[0][chunks.SCHEMA][1][1][1:]]
+        groups = []
+        for _, members in groupby(done, key=lambda r: r["position"]):
+            members = list(members)
+            groups.append(chunks.group_of_entries([thrift.parse(bytes(r["entry"]))[0] for r in members], members[0]["rows"], len(groups)))
+        tail = chunks.footer_bytes(base, groups, schema=chunks.schema_of(base, columns, more), pairs=pairs)
+        upload.put_part(last + 1, tail)
+        return upload.known(range(1, last + 1)).finish()
+
+
+def _check_groups(listed: DataFrame, columns: Sequence[str]) -> None:
+    """Each row group has each column once, all with equal row counts."""
+    per = listed.groupBy("position").agg(
+        F.count("*").alias("n"), F.count_distinct("column").alias("kinds"), F.count("length").alias("there"), F.min("num_values").alias("low"), F.max("num_values").alias("high"), F.count_if(F.col("col") == 0).alias("odd")
+    )
+    wrong = per.where((F.col("n") != len(columns)) | (F.col("kinds") != F.col("n")) | (F.col("there") != F.col("n")) | (F.col("low") != F.col("high")) | (F.col("odd") > 0)).orderBy("position").first()
+    if wrong is not None:
+        raise SplitError(f"row group {wrong['position']}: {wrong['n']} chunks of {wrong['kinds']} columns, {wrong['there']} of them found, {wrong['low']} to {wrong['high']} rows, for {len(columns)} columns")
 
 
 def overlap(parts: DataFrame, groups: DataFrame) -> DataFrame:
@@ -58,16 +173,15 @@ def part_offsets(sizes: DataFrame) -> DataFrame:
     return sizes.select("part_no", F.coalesce(F.sum("size").over(before), F.lit(0)).cast("long").alias("start"), "size")
 
 
-def split_footers(chunks: DataFrame) -> DataFrame:
+def split_footers(placed: DataFrame) -> DataFrame:
     """Chunk offsets in a file of the row group alone: shifted so that the group begins behind the magic."""
-    keys = [k for k in ("file", RG) if k in chunks.columns]
-    first = Window.partitionBy(*keys)
-    return chunks.withColumn("moved_off", (F.col("start_off") - F.min("start_off").over(first) + MAGIC_BYTES).cast("long"))
+    first = Window.partitionBy(*group_keys(placed))
+    return placed.withColumn("moved_off", (F.col("start_off") - F.min("start_off").over(first) + MAGIC_BYTES).cast("long"))
 
 
 def contiguity(groups: DataFrame) -> DataFrame:
     """Flags row groups (rg, r_start, r_end): sizes above 0, each beginning where the one before ended."""
-    keys = [k for k in ("file",) if k in groups.columns]
+    keys = group_keys(groups)[:-1]
     order = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy(RG)
     follows = F.coalesce(F.lag("r_end").over(order) == F.col("r_start"), F.col("r_start") == MAGIC_BYTES)
     return groups.withColumn("contiguous", follows & (F.col("r_end") > F.col("r_start")))

@@ -2,8 +2,8 @@
 
 ``footers`` lists files through Spark (any store that Spark reads) and parses each footer in a task. Two ranged reads per file, its tail and its head,
 are enough; where Arrow doesn't know a store's scheme, the file's bytes come through Spark's ``binaryFile`` scan instead.
-``FooterSource`` and ``RowGroupSource`` offer the same as data sources for ``spark.read.format``; the latter has one partition per row group,
-so a point read touches only the row groups and columns it names, and it reads types that Spark's own scan refuses.
+``FooterSource`` and ``RowGroupSource`` offer the same as data sources for ``spark.read.format``; a point read touches only the row groups and
+columns it names, and types that Spark's own scan refuses are read too. ``read_row_groups`` is the same for any number of files.
 """
 
 from __future__ import annotations
@@ -13,19 +13,21 @@ import struct
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.window import Window
 
 from ..functions.paths import uri
 from ..functions.shipping import ship
+from .stores import KNOWN_SCHEMES, file_system, opened, read_range, scheme
 from .thrift import read_struct
 
 MAGIC = b"PAR1"
 #: Bytes read from a file's end at first; a longer footer takes a second read.
 TAIL_BYTES = 64 * 1024
-KNOWN_SCHEMES = ("", "file", "s3", "s3a", "gs", "hdfs")
+#: Most tasks that open files.
+TASKS = 10_000
 
 RELATIONS = {
     "files": "path string, length long, footer_offset long, footer_length long, version long, created_by string, num_rows long, num_row_groups long, num_columns long",
@@ -94,39 +96,28 @@ def rows_of(path: str, length: int, read: Callable[[int, int], bytes], relation:
             )
 
 
-def _opened(path: str):
-    """An Arrow file of a URI or a local path."""
-    from pyarrow import fs
-
-    path = re.sub(r"^s3[an]://", "s3://", path)
-    if "://" not in path and not path.startswith("file:"):
-        return fs.LocalFileSystem().open_input_file(path)
-    if path.startswith("file:"):
-        from urllib.parse import unquote
-
-        return fs.LocalFileSystem().open_input_file(unquote(re.sub(r"^file:/*", "/", path)))
-    system, inner = fs.FileSystem.from_uri(path)
-    return system.open_input_file(inner)
-
-
 def _read_at(f) -> Callable[[int, int], bytes]:
     return lambda start, n: f.read_at(n, start)
 
 
-def scheme(path: str) -> str:
-    m = re.match(r"^([a-zA-Z][a-zA-Z0-9+.-]*):/", path)
-    return m[1].lower() if m else ""
+def _data_file(path: Column) -> Column:
+    """Whether a name isn't that of an unfinished or hidden file; Spark's listing passes over such folders itself."""
+    return ~path.rlike(r"/[_.][^/]*$")
 
 
 def list_files(spark: SparkSession, path: str) -> DataFrame:
     """(path, length) of the Parquet files of a table, whatever the store; contents aren't read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
-    name = F.substring_index("path", "/", -1)
-    return files.where(~name.startswith("_") & ~name.startswith("."))
+    return files.where(_data_file(F.col("path")))
 
 
-def footers(spark: SparkSession, path: str, relation: str = "files") -> DataFrame:
-    """One of ``RELATIONS`` for every file under ``path``."""
+def _dealt(files: DataFrame) -> DataFrame:
+    """A relation of files or ranges dealt out to tasks, each to one of them where there are not too many."""
+    return files.repartition(max(1, min(files.count(), TASKS)))
+
+
+def footers(spark: SparkSession, path: str, relation: str = "files", *, files: DataFrame | None = None) -> DataFrame:
+    """One of ``RELATIONS`` for every file under ``path``, or for the files that a relation (path) names."""
     if relation not in RELATIONS:
         raise FooterError(f"no relation {relation}: one of {', '.join(RELATIONS)}")
     ship(spark)
@@ -140,8 +131,8 @@ def footers(spark: SparkSession, path: str, relation: str = "files") -> DataFram
                 if content is not None:
                     found = list(rows_of(row["path"], len(content), lambda a, n, c=content: c[a : a + n], relation))
                 else:
-                    with _opened(row["path"]) as f:
-                        found = list(rows_of(row["path"], row["length"], _read_at(f), relation))
+                    with opened(row["path"]) as f:
+                        found = list(rows_of(row["path"], f.size(), _read_at(f), relation))
                 if found:
                     yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in found], schema=arrow)
 
@@ -149,12 +140,12 @@ def footers(spark: SparkSession, path: str, relation: str = "files") -> DataFram
     from pyspark.sql.types import _parse_datatype_string
 
     arrow = to_arrow_schema(_parse_datatype_string(schema))
-    if scheme(path) in KNOWN_SCHEMES:
-        files = list_files(spark, path).withColumn("path", uri(F.col("path")))
-        files = files.repartition(max(1, min(files.count(), 10_000)))
+    if files is not None:
+        files = _dealt(files.select("path"))
+    elif scheme(path) in KNOWN_SCHEMES:
+        files = _dealt(list_files(spark, path).withColumn("path", uri(F.col("path"))))
     else:
-        name = F.substring_index("path", "/", -1)
-        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where(~name.startswith("_") & ~name.startswith(".")).select("path", "length", "content")
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where(_data_file(F.col("path"))).select("path", "length", "content")
     return files.mapInArrow(parsed, schema)
 
 
@@ -189,35 +180,52 @@ def column_chunk(chunks: DataFrame, row_group: int, column: str) -> DataFrame:
     return found
 
 
+def bytes_of_ranges(ranges: DataFrame) -> DataFrame:
+    """``ranges`` (path, start, n and other columns) with their ``bytes``, by ranged reads in tasks; only the ranges asked for are read.
+
+    A range beyond the end is an error; one range is at most a cell of 2 GB, the file may be of any size.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import BinaryType, StructField, StructType
+
+    schema = StructType([*ranges.schema.fields, StructField("bytes", BinaryType())])
+    arrow = to_arrow_schema(schema)
+
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                yield pa.RecordBatch.from_pylist([row | {"bytes": read_range(row["path"], row["start"], row["n"])}], schema=arrow)
+
+    ship(ranges.sparkSession)
+    return _dealt(ranges).mapInArrow(fetch, schema)
+
+
 def byte_ranges(spark: SparkSession, path: str, ranges: list[tuple[int, int]]) -> DataFrame:
-    """Bytes of ranges (start, n) of every file: (path, start, n, bytes). A negative start counts from the end (the last n bytes); beyond the end is an error."""
+    """Bytes of ranges (start, n) of every file: (path, start, n, bytes). A negative start counts from the end (the last n bytes)."""
     asked = F.array(*[F.struct(F.lit(a).cast("long").alias("start"), F.lit(n).cast("long").alias("n")) for a, n in ranges])
-    files = spark.read.format("binaryFile").load(path).select("path", "length", "content", F.explode(asked).alias("r"))
+    files = list_files(spark, path).select(uri(F.col("path")).alias("path"), "length", F.explode(asked).alias("r"))
     start = F.when(F.col("r.start") < 0, F.col("length") + F.col("r.start")).otherwise(F.col("r.start"))
-    met = files.select("path", "length", "content", start.alias("start"), F.col("r.n").alias("n"))
-    inside = (F.col("start") >= 0) & (F.col("start") + F.col("n") <= F.col("length"))
-    part = F.expr("substring(content, cast(start + 1 as int), cast(n as int))")
-    return met.select("path", "start", "n", F.when(inside, part).otherwise(F.raise_error(F.lit("a range beyond the end of the file")).cast("binary")).alias("bytes"))
+    return bytes_of_ranges(files.select("path", start.alias("start"), F.col("r.n").alias("n")))
 
 
 class _File(InputPartition):
-    def __init__(self, path: str, row_group: int | None = None, start_row: int = 0):
-        self.path, self.row_group, self.start_row = path, row_group, start_row
+    def __init__(self, path: str, row_group: int | None = None):
+        self.path, self.row_group = path, row_group
 
 
 def _files_under(path: str) -> list[str]:
     from pyarrow import fs
 
-    bare = re.sub(r"^file:/*", "/", path)
-    system, inner = (fs.LocalFileSystem(), bare) if scheme(bare) == "" else fs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", path))
+    system, inner = file_system(path)
     info = system.get_file_info(inner)
     if info.type == fs.FileType.File:
         return [path]
     if info.type == fs.FileType.NotFound:
         raise FooterError(f"no such path: {path}")
     found = system.get_file_info(fs.FileSelector(inner, recursive=True))
-    prefix = "" if scheme(bare) == "" else f"{scheme(path)}://"
-    return sorted(prefix + f.path for f in found if f.type == fs.FileType.File and not f.base_name.startswith(("_", ".")))
+    prefix = "" if scheme(path) in ("", "file") else f"{scheme(path)}://"
+    hidden = re.compile(r"/[_.][^/=]*(/|$)")
+    return sorted(prefix + f.path for f in found if f.type == fs.FileType.File and not hidden.search(f.path[len(inner) :]))
 
 
 class FooterSource(DataSource):
@@ -242,14 +250,14 @@ class _FooterReader(DataSourceReader):
         return [_File(p) for p in _files_under(self.path)]
 
     def read(self, partition: _File) -> Iterator[tuple]:
-        with _opened(partition.path) as f:
+        with opened(partition.path) as f:
             yield from rows_of(partition.path, f.size(), _read_at(f), self.relation)
 
 
 def _arrow_schema(path: str) -> pa.Schema:
     import pyarrow.parquet as pq
 
-    with _opened(_files_under(path)[0]) as f:
+    with opened(_files_under(path)[0]) as f:
         return pq.ParquetFile(f).schema_arrow
 
 
@@ -278,10 +286,32 @@ def _cast(column: pa.ChunkedArray, to: pa.DataType) -> pa.ChunkedArray:
     return column.cast(to)
 
 
+def _group_batches(path: str, groups: list[int] | None, fields: list[pa.Field]) -> Iterator[pa.RecordBatch]:
+    """Rows of row groups of one file (all of them, or those of ``groups`` that it has), with file, rg and ord."""
+    import pyarrow.parquet as pq
+
+    with opened(path) as f:
+        read = pq.ParquetFile(f)
+        start = 0
+        for i in range(read.metadata.num_row_groups):
+            n = read.metadata.row_group(i).num_rows
+            if groups is None or i in groups:
+                at = start
+                for b in read.iter_batches(65_536, row_groups=[i], columns=[x.name for x in fields]):
+                    t = pa.table(b) if not isinstance(b, pa.Table) else b
+                    columns = [pa.array([path] * len(t), pa.string()), pa.array([i] * len(t), pa.int64()), pa.array(range(at, at + len(t)), pa.int64())]
+                    columns += [_cast(t.column(x.name), x.type) for x in fields]
+                    at += len(t)
+                    yield from pa.table(columns, names=["file", "rg", "ord", *[x.name for x in fields]]).combine_chunks().to_batches()
+            start += n
+
+
 class RowGroupSource(DataSource):
-    """``spark.read.format("rowgrove_row_groups").option("row_groups", "0,2").option("columns", "a,b").load(path)``: one partition per row group.
+    """``spark.read.format("rowgrove_row_groups").option("row_groups", "0,2").option("columns", "a,b").load(path)``
 
-    Adds ``file``, ``rg`` and ``ord``; without the options all row groups and columns are read.
+    Adds ``file``, ``rg`` and ``ord``; without the options all row groups and columns are read. There is a partition for each file, or for each file and
+    row group that is asked for; footers are opened in tasks. A file without such a group adds nothing; if no file has it, there are no rows.
+    The list of files is made on the driver: for very many files use ``read_row_groups``.
     """
 
     @classmethod
@@ -298,42 +328,47 @@ class RowGroupSource(DataSource):
     def schema(self):
         from pyspark.sql.pandas.types import from_arrow_schema
 
-        return from_arrow_schema(pa.schema([pa.field("file", pa.string()), pa.field("rg", pa.int64()), pa.field("ord", pa.int64()), *self._fields()]))
+        return from_arrow_schema(_with_position(self._fields()))
 
     def reader(self, schema) -> DataSourceReader:
         groups = self.options.get("row_groups", "")
         return _RowGroupReader(self.options["path"], [int(g) for g in groups.split(",") if g], self._fields())
 
 
+def _with_position(fields: list[pa.Field]) -> pa.Schema:
+    return pa.schema([pa.field("file", pa.string()), pa.field("rg", pa.int64()), pa.field("ord", pa.int64()), *fields])
+
+
 class _RowGroupReader(DataSourceReader):
     def __init__(self, path: str, groups: list[int], fields: list[pa.Field]):
         self.path, self.groups, self.fields = path, groups, fields
 
     def partitions(self):
-        import pyarrow.parquet as pq
-
-        out = []
-        for path in _files_under(self.path):
-            with _opened(path) as f:
-                meta = pq.ParquetFile(f).metadata
-                start = 0
-                for i in range(meta.num_row_groups):
-                    if not self.groups or i in self.groups:
-                        out.append(_File(path, i, start))
-                    start += meta.row_group(i).num_rows
-        if self.groups and not out:
-            raise FooterError(f"no row groups {self.groups}")
-        return out
+        return [_File(path, i) for path in _files_under(self.path) for i in (self.groups or [None])]
 
     def read(self, partition: _File) -> Iterator[pa.RecordBatch]:
-        import pyarrow.parquet as pq
-
-        with _opened(partition.path) as f:
-            t = pq.ParquetFile(f).read_row_group(partition.row_group, columns=[x.name for x in self.fields])
-        n = t.num_rows
-        columns = [pa.array([partition.path] * n, pa.string()), pa.array([partition.row_group] * n, pa.int64()), pa.array(range(partition.start_row, partition.start_row + n), pa.int64())]
-        columns += [_cast(t.column(x.name), x.type) for x in self.fields]
-        yield from pa.table(columns, names=["file", "rg", "ord", *[x.name for x in self.fields]]).to_batches(max_chunksize=65_536)
+        yield from _group_batches(partition.path, None if partition.row_group is None else [partition.row_group], self.fields)
+
+
+def read_row_groups(spark: SparkSession, groups: DataFrame, columns: list[str], like: str) -> DataFrame:
+    """Rows (file, rg, ord, columns) of row groups (path, row_group), each read by a task of its own; ``like`` is a file with the schema.
+
+    ``groups`` is the footer relation or a part of it; no list of files or groups goes to the driver.
+    """
+    from pyspark.sql.pandas.types import from_arrow_schema
+
+    schema = _arrow_schema(like)
+    if missing := [c for c in columns if c not in schema.names]:
+        raise FooterError(f"no such columns: {', '.join(missing)}")
+    fields = [_plain(schema.field(c)) for c in columns]
+
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                yield from _group_batches(row["path"], [row["row_group"]], fields)
+
+    ship(spark)
+    return _dealt(groups.select("path", "row_group")).mapInArrow(fetch, from_arrow_schema(_with_position(fields)))
 
 
 def register(spark: SparkSession) -> None:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
@@ -10,11 +11,18 @@ from pyspark.sql import functions as F
 
 from ..functions.schema import SchemaError, require, same_columns, validate_flat_schema
 from ..functions.shipping import ship
+from . import chunks
+from .stores import file_system
+
+
+class WriterError(ValueError):
+    """A file, row group or column written otherwise than declared."""
+
 
 CODECS = {"none": "uncompressed", "uncompressed": "uncompressed", "snappy": "snappy", "zstd": "zstd"}
 ZSTD_LEVEL = 2
-#: First key of every file that ``write_with_kv`` writes.
-CREATED_BY_KEY, CREATED_BY = "original.created.by", "rowgrove"
+#: Most bytes of a file that is one cell of a DataFrame.
+CELL_BYTES = (1 << 31) - 1024
 
 
 def write_options(*, codec: str = "zstd", level: int | None = None, rows_per_group: int | None = None, dictionary: bool | None = None, dictionary_bytes: int | None = None, page_rows: int | None = None, page_bytes: int | None = None, version: int = 1) -> dict[str, str]:
@@ -43,7 +51,8 @@ def write_table(df: DataFrame, path: str, *, mode: str = "overwrite", **layout)
 def write_row_groups(df: DataFrame, path: str, rows_per_group: int, *, order: Sequence[str] = (), declared_rows: int | None = None, columns: Sequence[str] | None = None, mode: str = "overwrite", **layout) -> None:
     """Write one file with row groups of exactly ``rows_per_group`` rows (the last may have fewer), rows by ``order``.
 
-    Exact boundaries need one writer, so this is for a table the size of a file; tables of many files are written by ``write_grouped_files``.
+    One file has one writer, so this is a single task: for a table the size of a file. Tables of many files are written by ``write_grouped_files``,
+    in parallel and with the same exact row groups.
     """
     validate_flat_schema(df.schema)
     if columns is not None:
@@ -68,62 +77,204 @@ def write_grouped_files(df: DataFrame, path: str, rows_per_group: int, rows_per_
     dealt.write.mode(mode).partitionBy("_file").options(**write_options(rows_per_group=rows_per_group, **layout)).parquet(path)
 
 
-def assemble_bytes(df: DataFrame, group: str, order: str, *, codec: str = "zstd", kv: Sequence[tuple[str, str]] = ()) -> DataFrame:
-    """Files assembled in memory: one row (num_rows, num_row_groups, length, content) per partition of ``df``, a row group for each value of ``group``.
+class ValueWriter:
+    """One column's values, one after another; ``finish`` closes it and gives them as an Arrow column."""
+
+    def __init__(self, field: pa.Field, batch: int = 65_536):
+        self.field, self.batch, self.held, self.done, self.closed = field, batch, [], [], False
+
+    def write(self, value) -> ValueWriter:
+        if self.closed:
+            raise WriterError(f"column {self.field.name} is finished")
+        if value is None and not self.field.nullable:
+            raise WriterError(f"column {self.field.name} takes no nulls")
+        self.held.append(value)
+        if len(self.held) >= self.batch:
+            self._flush()
+        return self
+
+    def write_null(self) -> ValueWriter:
+        return self.write(None)
+
+    def _flush(self) -> None:
+        self.done.append(pa.array(self.held, self.field.type))
+        self.held = []
+
+    def finish(self) -> pa.ChunkedArray:
+        if self.closed:
+            raise WriterError(f"column {self.field.name} is finished")
+        if not self.held and not self.done:
+            raise WriterError(f"column {self.field.name} has no values")
+        if self.held:
+            self._flush()
+        self.closed = True
+        return pa.chunked_array(self.done, self.field.type)
+
+
+class GroupWriter:
+    """The open row group of a file: every column once, in any order, each with the declared number of rows."""
 
-    Partitions arrive sorted by (group, order), so one row group is held at a time; key/value pairs follow the creator's.
+    def __init__(self, schema: pa.Schema, rows: int):
+        self.schema, self.rows, self.columns, self.closed = schema, rows, {}, False
+
+    def column(self, name: str) -> ValueWriter:
+        """A writer of single values; hand what it has finished to ``write``."""
+        return ValueWriter(self.schema.field(name))
+
+    def write(self, name: str, values) -> GroupWriter:
+        if self.closed:
+            raise WriterError("the row group is finished")
+        if name not in self.schema.names:
+            raise WriterError(f"no column {name}")
+        if name in self.columns:
+            raise WriterError(f"column {name} was written already")
+        if isinstance(values, ValueWriter):
+            values = values.finish()
+        if not isinstance(values, (pa.Array, pa.ChunkedArray)):
+            values = pa.array(values, self.schema.field(name).type)
+        if len(values) != self.rows:
+            raise WriterError(f"column {name} has {len(values)} values, not the declared {self.rows}")
+        self.columns[name] = values
+        return self
+
+    def table(self) -> pa.Table:
+        if missing := [c for c in self.schema.names if c not in self.columns]:
+            raise WriterError(f"columns are missing: {', '.join(missing)}")
+        self.closed = True
+        return pa.table([self.columns[c] for c in self.schema.names], schema=self.schema)
+
+
+class OpenWriter:
+    """A file written row group by row group to a stream; one group is open at a time and one is held at a time.
+
+    Each group is exactly what was declared. Key/value pairs can be added until ``finish``, repeated keys are kept; a file without groups is refused.
     """
-    schema = df.schema
 
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pyarrow.parquet as pq
+    def __init__(self, sink, schema: pa.Schema, *, codec: str = "zstd", **options):
+        self.schema, self.sink, self.rows, self.open, self.pairs = schema, sink, 0, None, []
+        self.options = options | {"compression": "NONE" if codec in ("none", "uncompressed") else codec}
+        self.footer, self.entries, self.at, self.closed = None, [], len(chunks.MAGIC), False
+        sink.write(chunks.MAGIC)
+
+    @property
+    def groups(self) -> int:
+        return len(self.entries)
+
+    def start_row_group(self, rows: int) -> GroupWriter:
+        self._require_open()
+        if self.open is not None:
+            raise WriterError("a row group is open already")
+        if rows < 1:
+            raise WriterError("a row group has at least one row")
+        self.open = GroupWriter(self.schema, rows)
+        return self.open
+
+    @property
+    def current(self) -> GroupWriter:
+        if self.open is None:
+            raise WriterError("no row group is open")
+        return self.open
 
-        sink, writer, named, held, rows, groups = pa.BufferOutputStream(), None, None, [], 0, 0
+    def finish_row_group(self) -> None:
+        table = self.current.table()
+        base, made = chunks.encoded(table, **self.options)
+        self.footer = self.footer or base
+        self.entries.append(chunks.group_entry(made, self.at, self.groups))
+        for c in made:
+            self.sink.write(c.read())
+            self.at += c.length
+        self.rows, self.open = self.rows + table.num_rows, None
+
+    def write_row_group(self, table: pa.Table) -> None:
+        group = self.start_row_group(table.num_rows)
+        for c in table.column_names:
+            group.write(c, table[c])
+        self.finish_row_group()
+
+    def add(self, key: str, value: str) -> None:
+        self._require_open()
+        self.pairs.append((key, value))
+
+    def finish(self) -> None:
+        self._require_open()
+        if self.open is not None:
+            raise WriterError("a row group is still open")
+        if not self.groups:
+            raise WriterError("a file without row groups can't be written")
+        self.sink.write(chunks.footer_bytes(self.footer, self.entries, pairs=[*chunks.pairs_of(self.footer), *self.pairs]))
+        self.closed = True
+
+    def _require_open(self) -> None:
+        if self.closed:
+            raise WriterError("the file is finished")
+
+
+def assemble_bytes(df: DataFrame, group: str, order: str, *, by: str | None = None, codec: str = "zstd", kv: Sequence[tuple[str, str]] = ()) -> DataFrame:
+    """Files assembled in memory: a row (num_rows, num_row_groups, length, content) for each value of ``by``, with a row group for each value of ``group``.
+
+    Without ``by`` it is one file. Files are dealt to tasks by ``by`` and arrive sorted by (by, group, order), so a task holds one file's bytes and one row
+    group; a file is a cell, so one beyond 2 GB is an error (``write_grouped_files`` and ``split.assemble_files`` have no such bound). ``by`` isn't written.
+    """
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sink = writer = file_key = group_key = None
+        held: list[pa.RecordBatch] = []
 
         def close_group() -> None:
-            nonlocal rows, groups
-            t = pa.Table.from_batches(held).replace_schema_metadata(named.metadata)
-            writer.write_table(t, row_group_size=max(1, t.num_rows))
-            rows, groups = rows + t.num_rows, groups + 1
-            held.clear()
+            if held:
+                writer.write_row_group(pa.Table.from_batches(held))
+                held.clear()
+                if sink.tell() > CELL_BYTES:
+                    raise WriterError(f"a file assembled in memory is over {CELL_BYTES} bytes")
+
+        def close_file() -> pa.RecordBatch:
+            close_group()
+            writer.finish()
+            content = sink.getvalue().to_pybytes()
+            return pa.RecordBatch.from_pylist([{"num_rows": writer.rows, "num_row_groups": writer.groups, "length": len(content), "content": content}], schema=out)
 
-        current = None
         for batch in batches:
-            keys = batch.column(batch.schema.get_field_index(group)).to_pylist()
-            start = 0
-            for i, k in enumerate(keys):
+            files = batch.column(batch.schema.get_field_index(by)).to_pylist() if by else [None] * batch.num_rows
+            groups = batch.column(batch.schema.get_field_index(group)).to_pylist()
+            kept = batch.select([c for c in batch.schema.names if c != by])
+            keys = list(zip(files, groups, strict=True))
+            cuts = [i for i in range(1, len(keys)) if keys[i] != keys[i - 1]]
+            for a, b in zip([0, *cuts], [*cuts, len(keys)], strict=True) if keys else ():
+                if writer is not None and files[a] != file_key:
+                    yield close_file()
+                    writer = None
                 if writer is None:
-                    named = batch.schema.with_metadata(pa.KeyValueMetadata([(CREATED_BY_KEY, CREATED_BY), *kv]))  # repeated keys are kept
-                    writer = pq.ParquetWriter(sink, named, compression="NONE" if codec in ("none", "uncompressed") else codec)
-                    current = k
-                if k != current:
-                    if i > start:
-                        held.append(batch.slice(start, i - start))
+                    sink, file_key, group_key = pa.BufferOutputStream(), files[a], groups[a]
+                    writer = OpenWriter(sink, kept.schema, codec=codec)
+                    for k, v in kv:
+                        writer.add(k, v)
+                if groups[a] != group_key:
                     close_group()
-                    start, current = i, k
-            if len(keys) > start:
-                held.append(batch.slice(start))
+                    group_key = groups[a]
+                held.append(kept.slice(a, b - a))
         if writer is not None:
-            close_group()
-            writer.close()
-            content = sink.getvalue().to_pybytes()
-            yield pa.RecordBatch.from_pylist([{"num_rows": rows, "num_row_groups": groups, "length": len(content), "content": content}], schema=out)
+            yield close_file()
 
     out = pa.schema([("num_rows", pa.int64()), ("num_row_groups", pa.int64()), ("length", pa.int64()), ("content", pa.binary())])
-    validate_flat_schema(schema)
+    validate_flat_schema(df.schema)
     ship(df.sparkSession)
-    ready = df.repartition(1).sortWithinPartitions(group, order)
+    ready = df.repartition(by).sortWithinPartitions(by, group, order) if by else df.repartition(1).sortWithinPartitions(group, order)
     return ready.mapInArrow(build, "num_rows long, num_row_groups long, length long, content binary")
 
 
 def store_bytes(files: DataFrame, path: str) -> int:
-    """Write assembled files (content) through the session's file systems, one at a time; returns how many."""
-    jvm, conf = files.sparkSession._jvm, files.sparkSession._jsc.hadoopConfiguration()
-    n = 0
-    for row in files.select("content").toLocalIterator():
-        target = jvm.org.apache.hadoop.fs.Path(f"{path}/part-{n:05d}.parquet")
-        stream = target.getFileSystem(conf).create(target, True)
-        stream.write(bytearray(row["content"]))
-        stream.close()
-        n += 1
-    return n
+    """Write assembled files (content) as files of ``path``, each in the task that has it; returns how many. The folder is a new one."""
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, folder = file_system(path)
+        system.create_dir(folder, recursive=True)
+        for batch in batches:
+            for row in batch.to_pylist():
+                name = f"part-{row['n']:011d}.parquet"
+                with system.open_output_stream(written := f"{folder}/.{name}-{uuid.uuid4().hex}") as f:
+                    f.write(row["content"])
+                system.move(written, f"{folder}/{name}")
+                yield pa.RecordBatch.from_pylist([{"n": row["n"]}], schema=pa.schema([("n", pa.int64())]))
+
+    ship(files.sparkSession)
+    return files.select(F.monotonically_increasing_id().alias("n"), "content").mapInArrow(put, "n long").count()

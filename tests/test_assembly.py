@@ -39,6 +39,37 @@ def test_reversed_groups(spark):
     assert [r.v for r in assemble.reorder(df, index).orderBy("new_ord").collect()] == [1.0, 0.0]
 
 
+def _two_files(spark):
+    """Two files whose row groups have the same numbers, the second one's longer."""
+    rows = [(f, g, g * n + i, 100 * j + 10 * g + i) for j, (f, n) in enumerate((("a", 2), ("b", 3))) for g in (0, 1) for i in range(n)]
+    return spark.createDataFrame(rows, "file string, rg long, ord long, v long")
+
+
+def test_groups_of_several_files_are_kept_apart(spark):
+    df = _two_files(spark)
+    index = o.row_group_index(df)
+    assert [tuple(r) for r in o.number_groups(index).orderBy("group_no").select("file", "rg", "start_row", "table_start").collect()] == [("a", 0, 0, 0), ("a", 1, 2, 2), ("b", 0, 0, 4), ("b", 1, 3, 7)]
+    moved = assemble.reorder(df, index).orderBy("new_ord").collect()
+    assert [r.new_ord for r in moved] == list(range(10)) and [r.v for r in moved] == [110, 111, 112, 100, 101, 102, 10, 11, 0, 1]
+    extra = df.select((F.when(F.col("file") == "a", "x").otherwise("y")).alias("file"), "rg", "ord", (F.col("v") + 1).alias("w"))
+    beside = assemble.add_column(df, extra, ["w"])
+    assert beside.count() == 10 and beside.where("w <> v + 1").isEmpty()
+    assert o.read_chunk(df, 1, "v").count() == 5 and o.read_chunk(df, 1, "v", file="b").count() == 3
+    assert assemble.copy_chunk(df, 1, "v", declared_rows=2, file="a").count() == 2
+    assert {(r.file, r.rg): r.num_values for r in o.null_counts(df, "v").collect()} == {("a", 0): 2, ("a", 1): 2, ("b", 0): 3, ("b", 1): 3}
+    with pytest.raises(o.RangeError, match="several files"):
+        o.start_of_group(index, 1)
+    assert o.start_of_group(index, 1, "b") == (3, 3)
+    with pytest.raises(assemble.AssemblyError, match="grouped by"):
+        assemble.reorder(df, index.drop("file"))
+
+
+def test_repeated_ordinals_are_refused(spark):
+    df = _two_files(spark).drop("file")
+    with pytest.raises(assemble.AssemblyError, match="ordinals"):
+        assemble.add_column(df, df.withColumnRenamed("v", "w"), ["w"])
+
+
 def test_append_checks_columns(spark):
     a, b = spark.createDataFrame([(0, 1)], "ord long, x int"), spark.createDataFrame([(0, 1)], "ord long, y int")
     with pytest.raises(SchemaError):
@@ -79,7 +110,7 @@ def test_contiguity(spark):
 def test_split_refuses_existing_targets(spark, tmp_path):
     df = _groups(spark, [2, 5])
     split.split_by_row_group(df, str(tmp_path / "s"))
-    with pytest.raises(Exception, match="already exists"):
+    with pytest.raises(split.SplitError, match="already exists"):
         split.split_by_row_group(df, str(tmp_path / "s"))
     files = footer.footers(spark, str(tmp_path / "s"), "files").collect()
     assert sorted(f.num_rows for f in files) == [2, 3]

@@ -52,13 +52,13 @@ def test_chunk_start_is_behind_the_magic():
 
 
 def test_custom_metadata(spark, tmp_path):
-    table = pa.table({"col1": [0, 2], "col2": [1, 3]}).replace_schema_metadata({"chicken": "potato"})
+    table = pa.table({"height": [0, 2], "weight": [1, 3]}).replace_schema_metadata({"origin": "field 7"})
     pq.write_table(table, tmp_path / "f.parquet", row_group_size=1)
     kv = footer.footers(spark, str(tmp_path / "f.parquet"), "kv")
-    assert footer.custom_metadata(kv, "chicken") == "potato" and footer.custom_metadata(kv, "chicke") is None
+    assert footer.custom_metadata(kv, "origin") == "field 7" and footer.custom_metadata(kv, "origi") is None
     chunks = footer.footers(spark, str(tmp_path / "f.parquet"), "column_chunks")
-    assert footer.column_chunk(chunks, 1, "col2").first().num_values == 1
-    for group, column in ((2, "col1"), (0, "none")):
+    assert footer.column_chunk(chunks, 1, "weight").first().num_values == 1
+    for group, column in ((2, "height"), (0, "none")):
         with pytest.raises(footer.FooterError):
             footer.column_chunk(chunks, group, column)
     with pytest.raises(footer.FooterError):

@@ -5,27 +5,30 @@ from rowgrove.plans import dictionary, processors
 from rowgrove.plans import ordinals as o
 from rowgrove.sources import footer, writer
 
-NULLS = [[None, None, 3], [None], [1, None], [None, 1], [1, None, None, None]]
-SKIP = [1, None, None, 2, 3, 4, 5, 6, 7, 8, 9]
+#: Every pattern of nulls in up to four rows; a value at every third place of a longer column is missing.
+NULLS = [[None if bits >> i & 1 else 10 * i for i in range(n)] for n in range(1, 5) for bits in range(1 << n)]
+SKIP = [None if i % 3 == 2 else i * i for i in range(13)]
 
 
 def written(spark, tmp_path, values, kind="int", **layout):
-    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], f"n long, chicken {kind}")
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], f"n long, measure {kind}")
     layout.setdefault("rows_per_group", 1_000_000)
     writer.write_row_groups(df, str(tmp_path / "t"), layout.pop("rows_per_group"), order=["n"], **layout)
     return o.scan(spark, str(tmp_path / "t"))
 
 
-@pytest.mark.parametrize("values", NULLS)
-def test_nulls_come_back_in_place(spark, tmp_path, values):
-    df = o.iterate(written(spark, tmp_path, values), "chicken")
-    assert [(r.is_null, r.value) for r in df.orderBy("ord").collect()] == [(v is None, v) for v in values]
+def test_nulls_come_back_in_place(spark, tmp_path):
+    rows = [(case, i, v) for case, values in enumerate(NULLS) for i, v in enumerate(values)]
+    df = spark.createDataFrame(rows, "case long, n long, measure int")
+    writer.write_row_groups(df, str(tmp_path / "t"), 7, order=["case", "n"])
+    back = o.iterate(o.scan(spark, str(tmp_path / "t")), "measure").orderBy("ord").collect()
+    assert [(r.is_null, r.value) for r in back] == [(v is None, v) for _, _, v in rows]
 
 
 def test_skip_at_every_row_of_small_pages(spark, tmp_path):
     df = o.logical_groups(written(spark, tmp_path, SKIP, page_rows=2), 100)
     for n in range(len(SKIP)):
-        assert [r.chicken for r in o.skip(df, n, len(SKIP)).orderBy("ord").collect()] == SKIP[n:]
+        assert [r.measure for r in o.skip(df, n, len(SKIP)).orderBy("ord").collect()] == SKIP[n:]
     for n in (-1, len(SKIP)):
         with pytest.raises(o.RangeError):
             o.skip(df, n, len(SKIP))
@@ -77,9 +80,9 @@ def test_ordinals_of_many_files(spark, tmp_path):
 def test_dictionary_round_trip_with_nulls(spark, tmp_path):
     values = [5, None, 7, 5, 5, None, 9, 7]
     df = o.logical_groups(written(spark, tmp_path, values), 4)
-    made = dictionary.build(df, "chicken")
+    made = dictionary.build(df, "measure")
     assert [tuple(r) for r in made.select("rg", "id", "value").orderBy("rg", "id").collect()] == [(0, 0, 5), (0, 1, 7), (1, 0, 5), (1, 1, 9), (1, 2, 7)]
-    back = dictionary.decode(dictionary.encode(df, "chicken", made), made)
+    back = dictionary.decode(dictionary.encode(df, "measure", made), made)
     assert [r.value for r in back.orderBy("ord").collect()] == values
 
 
