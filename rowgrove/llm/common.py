@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import functools
-import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.paths import reliable as reliable
 from ..functions.shipping import ship as ship_code
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -38,14 +38,12 @@ def ship(spark: SparkSession) -> None:
     ship_code(spark)
 
 
-def reliable(df: DataFrame) -> DataFrame:
-    """Cut the lineage through files in the folder of ``spark.checkpoint.dir``; a temporary one only where that is unset."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="rowgrove-checkpoint-"))
-    return df.checkpoint(eager=True)
+#: Rows of a narrow table (a few numbers each) that is broadcast; it is counted first, and joined by a shuffle beyond that.
+BROADCAST_ROWS = 200_000
+
+
+def broadcast_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    return F.broadcast(df) if df.count() <= rows else df
 
 
 def relieve() -> None:

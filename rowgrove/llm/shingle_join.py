@@ -1,43 +1,44 @@
-"""All pairs of texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, as links; none is missed.
+"""Exact confirmation for the near-duplicate stage: all pairs of texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-A shingle is the 64-bit XXH64 (seed 42) of five lower-cased words; fewer words are one shingle. Equal sets collapse first. Two sets of
-sizes n and m at 0.8 or more share one of the first n - ceil(0.8 n) + 1 shingles of each in any fixed order of all shingles (prefix
-filter), so texts meet on those alone; sizes and positions drop pairs that can't reach 0.8. Every pair left is confirmed on the whole texts.
+A shingle is the 64-bit XXH64 (seed 42) of five lower-cased words; fewer words are one shingle. Equal sets are one node. Two sets of sizes n and m at 0.8 or
+more have each at most a fifth of their shingles outside the other, so they share one of the first n - ceil(0.8 n) + 1 shingles of each, in any fixed
+order of all shingles. That is used twice:
 
-The order only decides the cost. Shingles in buckets that many texts fall into come last (``frequent_buckets``), so a common line isn't a meeting place.
-Texts that meet are first compared with the smallest key of the place; then all pairs that aren't in one component yet are.
-A dense group so costs its members, not its pairs.
+1. in order of the hashes, to find the sets that share such a shingle with any other at all (most sets don't and are done);
+2. among those, all shingles are counted. A set of which more than a fifth occurs nowhere else is done. The others meet on their first shingles in order
+   of count, the rarest first, so a passage that many texts share isn't a meeting place unless it is most of a text.
 
-Defined results: texts without words and rows with a null key have no links.
+Sets that meet are first compared with the smallest node of the place, then those that still aren't in one component with each other: a group of many
+copies costs its members, not its pairs. Sizes, places in the order and 64-bit parity sketches drop pairs that can't reach 0.8; what is left is confirmed
+on the whole sets. Counting is combined before shuffles, and hot shingles are met in joins that adaptive execution splits.
+
+Defined results: texts without words have no shingles and no links here.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import reliable, relieve
+from .common import broadcast_small, reliable, relieve
 
 SHINGLE_WORDS = 5
 SEED = 42
 #: The similarity from which texts are linked, as a fraction: 4 / 5.
 OVER, UNDER = 4, 5
-#: Buckets in which a task counts shingles; a bucket is frequent from this many texts in a task and this multiple of the mean.
-COUNT_BITS, FREQUENT, MULTIPLE = 22, 8, 4
-#: Most frequent buckets that are kept, rows of (shingle, text) that a task joins, rows of a table that is broadcast.
-KEPT_BUCKETS, TASK_ROWS, BROADCAST_ROWS = 1 << 17, 1_000_000, 200_000
-PAIRS_AT_ONCE = 1 << 18
+#: Rows of (shingle, node) that a task looks at.
+TASK_ROWS = 1_000_000
+PAIRS_AT_ONCE = 1 << 16
 
 
-def shingles(text: str | None) -> np.ndarray:
-    """The sorted set of a text's shingles."""
+def shingles(words: list[bytes]) -> np.ndarray:
+    """The sorted set of shingles of lower-cased words."""
     import xxhash
 
-    words = text.encode("utf-8", "replace").lower().split() if text else []
     if not words:
         return np.zeros(0, np.uint64)
     line = memoryview(b" ".join(words))
@@ -48,173 +49,123 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(np.array([digest(line[a:b], SEED) for a, b in zip(starts[: len(words) - k + 1].tolist(), (ends[k - 1 :] - 1).tolist(), strict=True)], np.uint64))
 
 
-def similar(a: np.ndarray, b: np.ndarray) -> bool:
-    shared = len(np.intersect1d(a, b, assume_unique=True))
-    return UNDER * shared >= OVER * (len(a) + len(b) - shared)
+def words_of(text: str | None) -> list[bytes]:
+    return text.encode("utf-8", "replace").lower().split() if text else []
+
+
+def prefix_size(n: int) -> int:
+    """How many shingles of a set of ``n`` one of a similar set's must be among."""
+    return n - -(-OVER * n // UNDER) + 1 if n else 0
 
 
-def bucket_of(x: np.ndarray) -> np.ndarray:
-    return (x >> np.uint64(64 - COUNT_BITS)).astype(np.int64)
+def measured(x: np.ndarray) -> tuple[int, int, int, list[int]]:
+    """(digest, second digest, size, first shingles in order of their hashes) of a set."""
+    import xxhash
+
+    raw = x.tobytes()
+    one, two = np.array([xxhash.xxh64_intdigest(raw, SEED), xxhash.xxh64_intdigest(raw, SEED + 1)], np.uint64).view(np.int64).tolist()
+    return one, two, len(x), x[: prefix_size(len(x))].view(np.int64).tolist()
 
 
-def frequent_buckets(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket, texts) of the most frequent buckets, by bucket, counted over all rows."""
+def whole_sets(text: Column) -> Column:
+    """All shingles of texts, as signed numbers."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts = np.zeros(1 << COUNT_BITS, np.int32)
-        for batch in batches:
-            for text in batch["text"]:
-                np.add.at(counts, bucket_of(shingles(text)), 1)
+    @F.pandas_udf("array<long>")
+    def made(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([shingles(words_of(x)).view(np.int64) for x in texts], dtype=object)
             relieve()
-        often = np.flatnonzero(counts >= max(FREQUENT, MULTIPLE * counts.mean()))
-        yield pd.DataFrame({"bucket": often, "n": counts[often].astype(np.int64)})
 
-    found = texts.select("text").mapInPandas(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "bucket").limit(KEPT_BUCKETS).toPandas().sort_values("bucket")
-    return found["bucket"].to_numpy(np.int64), found["n"].to_numpy(np.int64)
+    return made(text)
 
 
-def prefix(x: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """The shingles of a set that have to meet one of another's, rarest first."""
-    n = len(x)
-    rank = np.zeros(n, np.int64)
-    if len(frequent[0]):
-        bucket = bucket_of(x)
-        at = np.minimum(np.searchsorted(frequent[0], bucket), len(frequent[0]) - 1)
-        rank = np.where(frequent[0][at] == bucket, frequent[1][at], 0)
-    return x[np.lexsort((x, rank))][: n - -(-OVER * n // UNDER) + 1]
+def counted(rows: DataFrame) -> DataFrame:
+    """Rows (shingle, ...) whose shingle occurs more than once, with its count ``df``."""
+    often = rows.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
+    return rows.join(often, "shingle")
 
 
-def _fits(n: np.ndarray, at: np.ndarray, m: np.ndarray, to: np.ndarray) -> np.ndarray:
-    """Whether sets of sizes n and m that share the shingle at these positions may reach the similarity."""
-    most = np.minimum(at, to) + np.minimum(n - at, m - to)
-    return (OVER * np.maximum(n, m) <= UNDER * np.minimum(n, m)) & ((OVER + UNDER) * most >= OVER * (n + m))
+def _fits(n: Column, at: Column, m: Column, to: Column) -> Column:
+    """Whether sets of sizes n and m that share the shingle at these places of the order may reach the similarity."""
+    most = F.least(at, to) + F.least(n - at, m - to)
+    return (OVER * F.greatest(n, m) <= UNDER * F.least(n, m)) & ((OVER + UNDER) * most >= OVER * (n + m))
 
 
-def _groups(batches: Iterator[pd.DataFrame], columns: list[str]) -> Iterator[tuple[np.ndarray, ...]]:
+def other_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Pairs of a meeting place in different components that sizes, places and sketches leave possible."""
     held = [x for x in batches if len(x)]
     if not held:
         return
-    every = pd.concat(held, ignore_index=True).sort_values(["shingle", *columns], kind="stable")
-    shingle = every["shingle"].to_numpy()
-    arrays = [every[c].to_numpy(np.int64) for c in columns]
+    every = pd.concat(held, ignore_index=True).sort_values(["shingle", "n", "node"], kind="stable")
+    shingle, n, node, at, part = (every[c].to_numpy(np.int64) for c in ("shingle", "n", "node", "at", "component"))
+    sketch = every["sketch"].to_numpy(np.int64).view(np.uint64)
     cuts = np.concatenate(([0], np.flatnonzero(shingle[1:] != shingle[:-1]) + 1, [len(shingle)]))
-    for i in np.flatnonzero(np.diff(cuts) > 1).tolist():
-        yield tuple(x[cuts[i] : cuts[i + 1]] for x in arrays)
-
-
-def _frames(pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pd.DataFrame]:
-    """Pairs in frames of bounded size, without those that a frame holds twice."""
-    held, size = [], 0
-    for a, b in pairs:
-        held.append(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1))
-        size += len(a)
-        if size >= PAIRS_AT_ONCE:
-            yield pd.DataFrame(np.concatenate(held), columns=["a", "b"]).drop_duplicates()
-            held, size = [], 0
+    out, size = [], 0
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        if part[a:b].min() == part[a:b].max():
+            continue
+        ends = a + np.searchsorted(n[a:b], UNDER * n[a:b] // OVER, side="right")
+        for i in range(a, b - 1):
+            j = np.arange(i + 1, ends[i - a])
+            j = j[part[j] != part[i]]
+            most = np.minimum(at[i], at[j]) + np.minimum(n[i] - at[i], n[j] - at[j])
+            apart = np.bitwise_count(sketch[i] ^ sketch[j]).astype(np.int64)
+            j = j[((OVER + UNDER) * most >= OVER * (n[i] + n[j])) & ((OVER + UNDER) * apart <= (n[i] + n[j]) * (UNDER - OVER))]
+            if len(j):
+                out.append(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])], axis=1))
+                size += len(j)
+                if size >= PAIRS_AT_ONCE:
+                    yield pd.DataFrame(np.concatenate(out), columns=["a", "b"]).drop_duplicates()
+                    out, size = [], 0
     if size:
-        yield pd.DataFrame(np.concatenate(held), columns=["a", "b"]).drop_duplicates()
-
-
-def first_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Pairs of the smallest key of each meeting place with its others."""
-
-    def pairs():
-        for key, n, at in _groups(batches, ["key", "n", "at"]):
-            ok = np.flatnonzero(_fits(n[:1], at[:1], n[1:], at[1:])) + 1
-            if len(ok):
-                yield np.repeat(key[:1], len(ok)), key[ok]
-
-    yield from _frames(pairs())
-
-
-def other_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """All pairs of a meeting place whose components differ."""
-
-    def pairs():
-        for n, key, at, component in _groups(batches, ["n", "key", "at", "component"]):
-            if component.min() == component.max():
-                continue
-            ends = np.searchsorted(n, UNDER * n // OVER, side="right")
-            for i in range(len(n) - 1):
-                j = np.arange(i + 1, ends[i])
-                j = j[(component[j] != component[i]) & _fits(n[i], at[i], n[j], at[j])]
-                if len(j):
-                    yield np.repeat(key[i], len(j)), key[j]
-
-    yield from _frames(pairs())
-
-
-def broadcast_small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
-def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) of keys whose texts are similar."""
-    pairs = pairs.select("a", "b")
-    sent = broadcast_small(pairs.select("a", F.col("b").alias("key")).union(pairs.select("a", F.col("a").alias("key")).distinct()))
-    beside = texts.join(sent, "key").select("a", "key", "text")
-
-    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        leader, sets = None, []
-        for batch in batches:
-            found = []
-            for a, key, text in zip(batch["a"].tolist(), batch["key"].tolist(), batch["text"], strict=True):
-                if a != leader:
-                    leader, sets = a, []
-                if key == a:
-                    sets.append(shingles(text))
-                elif any(similar(x, y) for y in [shingles(text)] for x in sets):
-                    found.append((a, key))
-            yield pd.DataFrame(found, columns=["a", "b"], dtype="int64")
-            relieve()
-
-    # The smaller key of a pair comes before its partners; a partner's text travels once for each pair.
-    return beside.repartition("a").sortWithinPartitions("a", "key").mapInPandas(check, "a long, b long").distinct()
-
-
-def links(docs: DataFrame, known: DataFrame, components, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Links (a, b) that span the components of ``known`` links and of all similar pairs; ``components`` makes (node, component) of links."""
-    texts = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    spark = docs.sparkSession
-    frequent = spark.sparkContext.broadcast(frequent_buckets(texts))
-
-    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import xxhash
-
-        for batch in batches:
-            sets = [shingles(x) for x in batch["text"]]
-            whole = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64).view(np.int64)
-            yield pd.DataFrame({"key": batch["key"], "whole": whole, "n": [len(x) for x in sets]})
-            relieve()
-
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            sets = [shingles(x) for x in batch["text"]]
-            # A meeting place is the uppermost 40 bits of a shingle; places that two shingles share only add pairs to confirm.
-            places = [(prefix(x, frequent.value) >> np.uint64(24)).astype(np.int64) if len(x) else x.view(np.int64) for x in sets]
-            yield pd.DataFrame({"key": batch["key"], "n": [len(x) for x in sets], "prefix": places})
-            relieve()
-
-    every = reliable(texts.mapInPandas(measure, "key long, whole long, n long").where("n > 0"))
-    owner = every.groupBy("whole", "n").agg(F.min("key").alias("rep"))
-    copies = reliable(every.join(owner, ["whole", "n"]).where("key <> rep").select(F.col("rep").alias("a"), F.col("key").alias("b")).distinct())
-    # A key with several texts may be a copy by one of them only; it then meets by all.
-    single = every.groupBy("key").agg(F.count_distinct("whole").alias("texts")).where("texts = 1").select("key")
-    gone = reliable(copies.select(F.col("b").alias("key")).distinct().join(single, "key", "left_semi"))
-    meets = texts.join(broadcast_small(gone), "key", "left_anti").mapInPandas(cut, "key long, n long, prefix array<long>").select("key", "n", F.posexplode("prefix").alias("at", "shingle"))
-    rows = (every.agg(F.sum("n")).first()[0] or 0) // UNDER
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows // TASK_ROWS)
-
-    def met(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = [x for x in batches if len(x)]
-        if held:
-            x = pd.concat(held, ignore_index=True)
-            yield x[x.duplicated("shingle", keep=False)]
-
-    shared = reliable(meets.repartition(tasks, "shingle").mapInPandas(met, "key long, n long, at long, shingle long"))
-    pairs = reliable(shared.repartition(tasks, "shingle").mapInPandas(first_pairs, "a long, b long").where("a <> b").distinct())
-    found = known.union(copies).union(confirmed(pairs, texts))
-    state = reliable(components(found))
-    here = shared.join(broadcast_small(state.withColumnRenamed("node", "key")), "key", "left").withColumn("component", F.coalesce("component", "key"))
-    pairs = reliable(here.repartition(tasks, "shingle").mapInPandas(other_pairs, "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti"))
-    return state.select(F.col("node").alias("a"), F.col("component").alias("b")).union(confirmed(pairs, texts))
+        yield pd.DataFrame(np.concatenate(out), columns=["a", "b"]).drop_duplicates()
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets are similar."""
+    one = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
+    two = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
+    shared = F.size(F.array_intersect("x", "y"))
+    similar = UNDER * shared >= OVER * (F.size("x") + F.size("y") - shared)
+    return pairs.join(two, "b").join(one, "a").where(similar).select("a", "b")
+
+
+def links(rows: DataFrame, texts: DataFrame, known: DataFrame, components: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Links (a, b) between nodes that span the components of ``known`` links and of all similar pairs.
+
+    ``rows`` is (node, one, two, n, prefix), a row or more for each node; ``texts`` is (one, two, text), which digests (one, two) name;
+    ``components`` makes (node, component) of links.
+    """
+    spark = rows.sparkSession
+    meets = rows.where("n > 0").select("node", F.explode("prefix").alias("shingle")).distinct()
+    some = counted(meets).select("node").distinct()
+    # All shingles of the sets that meet any other, from one text of each node.
+    text_of = rows.groupBy("node").agg(F.min(F.struct("one", "two")).alias("t")).join(some, "node").select("node", "t.*")
+    full = texts.join(broadcast_small(reliable(text_of)), ["one", "two"]).select("node", whole_sets(F.col("text")).alias("shingles"))
+    sets = reliable(full.groupBy("node").agg(F.any_value("shingles").alias("shingles")))
+    shared = counted(sets.select("node", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle")))
+    ranked = shared.groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("common"))
+    alone, allowed = F.col("n") - F.size("common"), F.floor(F.col("n") * (UNDER - OVER) / UNDER).cast("int")
+    first = F.slice("common", F.lit(1), F.greatest(allowed + 1 - alone, F.lit(1)))
+    sketch = F.aggregate("shingles", F.lit(0).cast("long"), lambda s, x: s.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63).cast("long")).cast("int"))))
+    kept = ranked.where(alone <= allowed).select("node", "n", alone.alias("alone"), first.alias("first"))
+    sketches = sets.select("node", sketch.alias("sketch"))
+    places = reliable(kept.join(sketches, "node").select("node", "n", "alone", "sketch", F.posexplode("first").alias("i", "x")).select("node", "n", "sketch", (F.col("alone") + F.col("i")).alias("at"), "x.shingle"))
+    leader = places.groupBy("shingle").agg(F.min(F.struct("node", "n", "at")).alias("lead"), F.count("*").alias("here")).where("here > 1")
+    met = places.join(leader, "shingle").where((F.col("node") != F.col("lead.node")) & _fits(F.col("n"), F.col("at"), F.col("lead.n"), F.col("lead.at")))
+    pairs = reliable(met.select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b")).distinct())
+    part = lambda state, c: state.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))
+
+    def apart(pairs: DataFrame, state: DataFrame) -> DataFrame:
+        """Pairs that no link joins yet."""
+        beside = pairs.join(broadcast_small(part(state, "a")), "a", "left").join(broadcast_small(part(state, "b")), "b", "left")
+        return beside.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
+
+    state = reliable(components(known))
+    state = reliable(components(known.union(reliable(confirmed(apart(pairs, state), sets)))))
+    here = places.join(broadcast_small(state), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    several = here.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("shingle")
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), places.count() // TASK_ROWS)
+    more = here.join(several, "shingle").repartition(tasks, "shingle").mapInPandas(other_pairs, "a long, b long").distinct()
+    more = reliable(more.join(pairs, ["a", "b"], "left_anti"))
+    return state.select(F.col("node").alias("a"), F.col("component").alias("b")).union(confirmed(more, sets))

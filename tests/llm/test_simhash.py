@@ -97,6 +97,24 @@ def test_edges(spark, docs_of):
     keyless = df.withColumn("doc_id", s.F.lit(None).cast("long")).where("text LIKE 'same%' OR text LIKE 'quite%'")
     more = keyless.union(keyless.limit(1).withColumn("text", s.F.lit("only here without a key")))
     assert sorted((str(r.doc_id), str(r.component_id)) for r in s.near_duplicates(df.union(more)).where("doc_id IS NULL").collect()) == [("None", "3"), ("None", "3"), ("None", "6"), ("None", "None")]
-    assert s.keep_one_each(spark, df.union(df).union(more), "").count() == 7
+    assert s.keep_one_each(spark, df.union(df).union(more), "").count() == 4
     kept = s.keep_one_each(spark, df.union(df), "")
     assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [0, 3, 6]
+    with pytest.raises(TypeError, match="integers"):
+        s.near_duplicates(df.withColumn("doc_id", s.F.lit("a")))
+
+
+def test_hot_blocks_are_split(spark):
+    """All prints share a block: its key is split by the other bits, and no link is lost."""
+    r = random.Random(8)
+    prints = [0xABC0000000000000 | r.getrandbits(48) for _ in range(300)]
+    prints = list(dict.fromkeys(prints + [p ^ sum(1 << b for b in r.sample(range(48), r.randint(1, 4))) for p in prints]))
+    rows = [(p - (1 << 64) if p >> 63 else p, i) for i, p in enumerate(prints)]
+    df = spark.createDataFrame(rows, "print long, rep long")
+    for task_rows in (100, 1 << 30):
+        found = s.components(s.spanning_links(df, len(rows), 4, task_rows)).collect()
+        root = {r.node: r.component for r in found}
+        assert [root.get(i, i) for i in range(len(prints))] == plain_components(prints)
+    for first, bits in s.blocks(4):
+        spans = [x % 64 for a, n in s.sub_blocks(first, bits, 4) for x in range(a, a + n)]
+        assert len(spans) == len(set(spans)) and not set(spans) & set(range(first, first + bits))
