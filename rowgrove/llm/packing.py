@@ -1,14 +1,17 @@
 """Packing by first-fit decreasing over a tournament tree, in randomised groups.
 
 Each document is tokenized where it lies and cut at every ``capacity`` ids, so all pieces but a document's last fill a
-sequence; only piece descriptions (a few numbers, no ids) are dealt out by a hash into randomised groups of bounded
-expected size. Within a group, pieces go in decreasing length to the first sequence with room. A tournament tree holds at each inner
-node the largest remaining room below it, so finding the first fit and updating it take log(sequences) steps.
+sequence. A full piece is a sequence of its own and isn't grouped. Of every other piece only a description (a few numbers, no ids) is dealt by
+chance into groups of ``group_pieces`` expected pieces; a document has at most one, so their number is known from the number of rows. Chance goes by row,
+not by value, so many equal rows spread like any others. Within a group, pieces go in decreasing length to the first sequence with room. A tournament
+tree holds at each inner node the largest remaining room below it, so finding the first fit and updating it take log(sequences) steps.
 
 Padding: full pieces waste nothing, and remainders share sequences; a group can leave one sparsely filled sequence.
 Defined results: a null or empty text is a document of the end id alone; any length is packed whole; an empty table gives
 an empty result; repeated rows are packed once each; ties in length go by (document, start, crc); null
-keys are keys; other columns are ignored. Rows are pieces, so ids are never lost: each lies in exactly one piece.
+keys are keys; other columns are ignored. Rows are pieces, so ids are never lost: each lies in exactly one piece. Files that aren't plain
+byte-level BPE are encoded by their library. A task that is run again deals its rows alike as long as its input comes in the same order, as that
+of a scan does.
 """
 
 from __future__ import annotations
@@ -19,11 +22,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import relieve, ship, table
-from .vocab import ids_engine, merges_agree
+from .vocab import ids_of, proof
 
 VOCABULARY = "byte_bpe_50k.json"
 CAPACITY = 2048
@@ -31,6 +35,8 @@ END_ID = 1
 #: Expected pieces of a randomised group: large enough to make its one open sequence negligible, small enough for one task.
 GROUP_PIECES = 16_384
 SEED = 20_011
+#: From here on sequences are numbered that one piece fills.
+FULL = 1 << 62
 
 PIECE = "array<struct<start:long,length:long,ids_crc32:long,doc_tokens:long>>"
 
@@ -89,16 +95,18 @@ def pieces_of(ids: np.ndarray, capacity: int) -> list[dict]:
 
 
 def cut_documents(docs: DataFrame, path: str, *, key: str, text: str, capacity: int, end_id: int) -> DataFrame:
-    """One row per piece: key, start, length, ids_crc32, doc_tokens."""
+    """One row per piece: key (as doc), row, start, length, ids_crc32, doc_tokens."""
+    by_rank = proof(path).by_rank
 
     @F.pandas_udf(PIECE)
     def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        engine = ids_engine(path)
+        encode = ids_of(path, by_rank)
         for texts in batches:
-            yield pd.Series([pieces_of(np.append(engine.encode_to_numpy(x or "", allowed_special="all"), np.uint32(end_id)), capacity) for x in texts], dtype=object)
+            yield pd.Series([pieces_of(np.append(encode(x or ""), np.uint32(end_id)), capacity) for x in texts], dtype=object)
             relieve()
 
-    return docs.select(F.col(key).alias("doc"), F.explode(cut(F.coalesce(F.col(text), F.lit("")))).alias("piece")).select("doc", "piece.*")
+    numbered = docs.select(F.col(key).alias("doc"), F.col(text).alias("text"), F.monotonically_increasing_id().alias("row"))
+    return numbered.select("doc", "row", F.explode(cut(F.coalesce(F.col("text"), F.lit("")))).alias("piece")).select("doc", "row", "piece.*")
 
 
 def pack_documents(
@@ -106,26 +114,48 @@ def pack_documents(
 ) -> DataFrame:
     """Pack every document into sequences of at most ``capacity`` ids.
 
-    Returns, per piece: key, start, length, ids_crc32, doc_tokens, sequence_id, offset.
+    Returns, per piece: key, start, length, ids_crc32, doc_tokens, sequence_id, offset. A full piece's sequence_id is 2**62 and more.
     """
     ship(docs.sparkSession)
-    if not merges_agree(path):
-        raise ValueError(f"{path}: some vocabulary strings don't encode alone, so merging by rank isn't proven")
     key_type = docs.schema[key].dataType.simpleString()
     groups = max(1, -(-docs.count() // group_pieces))
     pieces = cut_documents(docs, path, key=key, text=text, capacity=capacity, end_id=end_id)
-    # A full piece needs no partner: its sequence is its own, so only what is below capacity is grouped by chance.
-    grouped = pieces.withColumn("grp", F.pmod(F.xxhash64(F.lit(seed), "doc", "start", "ids_crc32"), F.lit(groups)))
-
-    def pack(group: pa.Table) -> pa.Table:  # an Arrow table keeps null keys and large ones exact
-        group = group.sort_by([("doc", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")])
-        sequence, offset = first_fit_decreasing(group["length"].to_numpy(), capacity)
-        numbers = (group["grp"].to_numpy().astype(np.int64) << 32) + sequence
-        columns = [group["doc"], *(group[c] for c in ("start", "length", "ids_crc32", "doc_tokens")), pa.array(numbers, pa.int64()), pa.array(offset, pa.int64())]
-        return pa.table(columns, names=[key, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
-
+    numbers = ["start", "length", "ids_crc32", "doc_tokens"]
+    names = [key, *numbers, "sequence_id", "offset"]
+    full = F.col("length") == capacity
+    own = F.lit(FULL) + F.monotonically_increasing_id()
+    dealt = pieces.withColumns({"grp": F.when(~full, F.pmod(F.xxhash64(F.lit(seed), "row"), F.lit(groups))), "own": own})
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+
+        def close_group() -> Iterator[pa.RecordBatch]:
+            if not held:
+                return
+            group = pa.concat_tables(held)
+            held.clear()
+            sequence, offset = first_fit_decreasing(group["length"].to_numpy(), capacity)
+            taken = (group["grp"].to_numpy().astype(np.int64) << 32) + sequence
+            yield from pa.table([group["doc"], *(group[c] for c in numbers), pa.array(taken, pa.int64()), pa.array(offset, pa.int64())], names=names).to_batches()
+
+        for batch in batches:  # Arrow keeps null keys and large ones exact
+            rows = pa.table(batch)
+            alone = rows.filter(pc.is_null(rows["grp"]))
+            if len(alone):
+                yield from pa.table([alone["doc"], *(alone[c] for c in numbers), alone["own"], pa.array(np.zeros(len(alone), np.int64))], names=names).to_batches()
+            rows = rows.filter(pc.is_valid(rows["grp"]))
+            grp = rows["grp"].to_numpy()
+            cuts = [0, *(np.flatnonzero(grp[1:] != grp[:-1]) + 1).tolist(), len(grp)]
+            for a, b in zip(cuts, cuts[1:] if len(grp) else [], strict=False):
+                if held and held[-1]["grp"][0].as_py() != grp[a]:
+                    yield from close_group()
+                held.append(rows.slice(a, b - a))
+        yield from close_group()
+
+    # Full pieces may go anywhere; the rest comes group by group, so that a task holds one group.
+    spread = dealt.repartition(F.coalesce("grp", "own")).sortWithinPartitions("grp", "doc", "start", "ids_crc32")
     schema = f"`{key}` {key_type}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    return grouped.groupBy("grp").applyInArrow(pack, schema)
+    return spread.select("doc", *numbers, "grp", "own").mapInArrow(pack, schema)
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

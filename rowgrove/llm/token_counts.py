@@ -1,13 +1,13 @@
 """Token counts by a whole-token shortcut.
 
-Offline, each vocabulary string is put to the tokenizer alone; those that come back as one id are proven whole tokens.
+Offline, each vocabulary string is put to the tokenizer alone; those that come back as one id are proven whole tokens (``vocab.prove``).
 A text is cut into pre-tokens, pre-tokens among the proven strings count one each without any merging, and only the
-rest are merged by rank (a bounded table remembers their counts within a worker).
+rest are merged (a bounded table remembers their counts within a worker). Strings that aren't proven are merged like any other.
 
 Counts equal the library's for whole texts: no begin, end or added tokens, special strings inside texts count as the
-library's default takes them (one token), no truncation. Defined results: null and empty texts have 0 bytes and 0 tokens;
-texts of any length are counted whole; repeated rows each get their row; an empty table gives an empty result; other
-columns are passed by (only the named ones are read), so clashing names can't matter.
+library's default takes them (one token), no truncation. Files that aren't plain byte-level BPE (``vocab``) are counted by their library alone.
+Defined results: null and empty texts have 0 bytes and 0 tokens; texts of any length and any characters are counted whole; repeated rows each get
+their row; an empty table gives an empty result; other columns are passed by (only the named ones are read), so clashing names can't matter.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import ship, table
-from .vocab import OUTSIDE_AGREED, ids_engine, library, merges_agree, pieces_of_text, whole_words
+from .vocab import Proof, library, merged_count, pre_tokens, proof, whole_words
 
 VOCABULARY = "byte_bpe_50k.json"
 LIMIT = 1024
@@ -30,62 +30,47 @@ REMEMBERED = 400_000
 class _Counts(dict):
     """Tokens of a pre-token: 1 for the proven, merged once for the rest."""
 
-    def __init__(self, path: str):
-        super().__init__(dict.fromkeys(whole_words(path), 1))
-        self.start = len(self)
-        self.path = path
-        self.merge = ids_engine(path)._core_bpe.encode_single_piece
+    def __init__(self, path: str, known: Proof):
+        super().__init__()
+        self.proven = dict.fromkeys(whole_words(path, known.unproven), 1)
+        self.merged = merged_count(path, known.by_rank)
+        self.update(self.proven)
 
     def __missing__(self, piece: str) -> int:
-        if len(self) - self.start > REMEMBERED:
+        if len(self) - len(self.proven) > REMEMBERED:
             self.clear()
-            self.update(dict.fromkeys(whole_words(self.path), 1))
-        n = self[piece] = len(self.merge(piece.encode("utf-8")))
+            self.update(self.proven)
+        n = self[piece] = self.merged(piece.encode("utf-8"))
         return n
 
 
-def has_shortcut(path: str) -> bool:
-    """Whether the whole-token shortcut is proven for the tokenizer file ``path``."""
-    if path.endswith(".model"):
-        return False
-    try:
-        return merges_agree(path)
-    except ValueError:
-        return False
-
-
-def counter(path: str, shortcut: bool):
+def counter(path: str, known: Proof | None = None):
     """A function from text to its token count under the tokenizer file ``path`` (.json or .model)."""
     if path.endswith(".model"):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         return lambda text: len(model.encode(text))
-    if not shortcut:  # another kind of vocabulary: the library itself
+    known = known or proof(path)
+    if not known.plain:  # another kind of vocabulary: the library itself
         plain = library(path)
         return lambda text: len(plain.encode(text, add_special_tokens=False).ids)
-    engine = ids_engine(path)
-    counts = _Counts(path)
-    pattern, special = pieces_of_text(path)
+    counts, cut = _Counts(path, known), pre_tokens(path)
 
     def count(text: str) -> int:
-        if OUTSIDE_AGREED.search(text):
-            return len(engine.encode_to_numpy(text, allowed_special="all"))
-        if special is None or not special.search(text):
-            return sum(map(counts.__getitem__, pattern.findall(text)))
-        parts = special.split(text)
-        return len(parts) - 1 + sum(sum(map(counts.__getitem__, pattern.findall(x))) for x in parts)
+        pieces, special = cut(text)
+        return special + sum(map(counts.__getitem__, pieces))
 
     return count
 
 
 def token_count(text: Column, path: str) -> Column:
     """Tokens of ``text``, 0 for null."""
-    shortcut = has_shortcut(path)
+    known = proof(path)
 
     @F.pandas_udf("long")
     def counted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        count = counter(path, shortcut)
+        count = counter(path, known)
         for texts in batches:
             yield pd.Series([count(x) if x else 0 for x in texts], dtype="int64")
 
