@@ -22,7 +22,7 @@ def ship(spark: SparkSession) -> None:
     archive = os.path.join(tempfile.mkdtemp(prefix="rowgrove-code-"), "rowgrove_code.zip")
     with zipfile.ZipFile(archive, "w") as z:
         for f in sorted((_ROOT / "rowgrove").rglob("*")):
-            if f.suffix in {".py", ".npz"}:
+            if f.suffix in {".py", ".npz", ".json"}:
                 z.write(f, f.relative_to(_ROOT))
     sc.addPyFile(archive)
     _shipped.add(sc.applicationId)
