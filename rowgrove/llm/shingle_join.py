@@ -1,12 +1,13 @@
 """Exact confirmation for the near-duplicate stage: all pairs of texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-A shingle is the 64-bit XXH64 (seed 42) of five lower-cased words; fewer words are one shingle. Equal sets are one node. Two sets of sizes n and m at 0.8 or
-more have each at most a fifth of their shingles outside the other, so they share one of the first n - ceil(0.8 n) + 1 shingles of each, in any fixed
-order of all shingles. That is used twice:
+A shingle is the 64-bit XXH64 (seed 42) of five lower-cased words; fewer words are one shingle. Equal sets are one node. Of two sets at 0.8 or
+more each has at most a fifth of its shingles outside the other. That is used twice:
 
-1. in order of the hashes, to find the sets that share such a shingle with any other at all (most sets don't and are done);
-2. among those, all shingles are counted. A set of which more than a fifth occurs nowhere else is done. The others meet on their first shingles in order
-   of count, the rarest first, so a passage that many texts share isn't a meeting place unless it is most of a text.
+1. Of each set the first three tenths in order of the hashes are looked at. A set with more than a fifth (of all its shingles) among them that occur in
+   no other set's first ones is done; most sets are. (Of a similar set, the first ones hold all but a fifth of them: what it lacks, and what its own others push out.)
+2. Of the others, all shingles are counted. A set of which more than a fifth occurs nowhere else is done. The rest meet on their first shingles in order
+   of count, the rarest first, so a passage that many texts share isn't a meeting place unless it is most of a text. Similar sets of n and m shingles
+   share one of the first n - ceil(0.8 n) + 1 of each in any common order.
 
 Sets that meet are first compared with the smallest node of the place, then those that still aren't in one component with each other: a group of many
 copies costs its members, not its pairs. Sizes, places in the order and 64-bit parity sketches drop pairs that can't reach 0.8; what is left is confirmed
@@ -53,9 +54,9 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "replace").lower().split() if text else []
 
 
-def prefix_size(n: int) -> int:
-    """How many shingles of a set of ``n`` one of a similar set's must be among."""
-    return n - -(-OVER * n // UNDER) + 1 if n else 0
+def first_size(n: int) -> int:
+    """How many shingles of a set are looked at first: a fifth that a similar set may lack, and a tenth that it must have."""
+    return min(n, n // UNDER + 1 + n // 10)
 
 
 def measured(x: np.ndarray) -> tuple[int, int, int, list[int]]:
@@ -64,7 +65,7 @@ def measured(x: np.ndarray) -> tuple[int, int, int, list[int]]:
 
     raw = x.tobytes()
     one, two = np.array([xxhash.xxh64_intdigest(raw, SEED), xxhash.xxh64_intdigest(raw, SEED + 1)], np.uint64).view(np.int64).tolist()
-    return one, two, len(x), x[: prefix_size(len(x))].view(np.int64).tolist()
+    return one, two, len(x), x[: first_size(len(x))].view(np.int64).tolist()
 
 
 def whole_sets(text: Column) -> Column:
@@ -137,10 +138,13 @@ def links(rows: DataFrame, texts: DataFrame, known: DataFrame, components: Calla
     ``components`` makes (node, component) of links.
     """
     spark = rows.sparkSession
-    meets = rows.where("n > 0").select("node", F.explode("prefix").alias("shingle")).distinct()
-    some = counted(meets).select("node").distinct()
-    # All shingles of the sets that meet any other, from one text of each node.
-    text_of = rows.groupBy("node").agg(F.min(F.struct("one", "two")).alias("t")).join(some, "node").select("node", "t.*")
+    # A shingle of one node only is counted for that node, however many rows it has; both counts are combined before their shuffle.
+    firsts = rows.select("node", F.explode("prefix").alias("shingle")).groupBy("shingle").agg(F.min("node").alias("node"), F.max("node").alias("high"))
+    alone = firsts.where("node = high").groupBy("node").agg(F.count("*").alias("alone"))
+    each = rows.where("n > 0").groupBy("node").agg(F.min("n").alias("n"), F.min(F.struct("one", "two")).alias("t"))
+    some = each.join(alone, "node", "left").where(F.coalesce("alone", F.lit(0)) <= F.floor(F.col("n") * (UNDER - OVER) / UNDER))
+    # All shingles of the sets that are left, from one text of each node.
+    text_of = some.select("node", "t.*")
     full = texts.join(broadcast_small(reliable(text_of)), ["one", "two"]).select("node", whole_sets(F.col("text")).alias("shingles"))
     sets = reliable(full.groupBy("node").agg(F.any_value("shingles").alias("shingles")))
     shared = counted(sets.select("node", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle")))

@@ -107,3 +107,14 @@ def test_a_group_of_near_copies_makes_few_pairs(spark, docs_of):
     finally:
         sj.confirmed = plain
     assert sum(seen) < 300 * 12
+
+
+def test_the_first_shingles_of_similar_sets_hold_enough_of_each_other():
+    """For all sizes: what a similar set lacks, or its others push out of its first shingles, is at most a fifth."""
+    for n in range(1, 130):
+        for m in range(1, 130):
+            both = -(-4 * (n + m) // 9)
+            if both <= min(n, m):
+                lacking, others = n - both, m - both
+                lost = max(lacking, sj.first_size(n) - sj.first_size(m) + others) if sj.first_size(m) < m else lacking
+                assert lost <= n // 5, (n, m)
