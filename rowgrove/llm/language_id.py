@@ -2,11 +2,12 @@
 
 Text likelihoods come from trigram models over the whole text. They are combined with three other kinds of evidence, all
 counted over all rows by grouped aggregation: how far a declared language (markup) can be trusted, what an address
-suffix says, and the languages of a host, smoothed hierarchically (host towards domain, domain towards the whole corpus).
-A class ``und`` with a flat model takes texts that no trained language explains.
+suffix says, and the languages of a host, smoothed hierarchically (host towards domain, domain towards the whole corpus; a host that is its
+own domain, or has no dots, is smoothed towards the corpus at once). A class ``und`` with a flat model takes texts that no trained language explains.
 
-Every language declared on a text with letters is a class. The text models are fitted on at most ``TRAIN_ROWS`` rows (or ``LANGUAGE_ROWS`` of each
-language); every other count covers all rows.
+Declarations are normalised to their primary tag ("EN", "en-US" and " en " are ``en``; what isn't two or three letters says nothing). Every language declared on
+a text with letters is a class. The text models are fitted on at most ``TRAIN_ROWS`` rows (or ``LANGUAGE_ROWS`` of each language); every other count covers
+all rows.
 
 Defined results: a text without letters (null, empty, digits) is ``und`` and not accepted, whatever is declared; missing
 evidence (null host, suffix or declaration) is neutral; ties go to the first language in alphabetical order; repeated rows each get
@@ -99,20 +100,27 @@ def fit_texts(texts: list[str], languages: list[str]) -> TextModel:
     return TextModel(names, np.vstack([logp, np.full((1, size), -np.log(size))]).astype(np.float32))
 
 
+def primary_tag(declared: Column) -> Column:
+    """The primary tag of a declared language, null where it says nothing."""
+    tag = F.lower(F.regexp_extract(declared, r"^\s*([A-Za-z]{2,3})(?:[-_].*)?\s*$", 1))
+    return F.nullif(tag, F.lit(""))
+
+
 def fit(docs: DataFrame, *, key: str = "doc_id", text: str = "text", declared: str = "lang", rows: int = TRAIN_ROWS) -> TextModel:
     """Fit the text models of all declared languages on at most ``rows`` rows, or ``LANGUAGE_ROWS`` of each language where that is more.
 
-    The languages are counted over all rows; of each, the rows whose key has the smallest hash are taken.
+    The languages are counted over all rows; of each, rows whose key has a small hash are taken: so small that hardly more than wanted are
+    left to be put in order.
     """
-    known = docs.where(F.col(declared).isNotNull() & (F.trim(declared) != "") & F.col(text).rlike(LETTER))
-    known = known.select(F.col(declared).alias("said"), F.col(text).alias("text"), F.xxhash64(F.col(key)).alias("hash"))
-    most = max(LANGUAGE_ROWS, rows // max(1, known.select("said").distinct().count()))
-    # Hashes alone are ranked first; texts are ranked only up to the last hash of their language.
-    turn = Window.partitionBy("said")
-    ranked = known.select("said", "hash").withColumn("turn", F.row_number().over(turn.orderBy("hash"))).where(F.col("turn") <= most)
-    last = ranked.groupBy("said").agg(F.max("hash").alias("last"))
-    near = known.join(F.broadcast(last), "said").where("hash <= last")
-    sample = near.withColumn("turn", F.row_number().over(turn.orderBy("hash", "text"))).where(F.col("turn") <= most).select("text", "said").toPandas()
+    known = docs.select(primary_tag(F.col(declared)).alias("said"), F.col(text).alias("text"), F.xxhash64(F.col(key), F.xxhash64(text)).alias("hash"))
+    known = known.where(F.col("said").isNotNull() & F.col("text").rlike(LETTER))
+    place = F.col("hash") / F.lit(float(1 << 64)) + F.lit(0.5)  # hashes as numbers from 0 to 1
+    counts = known.groupBy("said").agg(F.count("*").alias("n"), F.min(place).alias("first")).collect()
+    most = max(LANGUAGE_ROWS, rows // max(1, len(counts)))
+    share = {r.said: max(r.first, min(1.0, (most + 5 * most**0.5) / r.n)) for r in counts}
+    wanted = F.element_at(F.create_map(*[x for k, v in share.items() for x in (F.lit(k), F.lit(v))]), F.col("said")) if share else F.lit(0.0)
+    turn = F.row_number().over(Window.partitionBy("said").orderBy("hash", "text"))
+    sample = known.where(place <= wanted).withColumn("turn", turn).where(F.col("turn") <= most).select("text", "said").toPandas()
     return fit_texts(sample["text"].tolist(), sample["said"].tolist())
 
 
@@ -156,33 +164,48 @@ def _plus(a: Column, b: Column, times: float) -> Column:
 
 
 def _join(rows: DataFrame, evidence: DataFrame, on: str) -> DataFrame:
-    return rows.join(F.broadcast(evidence) if evidence.count() <= BROADCAST_ROWS else evidence, on, "left")
+    """Evidence beside rows. Where it is too large to be broadcast, rows without a value are spread over keys of their own."""
+    if evidence.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(evidence), on, "left")
+    spread = F.concat(F.lit("\0"), F.pmod(F.xxhash64("t"), F.lit(10_000)).cast("string"))
+    found = evidence.withColumnRenamed(on, "_key")
+    return rows.withColumn("_at", F.coalesce(F.col(on), spread)).join(found, F.col("_at") == F.col("_key"), "left").drop("_at", "_key")
+
+
+def host_of(url: Column) -> Column:
+    return F.nullif(F.regexp_extract(F.lower(url), r"^[a-z][a-z0-9+.-]*://([^/?#:]*)", 1), F.lit(""))
 
 
-def identify(docs: DataFrame, model: TextModel, *, text: str = "text", declared: str | None = None, host: str | None = None, url: str | None = None) -> DataFrame:
-    """Struct ``row`` of the input's columns with lang, posterior, text_lang, n_trigrams and accepted."""
+def identify(
+    docs: DataFrame, model: TextModel, *, text: str = "text", declared: str | None = None, host: str | None = None, url: str | None = None, carry: list[str] | None = None
+) -> DataFrame:
+    """Struct ``row`` of the input's columns with lang, posterior, text_lang, n_trigrams and accepted.
+
+    With ``carry`` the struct holds those columns alone and texts are scored once, their scores being kept in the shared folder;
+    without it whole rows are carried, so nothing is written and texts are scored a second time.
+    """
     ship(docs.sparkSession)
     none = F.lit(None).cast("string")
     classes, k = model.classes, len(model.classes)
-    at_host = F.lower(F.col(host)) if host else F.nullif(F.regexp_extract(F.lower(F.col(url)), r"://([^/?#:]*)", 1), F.lit("")) if url else none
-
-    def evidence(keep: bool) -> DataFrame:
-        columns = {"host": at_host, "said": F.lower(F.col(declared)) if declared else none, "suffix": suffix_of(F.col(url)) if url else none, "t": text_evidence(F.col(text), model)}
-        return docs.select(*([F.struct("*").alias("row")] if keep else []), *[c.alias(n) for n, c in columns.items()])
-
-    # First pass: what texts alone say, counted over all rows by host, declaration and suffix.
-    votes = reliable(
-        evidence(False).where("t.n > 0").withColumn("vote", _best(F.col("t.logs"), classes)).groupBy("host", "said", "suffix", "vote").agg(F.count("*").alias("rows"))
-    )
-    whole = votes.agg(_counts(classes).alias("c")).collect()[0]["c"]
-    whole = [x or 0.0 for x in whole]
+    named = [F.nullif(F.lower(F.trim(F.col(host))), F.lit(""))] if host else []
+    columns = {
+        "host": F.coalesce(*named, host_of(F.col(url)) if url else none), "said": primary_tag(F.col(declared)) if declared else none,
+        "suffix": suffix_of(F.col(url)) if url else none, "t": text_evidence(F.col(text), model),
+    }
+    row = F.struct(*map(F.col, carry)) if carry else F.struct("*")
+    every = docs.select(row.alias("row"), *[c.alias(n) for n, c in columns.items()])
+    every = reliable(every) if carry else every
+
+    # What texts alone say, counted over all rows by host, declaration and suffix.
+    alone = every if carry else docs.select(*[c.alias(n) for n, c in columns.items()])
+    votes = reliable(alone.where("t.n > 0").withColumn("vote", _best(F.col("t.logs"), classes)).groupBy("host", "said", "suffix", "vote").agg(F.count("*").alias("rows")))
+    whole = [x or 0.0 for x in votes.agg(_counts(classes).alias("c")).collect()[0]["c"]]
     prior = [(x + PSEUDO) / (sum(whole) + PSEUDO * k) for x in whole]
     flat = F.array(*map(F.lit, prior))
-    domains = votes.where("host IS NOT NULL").groupBy(domain_of(F.col("host")).alias("domain")).agg(_plus(_counts(classes), flat, PRIOR_ROWS).alias("domain_prior"))
-    hosts = (
-        votes.where("host IS NOT NULL").groupBy("host").agg(_counts(classes).alias("c")).withColumn("domain", domain_of(F.col("host")))
-        .join(domains, "domain").select("host", F.transform(_plus(F.col("c"), F.col("domain_prior"), PRIOR_ROWS), lambda x: F.log(x)).alias("host_logs"))
-    )
+    at = votes.where("host IS NOT NULL").groupBy("host").agg(_counts(classes).alias("c")).withColumn("domain", domain_of(F.col("host")))
+    above = votes.where("host IS NOT NULL").groupBy(domain_of(F.col("host")).alias("domain")).agg(_plus(_counts(classes), flat, PRIOR_ROWS).alias("domain_prior"))
+    upper = F.when(F.col("host") == F.col("domain"), flat).otherwise(F.col("domain_prior"))
+    hosts = at.join(above, "domain").select("host", F.transform(_plus(F.col("c"), upper, PRIOR_ROWS), lambda x: F.log(x)).alias("host_logs"))
 
     def ratio(by: str) -> DataFrame:
         """log P(value | class) for each value of a kind of evidence, up to a constant of the value."""
@@ -190,7 +213,7 @@ def identify(docs: DataFrame, model: TextModel, *, text: str = "text", declared:
         return votes.where(F.col(by).isNotNull()).groupBy(by).agg(smooth.alias(f"{by}_logs"))
 
     nothing = F.array(*[F.lit(0.0)] * k)
-    out = _join(evidence(True), hosts, "host")
+    out = _join(every, hosts, "host")
     for by, used in (("said", declared), ("suffix", url)):
         out = _join(out, ratio(by), by) if used else out.withColumn(f"{by}_logs", nothing)
     total = F.coalesce(F.col("host_logs"), F.transform(flat, lambda x: F.log(x)))
@@ -209,6 +232,13 @@ def identify(docs: DataFrame, model: TextModel, *, text: str = "text", declared:
     return out.withColumn("accepted", (F.col("lang") != UNKNOWN) & (F.col("posterior") >= MIN_POSTERIOR))
 
 
+def texts_of_pages(pages: DataFrame) -> DataFrame:
+    """(page_id, url, text, lang) of raw pages: visible text and the language declared in the markup."""
+    bare = F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", " ")
+    said = F.regexp_extract("html", r"(?is)<html\b[^>]*?\slang\s*=\s*[\"']?([A-Za-z_-]+)", 1)
+    return pages.select("page_id", "url", bare.alias("text"), said.alias("lang"))
+
+
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents whose language is accepted."""
     model = fit(docs)
@@ -216,6 +246,11 @@ def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    found = identify(docs, fit(docs), declared="lang", host="source")
-    return found.select("row.doc_id", F.col("lang").alias("language"), F.round("posterior", 6).alias("posterior"), "text_lang", "n_trigrams", "accepted")
+    """Documents (declared language, source as host) and pages (markup's language, url) together, so that all kinds of evidence are counted.
+
+    A document's row has its doc_id, a page's row its page_id.
+    """
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.lit(None).cast("long").alias("page_id"), "text", "lang", "source", F.lit(None).cast("string").alias("url"))
+    pages = texts_of_pages(table(spark, sf_dir, "pages")).select(F.lit(None).cast("long").alias("doc_id"), "page_id", "text", "lang", F.lit(None).cast("string").alias("source"), "url")
+    found = identify(docs.unionByName(pages), fit(docs), declared="lang", host="source", url="url", carry=["doc_id", "page_id"])
+    return found.select("row.doc_id", "row.page_id", F.col("lang").alias("language"), F.round("posterior", 6).alias("posterior"), "text_lang", "n_trigrams", "accepted")

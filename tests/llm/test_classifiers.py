@@ -64,9 +64,94 @@ def test_priors_are_smoothed_towards_the_level_above(spark):
     assert df.select(lang._plus(F.col("a"), F.col("b"), 10.0)).first()[0] == pytest.approx([0.7, 0.3])
 
 
+def plain_posteriors(rows, model):
+    """The fusion written out in plain numbers: rows of (text, declared, host, suffix)."""
+    import math
+    from collections import Counter, defaultdict
+
+    k, classes = len(model.classes), model.classes
+    n, logs = model.scores([r[0] for r in rows])
+    logs = logs / (1 + n / lang.SATURATION)[:, None]
+    votes = [classes[int(np.argmax(x))] if m else None for m, x in zip(n, logs, strict=True)]
+    whole = Counter(v for v in votes if v)
+    prior = [(whole[c] + 1) / (sum(whole.values()) + k) for c in classes]
+    counts = [defaultdict(Counter) for _ in range(4)]
+    for (_, said, host, suffix), v in zip(rows, votes, strict=True):
+        if v:
+            for table_, key in zip(counts, (said, host, host and ".".join(host.split(".")[-2:]), suffix), strict=True):
+                if key is not None:
+                    table_[key][v] += 1
+    said_of, of_host, of_domain, of_suffix = counts
+    out = []
+    for (_, said, host, suffix), m, x in zip(rows, n, logs, strict=True):
+        if not m:
+            out.append(("und", 0.0))
+            continue
+        base = prior
+        if host in of_host:
+            domain = ".".join(host.split(".")[-2:])
+            for level, key in ((of_domain, domain), (of_host, host)):
+                if level is of_host or host != domain:
+                    total = sum(level[key].values()) + 20
+                    base = [(level[key][c] + 20 * p) / total for c, p in zip(classes, base, strict=True)]
+        total = [v + math.log(p) for v, p in zip(x, base, strict=True)]
+        for table_, key in ((said_of, said), (of_suffix, suffix)):
+            if key in table_:
+                total = [t + math.log((table_[key][c] + 1) / (whole[c] + k)) for t, c in zip(total, classes, strict=True)]
+        share = 1 / sum(math.exp(t - max(total)) for t in total)
+        out.append((classes[total.index(max(total))], share))
+    return out
+
+
+def test_posteriors_are_those_of_a_plain_computation(spark):
+    import random
+
+    r = random.Random(4)
+    words = {"de": "der die und das mit nicht", "fr": "les une est pas leur dans", "en": "the and with from this not"}
+    model = lang.fit_texts([v for v in words.values() for _ in range(5)], [c for c in words for _ in range(5)])
+    hosts = [("www.a.de", "de"), ("m.a.de", "de"), ("a.de", "de"), ("b.fr", "fr"), ("x.c.com", "com"), ("plain", "plain"), (None, None)]
+    rows = []
+    for _ in range(300):
+        c, (host, suffix) = r.choice(list(words)), r.choice(hosts)
+        text = r.choice([" ".join(r.choices(words[c].split(), k=r.randint(1, 5))), "", "12", None, "o"])
+        rows.append((text, r.choice([c, "fr", None]), host, suffix))
+    shown = {"de": " DE-at", "fr": "fr", "en": "En_us "}
+    df = spark.createDataFrame([(i, t, shown.get(d, d), h and f"https://{h.upper()}/x") for i, (t, d, h, _) in enumerate(rows)], "id long, text string, said string, url string")
+    for carry in (None, ["id"]):
+        found = {x.row.id: (x.lang, x.posterior) for x in lang.identify(df, model, declared="said", url="url", carry=carry).collect()}
+        want = plain_posteriors(rows, model)
+        assert [found[i][0] for i in range(len(rows))] == [w[0] for w in want]
+        assert np.allclose([found[i][1] for i in range(len(rows))], [w[1] for w in want], atol=1e-9)
+
+
+def test_many_hosts_are_joined_by_a_shuffle(spark, monkeypatch):
+    df = spark.createDataFrame([("the and with", "en", f"h{i % 7}.org" if i % 3 else None) for i in range(60)], "text string, said string, host string")
+    model = lang.fit_texts(["the and with from", "der die und das"], ["en", "de"])
+    small = sorted((x.lang, round(x.posterior, 9)) for x in lang.identify(df, model, declared="said", host="host").collect())
+    monkeypatch.setattr(lang, "BROADCAST_ROWS", 2)
+    assert sorted((x.lang, round(x.posterior, 9)) for x in lang.identify(df, model, declared="said", host="host").collect()) == small
+
+
+@pytest.mark.parametrize(("said", "tag"), [("EN", "en"), ("en-US", "en"), (" en ", "en"), ("pt_BR", "pt"), ("", None), ("x", None), ("english", None), ("12", None), (None, None)])
+def test_declarations_are_normalised(spark, said, tag):
+    assert spark.createDataFrame([(said,)], "s string").select(lang.primary_tag(F.col("s"))).first()[0] == tag
+
+
+def test_pages_give_their_text_and_language(spark):
+    html = "<!DOCTYPE html><html class=x lang='de-AT'><head><script>var a='</p>'</script><style>p{}</style></head><body><p>Das <b>Haus</b><!-- no --></p></body></html>"
+    rows = spark.createDataFrame([(1, "u", html), (2, None, None), (3, "u", "<p>bare")], "page_id long, url string, html string")
+    got = {r.page_id: (r.text and " ".join(r.text.split()), r.lang) for r in lang.texts_of_pages(rows).collect()}
+    assert got == {1: ("Das Haus", "de-AT"), 2: (None, None), 3: ("bare", "")}
+
+
 def test_language_query(spark, sf_dir):
     rows = lang.op10_language_id(spark, sf_dir).collect()
-    assert len(rows) == 1000 and all(r.accepted for r in rows)
+    docs = [r for r in rows if r.doc_id is not None]
+    assert len(docs) == 1000 and all(r.accepted and r.page_id is None for r in docs)
+    pages = {r.page_id: r for r in rows if r.page_id is not None}
+    assert len(pages) == spark.read.parquet(f"{sf_dir}/pages.parquet").count() == len(rows) - 1000
+    said = {r.page_id: r.lang for r in lang.texts_of_pages(spark.read.parquet(f"{sf_dir}/pages.parquet")).collect()}
+    assert np.mean([r.language == said[k] for k, r in pages.items()]) > 0.98
 
 
 def test_stage_keeps_columns(spark, docs):
