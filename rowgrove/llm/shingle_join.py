@@ -10,7 +10,7 @@ more each has at most a fifth of its shingles outside the other. That is used tw
    share one of the first n - ceil(0.8 n) + 1 of each in any common order.
 
 Sets that meet are first compared with the smallest node of the place, then those that still aren't in one component with each other: a group of many
-copies costs its members, not its pairs. Sizes, places in the order and 64-bit parity sketches drop pairs that can't reach 0.8; what is left is confirmed
+copies costs its members, not its pairs. Sizes, places in the order and parity sketches drop pairs that can't reach 0.8; what is left is confirmed
 on the whole sets. Counting is combined before shuffles, and hot shingles are met in joins that adaptive execution splits.
 
 Defined results: texts without words have no shingles and no links here.
@@ -32,8 +32,9 @@ SEED = 42
 #: The similarity from which texts are linked, as a fraction: 4 / 5.
 OVER, UNDER = 4, 5
 #: Rows of (shingle, node) that a task looks at.
-TASK_ROWS = 1_000_000
+TASK_ROWS = 250_000
 PAIRS_AT_ONCE = 1 << 16
+SKETCH_BITS = 1024
 
 
 def shingles(words: list[bytes]) -> np.ndarray:
@@ -68,13 +69,19 @@ def measured(x: np.ndarray) -> tuple[int, int, int, list[int]]:
     return one, two, len(x), x[: first_size(len(x))].view(np.int64).tolist()
 
 
+def parity_sketch(x: np.ndarray) -> bytes:
+    """Parities of a set's shingles by bucket: two sets differ in at least as many shingles as their sketches in bits."""
+    return np.packbits(np.bincount((x & np.uint64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS) & 1).tobytes()
+
+
 def whole_sets(text: Column) -> Column:
-    """All shingles of texts, as signed numbers."""
+    """Struct of all shingles of texts (as signed numbers) and their sketch."""
 
-    @F.pandas_udf("array<long>")
-    def made(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("struct<shingles:array<long>,sketch:binary>")
+    def made(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            yield pd.Series([shingles(words_of(x)).view(np.int64) for x in texts], dtype=object)
+            sets = [shingles(words_of(x)) for x in texts]
+            yield pd.DataFrame({"shingles": [x.view(np.int64) for x in sets], "sketch": [parity_sketch(x) for x in sets]})
             relieve()
 
     return made(text)
@@ -99,7 +106,8 @@ def other_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         return
     every = pd.concat(held, ignore_index=True).sort_values(["shingle", "n", "node"], kind="stable")
     shingle, n, node, at, part = (every[c].to_numpy(np.int64) for c in ("shingle", "n", "node", "at", "component"))
-    sketch = every["sketch"].to_numpy(np.int64).view(np.uint64)
+    sketch = np.frombuffer(b"".join(every["sketch"]), np.uint64).reshape(len(every), -1)
+    del held, every
     cuts = np.concatenate(([0], np.flatnonzero(shingle[1:] != shingle[:-1]) + 1, [len(shingle)]))
     out, size = [], 0
     for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
@@ -110,8 +118,9 @@ def other_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             j = np.arange(i + 1, ends[i - a])
             j = j[part[j] != part[i]]
             most = np.minimum(at[i], at[j]) + np.minimum(n[i] - at[i], n[j] - at[j])
-            apart = np.bitwise_count(sketch[i] ^ sketch[j]).astype(np.int64)
-            j = j[((OVER + UNDER) * most >= OVER * (n[i] + n[j])) & ((OVER + UNDER) * apart <= (n[i] + n[j]) * (UNDER - OVER))]
+            j = j[(OVER + UNDER) * most >= OVER * (n[i] + n[j])]
+            apart = np.bitwise_count(sketch[i] ^ sketch[j]).sum(axis=1, dtype=np.int64)
+            j = j[(OVER + UNDER) * apart <= (n[i] + n[j]) * (UNDER - OVER)]
             if len(j):
                 out.append(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])], axis=1))
                 size += len(j)
@@ -120,6 +129,7 @@ def other_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     out, size = [], 0
     if size:
         yield pd.DataFrame(np.concatenate(out), columns=["a", "b"]).drop_duplicates()
+    relieve()
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -145,16 +155,14 @@ def links(rows: DataFrame, texts: DataFrame, known: DataFrame, components: Calla
     some = each.join(alone, "node", "left").where(F.coalesce("alone", F.lit(0)) <= F.floor(F.col("n") * (UNDER - OVER) / UNDER))
     # All shingles of the sets that are left, from one text of each node.
     text_of = some.select("node", "t.*")
-    full = texts.join(broadcast_small(reliable(text_of)), ["one", "two"]).select("node", whole_sets(F.col("text")).alias("shingles"))
-    sets = reliable(full.groupBy("node").agg(F.any_value("shingles").alias("shingles")))
+    full = texts.join(broadcast_small(reliable(text_of)), ["one", "two"]).select("node", whole_sets(F.col("text")).alias("s"))
+    sets = reliable(full.groupBy("node").agg(F.any_value("s").alias("s")).select("node", "s.*"))
     shared = counted(sets.select("node", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle")))
     ranked = shared.groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("common"))
     alone, allowed = F.col("n") - F.size("common"), F.floor(F.col("n") * (UNDER - OVER) / UNDER).cast("int")
     first = F.slice("common", F.lit(1), F.greatest(allowed + 1 - alone, F.lit(1)))
-    sketch = F.aggregate("shingles", F.lit(0).cast("long"), lambda s, x: s.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63).cast("long")).cast("int"))))
     kept = ranked.where(alone <= allowed).select("node", "n", alone.alias("alone"), first.alias("first"))
-    sketches = sets.select("node", sketch.alias("sketch"))
-    places = reliable(kept.join(sketches, "node").select("node", "n", "alone", "sketch", F.posexplode("first").alias("i", "x")).select("node", "n", "sketch", (F.col("alone") + F.col("i")).alias("at"), "x.shingle"))
+    places = reliable(kept.select("node", "n", "alone", F.posexplode("first").alias("i", "x")).select("node", "n", (F.col("alone") + F.col("i")).alias("at"), "x.shingle"))
     leader = places.groupBy("shingle").agg(F.min(F.struct("node", "n", "at")).alias("lead"), F.count("*").alias("here")).where("here > 1")
     met = places.join(leader, "shingle").where((F.col("node") != F.col("lead.node")) & _fits(F.col("n"), F.col("at"), F.col("lead.n"), F.col("lead.at")))
     pairs = reliable(met.select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b")).distinct())
@@ -170,6 +178,7 @@ def links(rows: DataFrame, texts: DataFrame, known: DataFrame, components: Calla
     here = places.join(broadcast_small(state), "node", "left").withColumn("component", F.coalesce("component", "node"))
     several = here.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("shingle")
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), places.count() // TASK_ROWS)
-    more = here.join(several, "shingle").repartition(tasks, "shingle").mapInPandas(other_pairs, "a long, b long").distinct()
+    sketched = here.join(several, "shingle").join(broadcast_small(sets.select("node", "sketch")), "node")
+    more = sketched.repartition(tasks, "shingle").mapInPandas(other_pairs, "a long, b long").distinct()
     more = reliable(more.join(pairs, ["a", "b"], "left_anti"))
     return state.select(F.col("node").alias("a"), F.col("component").alias("b")).union(confirmed(more, sets))

@@ -238,6 +238,7 @@ def spanning_links(distinct: DataFrame, rows: int, most: int, task_rows: int = T
             if len(mine) > 1:
                 a, b = link_within(prints[mine], first, bits, most)
                 yield pd.DataFrame({"a": rep[mine[a]], "b": rep[mine[b]]})
+        relieve()
 
     return sent.repartition(tasks, "block", "value", "sub", "sub_value").mapInPandas(link, "a long, b long")
 
