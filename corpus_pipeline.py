@@ -1,17 +1,19 @@
 """Corpus pipeline: language ID, quality classifier, near-duplicate removal, decontamination, packing.
 
 ``run`` applies the stages to ``documents`` one after another; each stage's result is written as Parquet and read again as the
-next one's documents. The folder is a new one under ``spark.checkpoint.dir`` of the session (a temporary one only where that is unset).
-A document that a stage rejects goes; of near-duplicates the one with the smallest id stays; contaminated documents go.
+next one's documents, and is deleted as soon as the next one stands. The folder is a new one under ``spark.checkpoint.dir`` of the session (a temporary one only for
+a local session where that is unset; a cluster without it is an error).
+
+A document that a stage rejects goes; of near-duplicates the row with the smallest id stays; contaminated documents go. Columns other than those that the
+stages read are carried unchanged, whatever their names; the last stage returns pieces of sequences. Null and empty texts have no language and so go with
+the first stage, null ids are ids like any other, rows repeated with id and text become one in the near-duplicate stage, and an empty table stays empty.
 """
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from rowgrove.functions.paths import delete_folder, scratch
 from rowgrove.llm import decontamination, language_id, packing, quality, simhash
 
 STAGES = [
@@ -27,10 +29,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="rowgrove-pipeline-")
-    folder = f"{shared.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    folder = scratch(spark, "pipeline")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for n, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{n}-{name}")
-        docs = spark.read.parquet(f"{folder}/{n}-{name}")
+        here = f"{folder}/{n}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(here)
+        docs = spark.read.parquet(here)
+        if before:
+            delete_folder(spark, before)
+        before = here
     return docs
