@@ -6,11 +6,12 @@ matrix of symbols. All benchmark windows are searched backwards together by rank
 sampled suffix positions, and occurrences are merged into removal spans. Words found through their hash are confirmed by their bytes.
 
 A shard is a bounded stretch of whole documents inside one task (a longer document is a shard of its own), so nothing is shuffled:
-documents stream past, and only the benchmark is sent to the tasks, in blocks of items whose size is checked.
+documents stream past, and only the benchmark is sent to the tasks, in blocks of ``BLOCK_BYTES``. The driver makes one block at a time, and a task holds
+one at a time: it searches some ``TEXTS_BYTES`` of documents for each block in turn. So neither grows with the benchmark.
 
-Defined results: null and empty texts have no words and aren't contaminated, null items have no windows; an item of fewer words than a window is one window;
-items with equal ids count as one; an empty benchmark contaminates nothing; repeated rows each get their row; columns other than those named are
-ignored (the pipeline stage carries them unchanged).
+Defined results: null and empty texts have no words and aren't contaminated, null texts of items have no windows; an item of fewer words than a window is one
+window; items with equal ids count as one; an item without an id hits words but isn't named; an empty benchmark contaminates nothing; repeated rows each
+get their row; words that share a hash are told apart by their bytes; columns other than those named are ignored (the pipeline stage carries them unchanged).
 """
 
 from __future__ import annotations
@@ -31,8 +32,8 @@ WINDOW = 10
 SHARD_BYTES = 1 << 20
 #: Every so many positions of a shard, the suffix position is kept.
 SAMPLE = 16
-#: Benchmark text in one block, at most about (a block is broadcast).
-BLOCK_BYTES = 32 << 20
+#: Benchmark text in one block, about (a block is broadcast; its windows take some fifteen times as much), and text that is searched for one block after another.
+BLOCK_BYTES, TEXTS_BYTES = 4 << 20, 32 << 20
 ROWS_AT_ONCE = 1 << 20
 
 _WORD = np.zeros(256, bool)
@@ -63,8 +64,10 @@ def hashed_words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 class Phrases:
     """A block of benchmark items as windows of symbols (1 upwards)."""
 
-    hashes: np.ndarray  # of the vocabulary, ascending; the symbol is the place plus 1
-    words: list[bytes]
+    words: list[bytes]  # by symbol less 1
+    hashes: np.ndarray  # of the words, ascending, each once
+    symbols: np.ndarray  # of the hashes
+    clashing: dict[int, dict[bytes, int]]  # symbols of words that share a hash
     windows: np.ndarray  # a row for each window, padded with 0 behind
     lengths: np.ndarray
     first_item: np.ndarray  # items[first_item[w] : first_item[w + 1]] hold window w
@@ -72,32 +75,37 @@ class Phrases:
     ids: list[str]
 
     @classmethod
-    def of(cls, items: list[tuple[str, str | None]], window: int = WINDOW) -> Phrases:
-        word_hash: dict[bytes, int] = {}
-        found: dict[tuple[bytes, ...], set[str]] = {}
-        for name, text in items:
-            data = _LOWER[np.frombuffer((text or "").encode("utf-8", "replace"), np.uint8)]
-            starts, ends, hashes = hashed_words(data)
-            raw = data.tobytes()
-            words = [raw[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-            word_hash.update(zip(words, hashes.tolist(), strict=True))
-            for a in range(max(1, len(words) - window + 1) if words else 0):
-                found.setdefault(tuple(words[a : a + window]), set()).add(name)
-        order = sorted(word_hash, key=word_hash.__getitem__)
-        hashes = np.array([word_hash[w] for w in order], np.uint64)
-        if len(np.unique(hashes)) < len(hashes):
-            raise ValueError("two benchmark words share a hash")
-        symbol = {w: i + 1 for i, w in enumerate(order)}
-        ids = sorted({name for name, _ in items})
+    def of(cls, items: list[tuple[str | None, str | None]], window: int = WINDOW) -> Phrases:
+        raw = [x.encode("utf-8", "replace") if x else b"" for _, x in items]
+        data = _LOWER[np.frombuffer(b"\0".join(raw), np.uint8)]
+        starts, ends, hashes = hashed_words(data)
+        lower, symbol = data.tobytes(), {}
+        text = np.fromiter((symbol.setdefault(lower[a:b], len(symbol) + 1) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)), np.int32, len(starts))
+        words = list(symbol)
+        hash_of = np.zeros(len(words), np.uint64)
+        hash_of[text - 1] = hashes
+        known, first, times = np.unique(hash_of, return_index=True, return_counts=True)
+        clashing: dict[int, dict[bytes, int]] = {int(h): {} for h in known[times > 1]}
+        for i in np.flatnonzero(np.isin(hash_of, known[times > 1])).tolist():
+            clashing[int(hash_of[i])][words[i]] = i + 1
+        # Windows begin where as many words follow in the item, or with the first word of a shorter one.
+        item_ends = np.searchsorted(starts, np.cumsum([len(x) + 1 for x in raw]))
+        sizes = np.diff(np.concatenate(([0], item_ends)))
+        owner = np.repeat(np.arange(len(items)), sizes)
+        left = item_ends[owner] - np.arange(len(text))
+        begins = np.flatnonzero((left >= window) | (left == sizes[owner]))
+        lengths = np.minimum(left[begins], window)
+        column = np.arange(window)
+        at = np.minimum(begins[:, None] + column, max(0, len(text) - 1))
+        rows = np.where(column < lengths[:, None], text[at] if len(text) else 0, 0).astype(np.int32).reshape(-1, window)
+        windows, which = np.unique(rows, axis=0, return_inverse=True)
+        ids = sorted({name for name, _ in items if name is not None})
         place = {x: i for i, x in enumerate(ids)}
-        windows = np.zeros((len(found), window), np.int64)
-        for row, words in enumerate(found):
-            windows[row, : len(words)] = [symbol[w] for w in words]
-        held = [sorted(place[x] for x in names) for names in found.values()]
-        return cls(
-            hashes, order, windows, np.array([len(w) for w in found], np.int64), np.concatenate(([0], np.cumsum([len(x) for x in held]))).astype(np.int64),
-            np.array([i for x in held for i in x], np.int64), ids,
-        )
+        named = np.array([place.get(name, -1) for name, _ in items], np.int64)[owner[begins]] if len(begins) else np.zeros(0, np.int64)
+        pairs = np.unique(which.reshape(-1)[named >= 0] * max(1, len(ids)) + named[named >= 0])
+        holders, held = np.divmod(pairs, max(1, len(ids)))
+        counts = np.bincount(holders, minlength=len(windows))
+        return cls(words, known, (first + 1).astype(np.int64), clashing, windows.astype(np.int64), (windows > 0).sum(axis=1), np.concatenate(([0], np.cumsum(counts))), held, ids)
 
 
 class WaveletMatrix:
@@ -243,7 +251,11 @@ def search_shard(texts: list[str | None], phrases: Phrases) -> list[tuple[int, l
     if not len(starts) or not len(phrases.hashes):
         return none
     place = np.minimum(np.searchsorted(phrases.hashes, hashes), len(phrases.hashes) - 1)
-    symbol = np.where(phrases.hashes[place] == hashes, place + 1, 0)
+    symbol = np.where(phrases.hashes[place] == hashes, phrases.symbols[place], 0)
+    if phrases.clashing:
+        lower = data.tobytes()
+        for i in np.flatnonzero(np.isin(hashes, np.array(list(phrases.clashing), np.uint64))).tolist():
+            symbol[i] = phrases.clashing[int(hashes[i])].get(lower[starts[i] : ends[i]], 0)
     # One sentinel behind each text.
     begin = np.concatenate(([0], np.cumsum(words + 1)))
     text = np.zeros(begin[-1], np.int64)
@@ -252,7 +264,7 @@ def search_shard(texts: list[str | None], phrases: Phrases) -> list[tuple[int, l
     confirmed: set[int] = set()
     buffer = data.tobytes()
     while True:
-        index = FMIndex(text, len(phrases.hashes))
+        index = FMIndex(text, len(phrases.words))
         which, low, high = index.search(phrases.windows, phrases.lengths)
         if not len(which):
             return none
@@ -312,50 +324,94 @@ def shards(texts: list[str | None], most: int = SHARD_BYTES) -> Iterator[tuple[i
 FOUND = "struct<n_words:long,spans:array<struct<start:long,end:long>>,items:array<string>>"
 
 
-def found_phrases(text: Column, held) -> Column:
-    """What one block of phrases (a broadcast) hits in each text."""
+def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Union of spans, as disjoint ones in order."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and out[-1][1] >= a:
+            out[-1] = out[-1][0], max(out[-1][1], b)
+        else:
+            out.append((a, b))
+    return out
+
+
+def search_texts(texts: list[str | None], blocks: list) -> list[tuple[int, list[tuple[int, int]], list[str]]]:
+    """(words, hit spans of words, ids of items found) of each text, over all blocks of phrases, one held at a time."""
+    out: list[tuple[int, list[tuple[int, int]], list[str]]] = []
+    for k, block in enumerate(blocks):
+        phrases = block.value if hasattr(block, "value") else block
+        found = [r for a, b in shards(texts) for r in search_shard(texts[a:b], phrases)]
+        out = found if not k else [(n, merge_spans(s + t), sorted({*i, *j})) for (n, s, i), (_, t, j) in zip(out, found, strict=True)]
+        if len(blocks) > 1 and hasattr(block, "_value"):
+            del block._value  # read again from the worker's disk when its turn comes
+    return out
+
+
+def found_phrases(text: Column, blocks: list) -> Column:
+    """What the blocks of phrases (broadcasts) hit in each text."""
 
     @F.pandas_udf(FOUND)
     def search(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        phrases = held.value
-        for series in batches:
-            texts = series.tolist()
-            rows = [r for a, b in shards(texts) for r in search_shard(texts[a:b], phrases)]
-            spans = [[{"start": s, "end": e} for s, e in r[1]] for r in rows]
-            yield pd.DataFrame({"n_words": [r[0] for r in rows], "spans": spans, "items": [r[2] for r in rows]}, columns=["n_words", "spans", "items"])
+        def found(held: list[pd.Series]) -> Iterator[pd.DataFrame]:
+            rows = search_texts([x for series in held for x in series.tolist()], blocks)
+            for series in held:
+                mine, rows = rows[: len(series)], rows[len(series) :]
+                spans = [[{"start": s, "end": e} for s, e in r[1]] for r in mine]
+                yield pd.DataFrame({"n_words": [r[0] for r in mine], "spans": spans, "items": [r[2] for r in mine]}, columns=["n_words", "spans", "items"])
             relieve()
 
-    return search(text)
-
+        held, size = [], 0
+        for series in batches:
+            held.append(series)
+            size += sum(len(x) for x in series if x)
+            if len(blocks) == 1 or size >= TEXTS_BYTES:
+                yield from found(held)
+                held, size = [], 0
+        if held:
+            yield from found(held)
 
-def merged_spans(spans: Column) -> Column:
-    """Union of spans, as disjoint ones in order."""
-    empty = F.array().cast("array<struct<start:bigint,end:bigint>>")
+    return search(text)
 
-    def add(done, s):
-        last = F.element_at(done, -1)
-        joined = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))))
-        return F.when((F.size(done) > 0) & (F.try_element_at(done, F.lit(-1))["end"] >= s["start"]), joined).otherwise(F.concat(done, F.array(s)))
 
-    return F.aggregate(F.array_sort(spans), empty, add)
+def blocks_of_items(benchmark: DataFrame, item: str, text: str, window: int) -> list:
+    """The benchmark as broadcast blocks of phrases, made one after another."""
+    spark = benchmark.sparkSession
+    items = benchmark.select(F.col(item).cast("string").alias("item"), F.col(text).alias("text")).where("text IS NOT NULL")
+    size = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
+    parts = max(1, -(-size // BLOCK_BYTES))
+    mine = lambda k: items.where(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == k) if parts > 1 else items
+    return [spark.sparkContext.broadcast(Phrases.of([(r.item, r.text) for r in mine(k).collect()], window)) for k in range(parts)]
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
     """Struct ``row`` of the input's columns with n_words, spans (hit words, from and to) and items (ids as strings, sorted)."""
-    spark = docs.sparkSession
-    ship(spark)
-    items = benchmark.select(F.col(item).cast("string").alias("item"), F.col(item_text).alias("text")).where("item IS NOT NULL AND text IS NOT NULL")
-    size = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
-    parts = max(1, -(-size // BLOCK_BYTES))
-    blocks = []
-    for k in range(parts):
-        block = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == k) if parts > 1 else items
-        blocks.append(spark.sparkContext.broadcast(Phrases.of([(r.item, r.text) for r in block.collect()], window)))
-    found = docs.select(F.struct("*").alias("row"), *[found_phrases(F.col(text), b).alias(f"f{k}") for k, b in enumerate(blocks)])
-    if parts == 1:
-        return found.select("row", "f0.n_words", "f0.spans", "f0.items")
-    every = lambda name: F.flatten(F.array(*[F.col(f"f{k}.{name}") for k in range(parts)]))
-    return found.select("row", "f0.n_words", merged_spans(every("spans")).alias("spans"), F.array_sort(F.array_distinct(every("items"))).alias("items"))
+    ship(docs.sparkSession)
+    blocks = blocks_of_items(benchmark, item, item_text, window)
+    return docs.select(F.struct("*").alias("row"), found_phrases(F.col(text), blocks).alias("f")).select("row", "f.n_words", "f.spans", "f.items")
+
+
+def cut_text(text: str | None, spans) -> str | None:
+    """A text without its hit words and what stands between words of one span; the rest stays as it is."""
+    if not text or not len(spans):
+        return text
+    raw = text.encode("utf-8", "replace")
+    starts, ends, _ = hashed_words(_LOWER[np.frombuffer(raw, np.uint8)])
+    out, at = [], 0
+    for s in spans:
+        out.append(raw[at : starts[s["start"]]])
+        at = int(ends[s["end"] - 1])
+    return b"".join([*out, raw[at:]]).decode("utf-8", "replace")
+
+
+def without_spans(found: DataFrame, *, text: str = "text") -> DataFrame:
+    """The result of ``find_contamination`` with ``clean_text``: each text less its removal spans."""
+
+    @F.pandas_udf("string")
+    def cut(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for texts, spans in batches:
+            yield pd.Series([cut_text(x, s) for x, s in zip(texts, spans, strict=True)], dtype=object)
+
+    return found.withColumn("clean_text", cut(F.col(f"row.{text}"), F.col("spans")))
 
 
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -106,7 +106,8 @@ def test_blocks_of_items_give_the_same(spark, docs_of, monkeypatch):
         return sorted((r.row.doc_id, r.n_words, [(s.start, s.end) for s in r.spans], list(r["items"])) for r in found.collect())
 
     whole = run()
-    assert whole == [(0, 5, [(0, 5)], ["1", "2", "3"]), (1, 6, [(0, 2), (2, 6)], ["1", "3"]), (2, 0, [], []), (3, 2, [], [])] or whole[1][2] == [(0, 6)]
+    assert whole[3] == (3, 2, [(0, 1)], [])  # an item without an id hits words but isn't named
+    assert whole == [(0, 5, [(0, 5)], ["1", "2", "3"]), (1, 6, [(0, 2), (2, 6)], ["1", "3"]), (2, 0, [], []), (3, 2, [(0, 1)], [])] or whole[1][2] == [(0, 6)]
     monkeypatch.setattr(d, "BLOCK_BYTES", 20)
     parts = run()
     cover = lambda rows: [(k, n, sorted({i for a, b in s for i in range(a, b)}), x) for k, n, s, x in rows]
@@ -136,7 +137,38 @@ def test_digest_of_items(ids):
     assert hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest()
 
 
-def test_merged_spans(spark):
-    df = spark.createDataFrame([([(5, 7), (1, 3), (2, 4), (7, 8)],), ([],)], "spans array<struct<start:long,end:long>>")
-    got = [[tuple(s) for s in r[0]] for r in df.select(d.merged_spans(F.col("spans"))).collect()]
-    assert got == [[(1, 4), (5, 8)], []]
+def test_merged_spans():
+    assert d.merge_spans([(5, 7), (1, 3), (2, 4), (7, 8)]) == [(1, 4), (5, 8)] and d.merge_spans([]) == []
+
+
+def thue_morse(n, flip=0):
+    return "".join("ab"[(bin(i).count("1") + flip) % 2] for i in range(n))
+
+
+def test_words_that_share_any_polynomial_hash(spark, docs_of):
+    """Two Thue-Morse words of 2,048 letters have one hash modulo 2**64, whatever its base."""
+    one, two = thue_morse(2048), thue_morse(2048, 1)
+    starts, ends, hashes = d.hashed_words(np.frombuffer(f"{one} {two}".encode(), np.uint8))
+    assert hashes[0] == hashes[1] and one != two
+    texts, items = [f"x {one} y", f"x {two} y", f"{two} {one}", one], [("1", f"{one} y"), ("2", f"x {two}"), ("3", two)]
+    assert searched(texts, items, 2) == plain(texts, items, 2)
+    assert searched(texts, items[:1], 2) == plain(texts, items[:1], 2)
+
+
+def test_spans_are_cut_out(spark, docs_of):
+    docs = docs_of(["Keep this, One two! THREE and (this).", "one", None, "nothing of it", "é one two three é"])
+    benchmark = spark.createDataFrame([(1, "one two three"), (2, "one")], "item_id long, text string")
+    found = d.without_spans(d.find_contamination(docs, benchmark, window=3))
+    got = {r.row.doc_id: r.clean_text for r in found.collect()}
+    assert got == {0: "Keep this,  and (this).", 1: "", 2: None, 3: "nothing of it", 4: "é  é"}
+    again = found.select(F.col("row.doc_id").alias("doc_id"), F.col("clean_text").alias("text"))
+    assert d.find_contamination(again, benchmark, window=3).where("size(spans) > 0").count() == 0
+
+
+def test_a_block_of_phrases_is_bounded():
+    """Windows of a full block take some fifteen times its text."""
+    r = random.Random(6)
+    text = " ".join(f"w{r.randrange(50_000)}" for _ in range(80_000))
+    made = d.Phrases.of([("1", text)])
+    size = sum(x.nbytes for x in (made.windows, made.lengths, made.first_item, made.items, made.hashes, made.symbols)) + sum(map(len, made.words))
+    assert size < 20 * len(text) and len(made.windows) == 80_000 - 9
