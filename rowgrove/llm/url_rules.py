@@ -3,8 +3,12 @@
 Every URL is expanded into the expressions that a rule could have written for it, the expressions meet the
 rules on the first hex digits of their SHA-256, full digests confirm a match, and the longest rule wins.
 
+A URL's expressions come from one row and are brought back to one row before the only shuffle of rows, which has a row for each row of the input and goes
+by key and address, so URLs without a host aren't a hot key. Expressions are made by two short lists (labels of a host, lengths of a path),
+so the plan doesn't grow with the rules.
+
 Defined results: a null URL, or one without ``://``, has an empty host and path and so meets no rule; an empty
-table gives an empty result; repeated URLs are judged once and every row keeps its own result; columns of the
+table gives an empty result; repeated rows are judged together and each keeps its own result; columns of the
 input other than the key and the URL are ignored, so they cannot clash. Of two fitting rules of one length the
 one with the longer host wins; a rule listed twice counts once, and ``block`` beats ``allow`` in that case.
 """
@@ -65,36 +69,32 @@ def judge_urls(pages: DataFrame, rules: DataFrame, *, key: str = "page_id", url:
         .withColumn("labels", F.size(F.split("rule_host", r"\.")))
         .withColumn("chars", F.length("rule_path"))
     )
-    # The shapes (labels of the host, characters of the path) say which expressions are worth making:
-    # they depend on the rules alone and are few, however many rules there are.
-    shapes = [(r.labels, r.chars) for r in rules.select("labels", "chars").distinct().collect()]
-    small = rules.count() <= BROADCAST_RULES
-    rules = rules.select(F.col("short"), F.col("digest").alias("rule_digest"), "rule", "rule_verdict", "rule_host")
-
-    seen = pages.select(F.col(key), url_host(F.col(url)).alias("host"), url_path(F.col(url)).alias("path"))
-    if not shapes:
-        return seen.select(key, "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
-    labels = F.size(F.split("host", r"\."))
-    fits = [
-        F.when((labels >= n) & (F.length("path") >= c), F.concat(F.substring_index("host", ".", -n), F.substring("path", 1, c)))
-        for n, c in sorted(shapes)
-    ]
-    expressions = (
-        seen.select("host", "path").distinct()
-        .select("host", "path", F.explode(F.array_distinct(F.array_compact(F.array(*fits)))).alias("expression"))
-        .withColumn("expression_digest", F.sha2("expression", 256))
-        .withColumn("short", F.substring("expression_digest", 1, PREFIX_DIGITS))
-    )
-    best = F.struct(F.length("rule").alias("n"), F.length("rule_host").alias("h"), F.col("rule"), F.col("rule_verdict"))
-    decided = (
-        expressions.join(F.broadcast(rules) if small else rules, "short")
-        .where(F.col("expression_digest") == F.col("rule_digest"))
-        .groupBy("host", "path")
-        .agg(F.max(best).alias("best"))
-    )
-    return seen.join(decided, ["host", "path"], "left").select(
-        key, "host", "path", F.col("best.rule").alias("rule"), F.coalesce(F.col("best.rule_verdict"), F.lit(default)).alias("verdict")
-    )
+    # What rules are written for says which expressions are worth making: so many labels of the host, so many characters of the path.
+    kinds = rules.agg(F.array_sort(F.collect_set("labels")).alias("labels"), F.array_sort(F.collect_set("chars")).alias("chars"), F.count("*").alias("n")).first()
+    # Rules that share a short prefix (few do) stand in one row, so an expression meets at most one.
+    rules = rules.groupBy("short").agg(F.collect_list(F.struct("digest", "rule", "rule_verdict", "rule_host")).alias("here"))
+    rules = F.broadcast(rules) if kinds.n <= BROADCAST_RULES else rules
+
+    seen = pages.select(F.col(key).alias("key"), url_host(F.col(url)).alias("host"), url_path(F.col(url)).alias("path"))
+    if not kinds.n:
+        return seen.select(F.col("key").alias(key), "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
+    parts = F.split("host", r"\.")
+    # Suffixes from the whole host down, prefixes of the path; those that the address is too short for are left out.
+    suffixes = F.transform(F.filter(F.array(*map(F.lit, kinds.labels)), lambda n: n <= F.size(parts)), lambda n: F.array_join(F.slice(parts, -n, n), "."))
+    lengths = F.filter(F.array(*map(F.lit, kinds.chars)), lambda c: c <= F.length("path"))
+    prefixes = F.transform(lengths, lambda c: F.substring(F.col("path"), F.lit(1), c))
+    expressions = F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.concat(s, p))))
+    spread = seen.select("key", "host", "path", F.posexplode_outer(F.array_distinct(expressions)).alias("at", "expression"))
+    spread = spread.withColumn("expression_digest", F.sha2("expression", 256)).withColumn("short", F.substring("expression_digest", 1, PREFIX_DIGITS))
+    met = spread.join(rules, "short", "left")
+    rule = F.element_at(F.filter("here", lambda r: r["digest"] == F.col("expression_digest")), F.lit(1))
+    fits = F.exists("here", lambda r: r["digest"] == F.col("expression_digest"))
+    best = F.when(fits, F.struct(F.length(rule["rule"]).alias("n"), F.length(rule["rule_host"]).alias("h"), rule["rule"].alias("rule"), rule["rule_verdict"].alias("rule_verdict")))
+    first = F.when(F.coalesce("at", F.lit(0)) == 0, 1).otherwise(0)  # each row of the input has one first expression, or none at all
+    judged = met.groupBy("key", "host", "path").agg(F.max(best).alias("best"), F.sum(first).alias("times"))
+    return judged.select(
+        F.col("key").alias(key), "host", "path", F.col("best.rule").alias("rule"), F.coalesce(F.col("best.rule_verdict"), F.lit(default)).alias("verdict"), F.explode(F.sequence(F.lit(1), F.col("times"))).alias("_")
+    ).drop("_")
 
 
 def op5_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
