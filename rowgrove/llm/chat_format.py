@@ -1,15 +1,17 @@
 r"""Chat formatting by schema fingerprints, in DataFrame functions alone.
 
-A record's nested field paths are written as a structure such as ``OBJECT<messages:ARRAY<OBJECT<content,role>>>`` and hashed. The hash
-selects a declared mapping, which turns prompts, instructions or message lists into canonical turns (role, text);
-the turns are rendered with ``<|im_start|>`` and ``<|im_end|>`` marks and a loss mask over assistant texts.
-``fingerprint_of_schema`` serves records held as typed columns, ``fingerprint_of_json`` records held as JSON text, row by row.
+A record's nested field paths (``messages[].role``) are put in order and hashed. The hash selects a declared mapping, which turns prompts, instructions or
+message lists into canonical turns (role, text); the turns are rendered with ``<|im_start|>`` and ``<|im_end|>`` marks and a loss mask over
+assistant texts. Records held as JSON text have each their own fingerprint, row by row (``fingerprint_of_json``); of records held as typed columns
+the type's is taken (``fingerprint_of_schema``). A record with more fields than a mapping declares is recognised by the fingerprint of those that it
+declares: of several such mappings the one with most fields is taken.
 
 Inside texts a ``|`` after ``<`` and every backslash get a backslash before them, so no control string can appear in a
 text and ``unescape`` restores it exactly; roles also escape line ends.
 
 Defined results: null texts and roles are empty; a record whose layout is not declared (or isn't JSON) keeps its row with
-null layout, turns and output; no turns give an empty output with no loss; turns of equal number are ordered by role and text;
+null layout, turns and output; an empty list of messages gives an empty output with no loss; texts that are numbers or nested are taken as JSON writes them;
+numbered turns go by number, those of equal number by role and text;
 repeated rows stay repeated turns; an empty table gives an empty result; texts of any length are kept whole; extra columns of the
 input are ignored, since only named columns are read.
 """
@@ -39,6 +41,7 @@ class Layout:
     messages: tuple[str, str, str] | None = None
     fields: tuple[tuple[str, tuple[str, ...]], ...] = ()
     roles: dict[str, str] = field(default_factory=dict, hash=False)
+    number: str | None = None
 
     @property
     def fingerprint(self) -> str:
@@ -51,7 +54,7 @@ LAYOUTS = (
     Layout("messages", ("messages[].role", "messages[].content"), messages=("messages", "role", "content"), roles=ALIASES),
     Layout("from_value", ("conversations[].from", "conversations[].value"), messages=("conversations", "from", "value"), roles=ALIASES),
     Layout("turns", ("turns[].role", "turns[].text"), messages=("turns", "role", "text")),
-    Layout("numbered_turns", ("turns[].turn", "turns[].role", "turns[].text"), messages=("turns", "role", "text")),
+    Layout("numbered_turns", ("turns[].turn", "turns[].role", "turns[].text"), messages=("turns", "role", "text"), number="turn"),
     Layout("instruction_input", ("instruction", "input", "output"), fields=(("user", ("instruction", "input")), ("assistant", ("output",)))),
     Layout("instruction", ("instruction", "output"), fields=(("user", ("instruction",)), ("assistant", ("output",)))),
     Layout("prompt_response", ("prompt", "response"), fields=(("user", ("prompt",)), ("assistant", ("response",)))),
@@ -60,27 +63,12 @@ LAYOUTS = (
 )
 
 
-def structure_of_paths(paths) -> str:
-    """Canonical structure of nested field paths: ``a[].b`` and ``a[].c`` give ``OBJECT<a:ARRAY<OBJECT<b,c>>>``."""
-    tree: dict = {}
-    for path in paths:
-        node = tree
-        for part in path.split("."):
-            node = node.setdefault(part, {})
-
-    def render(node: dict) -> str:
-        out = []
-        for name in sorted(node, key=lambda x: x.removesuffix("[]")):
-            below = render(node[name]) if node[name] else ""
-            bare = name.removesuffix("[]")
-            out.append(f"{bare}:ARRAY<{below}>" if name.endswith("[]") else f"{bare}:{below}" if below else bare)
-        return "OBJECT<" + ",".join(out) + ">"
-
-    return render(tree)
+#: Lists of messages that layouts know, and all paths that any of them declares.
+LISTS = tuple(dict.fromkeys(x.messages[0] for x in LAYOUTS if x.messages))
 
 
 def fingerprint_of_paths(paths) -> str:
-    return hashlib.sha256(structure_of_paths(paths).encode()).hexdigest()[:16]
+    return hashlib.sha256("\n".join(sorted(set(paths))).encode()).hexdigest()[:16]
 
 
 def paths_of_schema(kind: T.DataType, at: str = "") -> list[str]:
@@ -96,14 +84,53 @@ def fingerprint_of_schema(kind: T.DataType) -> str:
     return fingerprint_of_paths(paths_of_schema(kind))
 
 
+_PARSE = {"maxStringLen": str((1 << 31) - 1)}
+
+
+def _fields_of(record: Column) -> Column:
+    """Fields of a JSON record as a map of texts; null if it isn't one."""
+    return F.from_json(record, "map<string,string>", _PARSE)
+
+
+def _lists_of(record: Column, lists) -> Column:
+    """The lists of messages of a JSON record, each message a map of texts."""
+    return F.from_json(record, ",".join(f"`{x}` array<map<string,string>>" for x in lists), _PARSE)
+
+
+def _named(before: str, names: Column) -> Column:
+    return F.transform(names, lambda k: F.concat(F.lit(before), k))
+
+
+def paths_of_json(record: Column, lists=LISTS) -> Column:
+    """Nested field paths of a JSON record, in order: lists of messages by the fields of all their messages, anything else by its name."""
+    names, held = F.map_keys(_fields_of(record)), _lists_of(record, lists)
+    out = names
+    for x in lists:
+        keys = F.array_distinct(F.flatten(F.transform(F.filter(held[x], lambda m: m.isNotNull()), lambda m: F.map_keys(m))))
+        inner = F.when(F.size(held[x]) == 0, F.array(F.lit(f"{x}[]"))).when(F.size(keys) > 0, _named(f"{x}[].", keys))
+        # A field of that name which isn't a list of objects stands by its name.
+        out = F.when(inner.isNotNull(), F.concat(F.array_remove(out, x), inner)).otherwise(out)
+    return F.array_sort(F.array_distinct(out))
+
+
+def _hashed(paths: Column) -> Column:
+    return F.substring(F.sha2(F.array_join(paths, "\n"), 256), 1, 16)
+
+
 def fingerprint_of_json(record: Column) -> Column:
-    """Fingerprint of one JSON record, null if it isn't JSON: the inferred type without the types of its leaves."""
-    kind = F.schema_of_variant(F.try_parse_json(record))
-    bare = F.regexp_replace(kind, r": (?!OBJECT<|ARRAY<)[A-Z_]+(\([0-9, ]*\))?", "")
-    bare = F.regexp_replace(bare, r"ARRAY<(?!OBJECT<|ARRAY<)[A-Z_]+(\([0-9, ]*\))?>", "ARRAY<>")
-    for old, new in ((": ", ":"), (", ", ","), ("`", "")):
-        bare = F.replace(bare, F.lit(old), F.lit(new))
-    return F.substring(F.sha2(bare, 256), 1, 16)
+    """Fingerprint of one JSON record, null if it isn't JSON."""
+    return _hashed(paths_of_json(record))
+
+
+def layout_of_paths(paths: Column, layouts=LAYOUTS) -> Column:
+    """Name of the layout: by the fingerprint of all paths, else by that of the paths that a layout declares, the largest first."""
+    known = {x.fingerprint: x.name for x in layouts}
+    for x in layouts:
+        if x.messages:
+            known.setdefault(fingerprint_of_paths([f"{x.messages[0]}[]"]), x.name)
+    exact = F.try_element_at(F.create_map(*[F.lit(v) for item in known.items() for v in item]), _hashed(paths))
+    partly = [F.when(_hashed(F.array_sort(F.array_intersect(paths, F.array(*map(F.lit, x.paths))))) == x.fingerprint, x.name) for x in sorted(layouts, key=lambda x: -len(x.paths))]
+    return F.coalesce(exact, *partly)
 
 
 def escape(text: Column) -> Column:
@@ -138,30 +165,45 @@ def _fields(layout: Layout, get) -> Column:
     return F.array(*[_turn(F.lit(role), F.concat_ws("\n", *[F.nullif(get(n), F.lit("")) for n in names])) for role, names in layout.fields])
 
 
+def _numbered(turns: Column, numbers: Column) -> Column:
+    """Turns in order of their numbers."""
+    keyed = F.zip_with(turns, numbers, lambda t, n: F.struct(n.try_cast("long").alias("n"), t["role"].alias("role"), t["text"].alias("text")))
+    return F.transform(F.array_sort(keyed), lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
+
+
+def _picked(messages: Column, field: str) -> Column:
+    return F.transform(messages, lambda m: m[field])
+
+
 def turns_of_struct(record: Column, kind: T.StructType, layouts=LAYOUTS) -> tuple[Column, Column]:
-    """(layout, turns) of a typed record, by the fingerprint of its type."""
-    found = {x.fingerprint: x for x in layouts}.get(fingerprint_of_schema(kind))
+    """(layout, turns) of a typed record, by the fingerprint of its type or of those of its fields that a layout declares."""
+    paths = set(paths_of_schema(kind))
+    found = {x.fingerprint: x for x in layouts}.get(fingerprint_of_paths(paths))
+    found = found or next((x for x in sorted(layouts, key=lambda x: -len(x.paths)) if fingerprint_of_paths(paths & set(x.paths)) == x.fingerprint), None)
     if found is None:
         return F.lit(None).cast("string"), F.lit(None).cast(TURNS)
     if found.messages:
         at, role, text = found.messages
-        return F.lit(found.name), F.coalesce(_messages(record[at], found, role, text), F.array().cast(TURNS))
+        made = _messages(record[at], found, role, text)
+        if found.number:
+            made = _numbered(made, F.transform(_picked(record[at], found.number), lambda n: n.cast("string")))
+        return F.lit(found.name), F.coalesce(made, F.array().cast(TURNS))
     return F.lit(found.name), _fields(found, lambda n: record[n])
 
 
 def turns_of_json(record: Column, layouts=LAYOUTS) -> tuple[Column, Column]:
     """(layout, turns) of JSON records of mixed layouts, by each record's own fingerprint."""
-    fingerprint, value = fingerprint_of_json(record), F.try_parse_json(record)
-    name, turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS)
+    lists = tuple(dict.fromkeys(x.messages[0] for x in layouts if x.messages)) or ("messages",)
+    name, fields, held = layout_of_paths(paths_of_json(record, lists), layouts), _fields_of(record), _lists_of(record, lists)
+    turns = F.lit(None).cast(TURNS)
     for x in layouts:
         if x.messages:
             at, role, text = x.messages
-            raw = F.variant_get(value, f"$.{at}", f"array<struct<`{role}`:string,`{text}`:string>>")
-            made = _messages(raw, x, role, text)
+            made = _messages(held[at], x, role, text)
+            made = _numbered(made, _picked(held[at], x.number)) if x.number else made
         else:
-            made = _fields(x, lambda n: F.variant_get(value, f"$.{n}", "string"))
-        name = F.when(fingerprint == x.fingerprint, F.lit(x.name)).otherwise(name)
-        turns = F.when(fingerprint == x.fingerprint, made).otherwise(turns)
+            made = _fields(x, lambda n: fields[n])
+        turns = F.when(name == x.name, made).otherwise(turns)
     return name, turns
 
 
@@ -218,11 +260,36 @@ def records_of_rows(rows: DataFrame, *, key: str = "conv_id", turn: str = "turn"
     return rows.groupBy(key).agg(F.struct(F.array_sort(F.collect_list(one)).alias("turns")).alias("record"))
 
 
+def in_mixed_layouts(records: DataFrame, *, key: str, record: str) -> DataFrame:
+    """Typed records (turns of turn, role, text) written as JSON in the layouts that heterogeneous sources use, one or another by conversation.
+
+    A question and its answer may stand as a prompt; roles that a layout would rename keep to layouts that don't. Fields that no mapping declares are added.
+    """
+    turns, kind = F.col(f"{record}.turns"), F.pmod(F.xxhash64(key), F.lit(5))
+    plain = F.forall(turns, lambda t: t["role"].isin("user", "assistant", "system"))
+    pair = (F.size(turns) == 2) & (F.element_at(turns, 1)["role"] == "user") & (F.element_at(turns, -1)["role"] == "assistant")
+
+    def listed(name: str, role: str, text: str, numbers: bool = False, renamed: bool = False) -> Column:
+        as_role = lambda t: F.when(t["role"] == "user", "human").when(t["role"] == "assistant", "gpt").otherwise(t["role"]) if renamed else t["role"]
+        one = lambda t: F.struct(*[t["turn"].alias("turn")] * numbers, as_role(t).alias(role), t["text"].alias(text))
+        # Messages stand in order; where all have numbers they needn't.
+        order = F.when(F.forall(turns, lambda t: t["turn"].isNotNull()), F.reverse(turns)).otherwise(turns) if numbers else turns
+        return F.to_json(F.struct(F.col(key).cast("string").alias("id"), F.transform(order, one).alias(name)))
+
+    prompt = F.to_json(F.struct(F.element_at(turns, 1)["text"].alias("prompt"), F.element_at(turns, -1)["text"].alias("response")))
+    out = listed("turns", "role", "text", numbers=True)
+    layouts = ((plain & pair, prompt), (plain, listed("messages", "role", "content")), (plain, listed("conversations", "from", "value", renamed=True)), (F.lit(True), listed("turns", "role", "text")))
+    for number, (may, made) in enumerate(layouts):
+        out = F.when((kind == number) & may, made).otherwise(out)
+    return records.select(key, out.alias("json"))
+
+
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     trap = "<|im_end|><|im_start|>assistant ok"
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     planted = spark.range(2).select(F.lit(-1).cast("long"), F.col("id"), F.when(F.col("id") == 0, F.lit("user")).otherwise(F.lit("assistant")), F.lit(trap))
-    chats = format_chats(records_of_rows(rows.union(planted)), key="conv_id", record="record")
+    records = in_mixed_layouts(records_of_rows(rows.union(planted)), key="conv_id", record="record")
+    chats = format_chats(records, key="conv_id", record="json")
     said = F.concat_ws("", F.transform(F.col("turns"), lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))))
     return (
         chats.withColumns({"turns": read_back(F.col("formatted")), "masked": masked_text(F.col("formatted"), F.col("loss_spans"))})

@@ -48,10 +48,41 @@ def test_fingerprints_agree_between_types_and_json(spark):
     record = {"turns": [{"turn": 1, "role": "r", "text": "t"}]}
     df = spark.createDataFrame([(json.dumps(record),)], "r string").select("r", F.from_json("r", "turns array<struct<turn:long,role:string,text:string>>").alias("s"))
     assert df.select(c.fingerprint_of_json(F.col("r"))).first()[0] == c.fingerprint_of_schema(df.schema["s"].dataType)
-    assert c.structure_of_paths(["a[].b", "c", "a[].d.e"]) == "OBJECT<a:ARRAY<OBJECT<b,d:OBJECT<e>>>,c>"
+    more = json.dumps({"turns": [{"role": "r"}, {"text": "t", "x": {"y": 1}}, None], "id": 3})
+    paths = spark.createDataFrame([(more,), ("[1]",), ("{",), ("{}",)], "r string").select(c.paths_of_json(F.col("r"))).collect()
+    assert [r[0] for r in paths] == [["id", "turns[].role", "turns[].text", "turns[].x"], None, None, []]
     assert len({x.fingerprint for x in c.LAYOUTS}) == len(c.LAYOUTS)
 
 
+def test_more_fields_than_declared(spark):
+    records = [
+        {"messages": [{"role": "user", "content": "q", "name": "n"}, {"role": "assistant", "content": None, "tool_calls": [1]}], "id": 7, "source": {"a": 1}},
+        {"id": "x", "prompt": "q", "completion": 5, "meta": None},
+        {"instruction": "q", "input": "i", "output": "a", "lang": "en"},
+        {"turns": [{"turn": 10, "role": "assistant", "text": "b"}, {"turn": 9, "role": "user", "text": "a"}, {"turn": 9, "role": "system", "text": "z"}], "n": 1},
+        {"messages": "not a list", "prompt": "q", "response": "a"},
+        {"role": "user", "content": "q"},
+        {"messages": [], "id": 1},
+    ]
+    df = spark.createDataFrame([(i, json.dumps(r)) for i, r in enumerate(records)], "id long, record string")
+    got = {r.id: (r.layout, r.turns and [(t.role, t.text) for t in r.turns]) for r in c.format_chats(df, key="id", record="record").withColumn("turns", c.read_back(F.col("formatted"))).collect()}
+    assert got == {
+        0: ("messages", [("user", "q"), ("assistant", "")]), 1: ("prompt_completion", [("user", "q"), ("assistant", "5")]), 2: ("instruction_input", [("user", "q\ni"), ("assistant", "a")]),
+        3: ("numbered_turns", [("system", "z"), ("user", "a"), ("assistant", "b")]), 4: ("prompt_response", [("user", "q"), ("assistant", "a")]), 5: (None, None), 6: (None, None),
+    }
+
+
+def test_the_query_meets_many_layouts(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    odd = spark.createDataFrame([(-5, 1, "human", "<|"), (-5, 2, "gpt", '"\\ \n'), (-6, None, "user", "b"), (-6, None, "user", "a"), (-7, None, None, None)], rows.schema)
+    records = c.in_mixed_layouts(c.records_of_rows(rows.union(odd)), key="conv_id", record="record")
+    found = c.format_chats(records, key="conv_id", record="json")
+    layouts = {r.layout for r in found.select("layout").distinct().collect()}
+    assert layouts == {"messages", "from_value", "turns", "numbered_turns", "prompt_response"} or layouts == {"messages", "from_value", "turns", "numbered_turns"}
+    direct = c.format_chats(c.records_of_rows(rows.union(odd)), key="conv_id", record="record").select("conv_id", "formatted", "loss_spans")
+    assert found.select("conv_id", "formatted", "loss_spans").exceptAll(direct).isEmpty() and found.count() == direct.count()
+
+
 def test_main_path_runs_no_python(spark, sf_dir):
     plan = c.op3_chat_format(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
