@@ -15,7 +15,7 @@ import numpy as np
 from . import html_lstm
 from .html_blocks import Features, blocks_of
 
-PAGES, EPOCHS, BATCH, SEED = 6_000, 6, 48, 77
+PAGES, EPOCHS, BATCH, SEED = 9_000, 7, 48, 77
 
 # Words that pages use around their text, and names of classes.
 SYLLABLES = ("an er th on in the re ti es or nt ed at en st ou ha", "en er ch ei te ge st un be ie au ung sch ü ß", "de la os ci ón ar el es ra ta do que ñ í", "le ou ai eau é ent que on re tion è ch", "ka no shi ta mi ru to ha ne yo", "ов на ст ен то ра ко ни ла", "ing ly ness ful able ment pre con")
@@ -112,6 +112,14 @@ class Maker:
                 self.plain = plain
         return "".join(out)
 
+    def bare(self) -> str:
+        """An article without a container: paragraphs, or text with line ends between, directly in the body."""
+        if self.chance(0.5):
+            return self.article()
+        lines = [self.main_text(self.prose(1, 5)) for _ in range(int(self.r.integers(1, 12)))]
+        head = f"<h1>{self.main_text(self.sentence(1, 9))}</h1>" if self.chance(0.7) else ""
+        return head + self.pick(["<br><br>", "<p>", "<hr>", "<br>"]).join(lines)
+
     def menu(self) -> str:
         items = [self.label(MENU) for _ in range(int(self.r.integers(2, 10)))]
         tag = self.pick(["nav", "nav", "div", "ul", "div"])
@@ -180,8 +188,9 @@ class Maker:
         after = [f() for f, p in ((self.advert, 0.2), (self.talk, 0.35), (self.aside, 0.35), (self.form, 0.25), (self.menu, 0.2), (self.footer, 0.85), (self.notice, 0.1)) if self.chance(p)]
         if self.chance(0.08):  # a page of its article alone
             before, after = [], []
-        main = f"<{tag}{name if tag in ('article', 'main') or not self.plain else ''}>{self.article()}</{tag}>"
-        if self.chance(0.3):
+        alone = self.chance(0.13)
+        main = self.bare() if alone else f"<{tag}{name if tag in ('article', 'main') or not self.plain else ''}>{self.article()}</{tag}>"
+        if self.chance(0.3) and not alone:
             main = f"<div{self.attributes(['container', 'wrapper', 'page', 'row', 'layout', 'outer'])}>{main}{after.pop(0) if after and self.chance(0.5) else ''}</div>"
         end = "</body></html>" if self.chance(0.9) else ""
         return f"<!DOCTYPE html><html><head><title>{self.sentence(1, 9)}</title><style>p{{margin:0}}</style></head><body>{''.join(before)}{main}{''.join(after)}{end}"
