@@ -10,8 +10,13 @@ Blocks of vectors meet blocks of queries (a stated query set): rows of vectors a
 query block's results are merged by a grouped top-k. Nothing is collected.
 
 Defined results: rows without an id and vectors that are null, empty, zero, or hold null or non-finite components take no part, as queries or candidates; vectors of another
-dimension than the query's are no candidates; rows with the query's id are its own; ties go to the smaller id; repeated candidate rows count once; with fewer candidates than
+dimension than the query's are no candidates; rows with the query's id are its own; ties go to the smaller id; repeated rows count once, and of rows with one id and
+different vectors the one of fewest components and smallest numbers, in their order; with fewer candidates than
 asked for all are returned; an empty table gives an empty result; other columns are ignored.
+
+Work: a window that holds a near vector holds about a third of all others too (projections of far vectors crowd together), so each query's windows touch a share
+of all vectors in every projection, whatever the layout. Blocks keep that in memory, at one byte for a collision count, instead of shuffling a row for each
+collision. The work is queries times vectors; a constant number of queries against a growing table is linear.
 """
 
 from __future__ import annotations
@@ -22,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import ship, table
+from .common import broadcast_small, reliable, ship, table
 
 NEIGHBOURS = 10
 QUERY_STEP = 100
@@ -103,6 +108,12 @@ def nearest(vectors: DataFrame, is_query, *, key: str = "vec_id", vector: str =
     """query_id, rank, vec_id, score of the k nearest verified vectors of every row for which ``is_query`` (a condition) holds."""
     ship(vectors.sparkSession)
     usable = vectors.where(_usable(F.col(vector)) & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"), F.size(vector).alias("dim"), is_query.alias("asks"))
+    # Ids that occur more than once are few or none; only those are put in order.
+    twice = usable.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id")
+    if not twice.isEmpty():
+        first = usable.join(broadcast_small(twice), "id", "left_semi").groupBy("id").agg(F.min(F.struct("dim", "v", "asks")).alias("r")).select("id", "r.v", "r.dim", "r.asks")
+        usable = usable.join(broadcast_small(twice), "id", "left_anti").unionByName(first)
+        usable = reliable(usable)
     rows, asking = usable.agg(F.count("*"), F.count_if("asks")).first()
     blocks, asks = max(1, -(-rows // block_rows)), max(1, -(-asking // query_rows))
     block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
@@ -114,7 +125,7 @@ def nearest(vectors: DataFrame, is_query, *, key: str = "vec_id", vector: str =
         empty = pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
         if not len(these) or not len(queries):
             return empty
-        these, queries = these.drop_duplicates("id").sort_values("id"), queries.drop_duplicates("id").sort_values("id")
+        these, queries = these.sort_values("id"), queries.sort_values("id")
         ids, own = these["id"].to_numpy(np.int64), queries["id"].to_numpy(np.int64)
         index = SortedProjections(np.stack(these["v"]))
         asked = np.stack(queries["v"])

@@ -62,3 +62,12 @@ def test_alone_or_among_copies(spark):
     df = spark.createDataFrame([(i, [0.5, 0.5]) for i in range(30)], "vec_id long, embedding array<double>")
     assert rows_of(c.nearest(df, F.col("vec_id") == 29))[29] == [(0.0, i) for i in range(10)]
     assert c.nearest(df.where("vec_id = 0"), F.col("vec_id") == 0).count() == 0
+
+
+def test_one_id_has_one_vector(spark):
+    """Of rows with one id the smallest vector counts, wherever the rows lie."""
+    rows = [(0, [0.0, 0.1]), (0, [5.0, 5.0]), (1, [1.0, 1.0]), (1, [0.5, 9.0]), (1, [0.5, 9.0]), (2, [3.0]), (2, [1.0, 1.0]), (3, [2.0, 2.0])]
+    for parts in (1, 5):
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(parts)
+        got = [(r.query_id, r["rank"], r.vec_id) for r in c.nearest(df, F.col("vec_id") == 0).orderBy("rank").collect()]
+        assert got == [(0, 1, 3), (0, 2, 1)]
