@@ -25,7 +25,7 @@ def ascii_lower(c: Column) -> Column:
 
 
 #: Rows in an Arrow batch of documents: a batch and its copies stay small beside a worker's memory, whole texts included.
-BATCH_SETTING, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1_000
+BATCH_SETTING, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 500
 
 
 def ship(spark: SparkSession) -> None:

@@ -138,27 +138,29 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     two = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
     shared = F.size(F.array_intersect("x", "y"))
     similar = UNDER * shared >= OVER * (F.size("x") + F.size("y") - shared)
-    return pairs.join(two, "b").join(one, "a").where(similar).select("a", "b")
+    return pairs.join(two, "b").join(one, "a").where(similar).select("a", "b").distinct()
 
 
 def links(rows: DataFrame, texts: DataFrame, known: DataFrame, components: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Links (a, b) between nodes that span the components of ``known`` links and of all similar pairs.
 
-    ``rows`` is (node, one, two, n, prefix), a row or more for each node; ``texts`` is (one, two, text), which digests (one, two) name;
+    ``rows`` is (id, node, one, two, n, prefix), a row or more for each node; ``texts`` is (id, one, two, text), whose rows id and digests name;
     ``components`` makes (node, component) of links.
     """
     spark = rows.sparkSession
     # A shingle of one node only is counted for that node, however many rows it has; both counts are combined before their shuffle.
     firsts = rows.select("node", F.explode("prefix").alias("shingle")).groupBy("shingle").agg(F.min("node").alias("node"), F.max("node").alias("high"))
     alone = firsts.where("node = high").groupBy("node").agg(F.count("*").alias("alone"))
-    each = rows.where("n > 0").groupBy("node").agg(F.min("n").alias("n"), F.min(F.struct("one", "two")).alias("t"))
+    each = rows.where("n > 0").groupBy("node").agg(F.min("n").alias("n"), F.min(F.struct("id", "one", "two")).alias("t"))
     some = each.join(alone, "node", "left").where(F.coalesce("alone", F.lit(0)) <= F.floor(F.col("n") * (UNDER - OVER) / UNDER))
     # All shingles of the sets that are left, from one text of each node.
     text_of = some.select("node", "t.*")
-    full = texts.join(broadcast_small(reliable(text_of)), ["one", "two"]).select("node", whole_sets(F.col("text")).alias("s"))
-    sets = reliable(full.groupBy("node").agg(F.any_value("s").alias("s")).select("node", "s.*"))
+    chosen = broadcast_small(reliable(text_of))
+    same = texts["id"].eqNullSafe(chosen["id"]) & (texts["one"] == chosen["one"]) & (texts["two"] == chosen["two"])
+    # A row that is repeated gives its set twice; that only makes its shingles look more frequent.
+    sets = reliable(texts.join(chosen, same).select("node", whole_sets(F.col("text")).alias("s")).select("node", "s.*"))
     shared = counted(sets.select("node", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle")))
-    ranked = shared.groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("common"))
+    ranked = shared.groupBy("node", "n").agg(F.array_sort(F.collect_set(F.struct("df", "shingle"))).alias("common"))
     alone, allowed = F.col("n") - F.size("common"), F.floor(F.col("n") * (UNDER - OVER) / UNDER).cast("int")
     first = F.slice("common", F.lit(1), F.greatest(allowed + 1 - alone, F.lit(1)))
     kept = ranked.where(alone <= allowed).select("node", "n", alone.alias("alone"), first.alias("first"))
@@ -166,15 +168,7 @@ def links(rows: DataFrame, texts: DataFrame, known: DataFrame, components: Calla
     leader = places.groupBy("shingle").agg(F.min(F.struct("node", "n", "at")).alias("lead"), F.count("*").alias("here")).where("here > 1")
     met = places.join(leader, "shingle").where((F.col("node") != F.col("lead.node")) & _fits(F.col("n"), F.col("at"), F.col("lead.n"), F.col("lead.at")))
     pairs = reliable(met.select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b")).distinct())
-    part = lambda state, c: state.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))
-
-    def apart(pairs: DataFrame, state: DataFrame) -> DataFrame:
-        """Pairs that no link joins yet."""
-        beside = pairs.join(broadcast_small(part(state, "a")), "a", "left").join(broadcast_small(part(state, "b")), "b", "left")
-        return beside.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
-
-    state = reliable(components(known))
-    state = reliable(components(known.union(reliable(confirmed(apart(pairs, state), sets)))))
+    state = reliable(components(known.union(confirmed(pairs, sets))))
     here = places.join(broadcast_small(state), "node", "left").withColumn("component", F.coalesce("component", "node"))
     several = here.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("shingle")
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), places.count() // TASK_ROWS)

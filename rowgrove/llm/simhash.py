@@ -315,8 +315,8 @@ def groups_of_rows(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
     owner = reliable(clear.groupBy("print").agg(F.min("node").alias("rep")))
     same = clear.select("print", "node").distinct().join(owner, "print").where("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
     known = reliable(same.union(spanning_links(owner, owner.count(), MAX_DIFFERENCES)).where("a <> b").distinct())
-    wanted = docs.select(*digests, F.col(text).alias("text"))
-    found = components(shingle_join.links(clear.select("node", "one", "two", "n", "prefix"), wanted, known, components))
+    wanted = docs.select(F.col(key).alias("id"), *digests, F.col(text).alias("text"))
+    found = components(shingle_join.links(clear.select("id", "node", "one", "two", "n", "prefix"), wanted, known, components))
     grouped = every.select("id", "one", "two", "node").join(found.withColumnRenamed("component", "_component"), "node", "left")
     return grouped.select("id", "one", "two", "node", F.coalesce("_component", "node").alias("component"))
 
