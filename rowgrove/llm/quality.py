@@ -5,11 +5,14 @@ its style such as capitals, digits, signs and repeats). Over some rounds each vi
 are calibrated on held-out labelled rows and their calibrated log-odds are added, each to the extent that it says more than the other. Two targets are learned that way, quality and toxicity; a document is
 kept if it is more likely good than not and less likely toxic than not.
 
-Labelled rows are sampled: at most ``LABELLED_ROWS``, an equal share for each combination of labels as far as there are that many, those of smallest
-hash; weights restore the shares of the combinations. The other documents are not sampled: every document takes part in one of the rounds. A round scores its
-documents where they lie and counts, for each feature of the view that is taught, how many confidently good and bad documents have it. Counts are
+Nothing is sampled. Each document's features are made once and kept in the shared folder; what follows reads them. All labelled rows teach (near copies
+once): features are admitted by counts over all rows that aren't held out, and weights are fitted on parts of about ``PART_ROWS`` rows, dealt by
+hash, and put together by how often each part has a feature, so no task or driver holds all labelled rows. Calibrations, thresholds and the
+fusion are fitted on counts of all held-out rows by both views' raw scores, in steps of ``1 / STEPS_OF_SCORE``. Over each round all documents are scored and
+those that a view is sure of are counted, for each feature of the view that is taught, as confidently good or bad. Counts are
 combined in tasks and summed by Spark; those that depend on the pseudo-label come to the driver, at most as many as there are buckets for features. They are the
-prior of the taught view's weights, which its labelled rows then correct.
+prior of the taught view's weights, which its labelled rows then correct. (A caller may bound the labelled rows by ``most``: an equal share for each
+combination of labels as far as there are that many, those of smallest hash; weights restore the shares of the combinations.)
 
 A view teaches a class by rank and by an absolute bound: the threshold is where the surest part (one of ``RANKS``) of held-out rows of the class lie, and the
 view is silent about the class unless those are right to ``RIGHT`` and twice as seldom wrong as guessing would be.
@@ -34,9 +37,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import reliable, relieve, ship, table
+from .common import broadcast_small, reliable, relieve, ship, table
 
-LABELLED_ROWS = 6_000
+#: Labelled rows that weights are fitted on at a time, about.
+PART_ROWS = 4_000
+#: Held-out raw scores are counted by steps of this fraction, up to this size.
+STEPS_OF_SCORE, MOST_SCORE = 32, 20.0
 ROUNDS = 3
 #: A view teaches by its surest part of a class, the largest of these that is right to this share of held-out rows.
 RANKS, RIGHT = (0.5, 0.25, 0.125, 0.0625, 0.03125), 0.95
@@ -55,6 +61,8 @@ BEGINNINGS = (6, 4)
 TARGETS = ("quality", "toxic")
 #: Words that a worker remembers the buckets of.
 REMEMBERED = 40_000
+#: The largest gap of packed codes.
+GAP = 0xFFFF
 
 _SPLIT = re.compile(r"[^\w']+")
 _KIND = np.zeros(256, np.int64)
@@ -121,6 +129,28 @@ def _named(name: str) -> int:
     return got
 
 
+def packed(codes: np.ndarray) -> bytes:
+    """Distinct codes in order as two-byte gaps; ``GAP`` stands for itself and no code."""
+    gaps = np.diff(np.sort(codes), prepend=0)
+    long, rest = np.divmod(gaps, GAP)
+    if not long.any():
+        return rest.astype("<u2").tobytes()
+    out = np.full(len(gaps) + int(long.sum()), GAP, "<u2")
+    out[np.cumsum(long + 1) - 1] = rest
+    return out.tobytes()
+
+
+def unpacked(cells: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(codes, index of the cell) of packed cells."""
+    sizes = np.array([len(x) // 2 for x in cells], np.int64)
+    gaps = np.frombuffer(b"".join(cells), "<u2").astype(np.int64)
+    owner = np.repeat(np.arange(len(cells)), sizes)
+    total = np.concatenate(([0], np.cumsum(gaps)))
+    begin = np.cumsum(sizes) - sizes
+    codes, real = total[1:] - total[begin][owner], gaps != GAP
+    return codes[real], owner[real]
+
+
 def sketch(codes: np.ndarray) -> tuple[int, int]:
     """Two minima over a text's words; near copies mostly share both, so that a group of them teaches once."""
     if not len(codes):
@@ -138,6 +168,9 @@ class Linear:
     def raw(self, codes: np.ndarray) -> float:
         return self.bias + float(self.weights[codes].sum())
 
+    def raws(self, codes: np.ndarray, owner: np.ndarray, rows: int) -> np.ndarray:
+        return self.bias + np.bincount(owner, weights=self.weights[codes], minlength=rows)
+
 
 def chi_square(both, with_feature, positive: float, rows: float):
     """Pearson's statistic of a feature against a target, of arrays of features."""
@@ -148,32 +181,38 @@ def chi_square(both, with_feature, positive: float, rows: float):
 
 
 def fit_linear(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, least: int, buckets: int, prior: np.ndarray | None = None, l2: float = 2e-3) -> Linear:
-    """Full-batch gradient descent with momentum around prior weights, steps scaled by how often a feature occurs."""
-    rate = float(np.clip((y * weight).sum() / max(weight.sum(), 1e-9), 1e-4, 1 - 1e-4)) if len(y) else 0.5
-    start, bias = (np.zeros(buckets, np.float64) if prior is None else prior.astype(np.float64)), float(np.log(rate / (1 - rate)))
-    if len(set(y.tolist())) < 2:
-        return Linear(start.astype(np.float32), bias)
+    """A regression on rows that lie in memory; features are admitted by their own counts."""
     columns = np.concatenate(rows) if rows else np.zeros(0, np.int64)
     owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    start = np.zeros(buckets, np.float64) if prior is None else prior.astype(np.float64)
     seen = np.bincount(columns, minlength=buckets)
     good = np.bincount(columns, weights=y[owner], minlength=buckets)
-    admitted = (seen >= least) & (chi_square(good, seen, float(y.sum()), len(y)) >= MIN_CHI) | (start != 0) & (seen >= least)
-    scale = admitted / np.sqrt(np.maximum(1.0, seen) / len(rows) + 0.01)
-    w, move, total = start.copy(), np.zeros(buckets), weight.sum()
+    admitted = (seen >= least) & ((chi_square(good, seen, float(y.sum()), len(y)) >= MIN_CHI) | (start != 0))
+    bias, at, moved, _ = descend(columns, owner, y, weight, admitted, start, l2)
+    start[at] += moved
+    return Linear(start.astype(np.float32), bias)
+
+
+def descend(columns: np.ndarray, owner: np.ndarray, y: np.ndarray, weight: np.ndarray, admitted: np.ndarray, start: np.ndarray, l2: float = 2e-3) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+    """Full-batch gradient descent with momentum around prior weights, steps scaled by how often a feature occurs: bias, features, their moves, and rows that have them."""
+    rate = float(np.clip((y * weight).sum() / max(weight.sum(), 1e-9), 1e-4, 1 - 1e-4)) if len(y) else 0.5
+    bias, total, n = float(np.log(rate / (1 - rate))), weight.sum(), len(y)
+    if len(set(y.tolist())) < 2:
+        return bias, np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
     kept = admitted[columns] | (start[columns] != 0)
     columns, owner = columns[kept], owner[kept]
     # Only the columns that occur are moved, so work goes by them and not by all buckets.
-    at, place = np.unique(columns, return_inverse=True)
-    w_at, move_at, scale_at, start_at = w[at], move[at], scale[at], start[at]
+    at, place, seen = np.unique(columns, return_inverse=True, return_counts=True)
+    w_at, move_at, start_at = start[at], np.zeros(len(at)), start[at]
+    scale_at = admitted[at] / np.sqrt(np.maximum(1.0, seen) / n + 0.01)
     for _ in range(STEPS):
-        z = bias + np.bincount(owner, weights=w_at[place], minlength=len(rows))
+        z = bias + np.bincount(owner, weights=w_at[place], minlength=n)
         error = weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
-        gradient = np.bincount(place, weights=error[owner], minlength=len(at)) / total + l2 * (w_at - start_at) / len(rows) ** 0.5
+        gradient = np.bincount(place, weights=error[owner], minlength=len(at)) / total + l2 * (w_at - start_at) / n**0.5
         move_at = 0.9 * move_at - 0.12 * scale_at * gradient
         w_at = w_at + move_at
         bias -= 0.5 * error.sum() / total
-    w[at] = w_at
-    return Linear(w.astype(np.float32), bias)
+    return float(bias), at, w_at - start_at, seen
 
 
 def fit_calibration(z: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> tuple[float, float]:
@@ -206,9 +245,9 @@ def fit_fusion(one: np.ndarray, two: np.ndarray, y: np.ndarray, weight: np.ndarr
     return float(max(0.0, beta[0])), float(max(0.0, beta[1])), float(beta[2])
 
 
-def thresholds(p: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
-    """(low, high): a view calls documents below ``low`` bad and above ``high`` good; -1 and 2 where it may not teach a class."""
-    out = []
+def thresholds(p: np.ndarray, y: np.ndarray, weight: np.ndarray, rows: np.ndarray | None = None) -> tuple[float, float]:
+    """(low, high): a view calls documents below ``low`` bad and above ``high`` good; -1 and 2 where it may not teach a class. ``rows``: how many rows each entry stands for."""
+    out, rows = [], np.ones(len(p)) if rows is None else rows
     for score, right in ((1 - p, y == 0), (p, y > 0)):
         base = float(weight[right].sum() / max(weight.sum(), 1e-9))
         order = np.argsort(-score, kind="stable")
@@ -218,7 +257,7 @@ def thresholds(p: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float,
             at = min(int(np.searchsorted(reached, part * base * weight.sum())), len(order) - 1)
             sure = score >= score[order[at]]
             hit = float(weight[sure & right].sum() / max(weight[sure].sum(), 1e-9))
-            if sure.sum() >= LEAST_HELD and hit >= RIGHT and hit >= (1 + base) / 2:
+            if rows[sure].sum() >= LEAST_HELD and hit >= RIGHT and hit >= (1 + base) / 2:
                 found = float(score[order[at]])
                 break
         out.append(found)
@@ -244,59 +283,50 @@ class Target:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-@dataclass
-class Labelled:
-    """Labelled rows of both views, once for each group of near copies; every third is held out."""
-
-    views: tuple[list[np.ndarray], list[np.ndarray]]
-    y: np.ndarray
-    weight: np.ndarray
-
-    @classmethod
-    def of(cls, one: list[np.ndarray], two: list[np.ndarray], y: np.ndarray, weight: np.ndarray) -> Labelled:
-        once = sorted({(sketch(codes), bool(v)): i for i, (codes, v) in reversed([*enumerate(zip(one, y, strict=True))])}.values())
-        weight = weight[once] / max(weight[once].mean(), 1e-9) if once else weight[:0]
-        return cls(([one[i] for i in once], [two[i] for i in once]), y[once] if once else y[:0], weight)
-
-    def fit(self, priors: tuple[np.ndarray | None, np.ndarray | None] = (None, None)) -> Target:
-        held = np.arange(len(self.y)) % 3 == 2
-        f, h = np.flatnonzero(~held), np.flatnonzero(held)
-        y, w = self.y, self.weight
-        prior = float(np.log(((y * w).sum() + 1) / (((1 - y) * w).sum() + 1))) if len(y) else 0.0
-        least = (max(MIN_TEXTS, int(MIN_SHARE * len(y))), 2)
-        models, calibration, teaches = [], [], []
-        for v in (0, 1):
-            models.append(fit_linear([self.views[v][i] for i in f], y[f], w[f], least[v], BUCKETS[v], priors[v]))
-            z = np.array([models[v].raw(self.views[v][i]) for i in h])
-            calibration.append(fit_calibration(z, y[h], w[h]) if len(h) else (0.0, prior))
-            a, b = calibration[v]
-            p = 1 / (1 + np.exp(-np.clip(a * z + b, -30, 30)))
-            teaches.append(thresholds(p, y[h], w[h]) if len(h) and a > 0 else (-1.0, 2.0))
-        odds = [a * np.array([m.raw(self.views[v][i]) for i in h]) + b for v, (m, (a, b)) in enumerate(zip(models, calibration, strict=True))]
-        return Target(tuple(models), tuple(calibration), tuple(teaches), fit_fusion(*odds, y[h], w[h], prior))
-
-
 @dataclass
 class QualityModel:
     targets: dict[str, Target]
 
-    def raws(self, texts: list[str | None], meta: list[tuple], words_at: WordBuckets) -> Iterator[tuple[np.ndarray, np.ndarray, list[tuple[float, float]]]]:
-        """(buckets of either view, raw scores of either view for each target) of each document."""
-        for text, m in zip(texts, meta, strict=True):
+    def score(self, texts: list[str | None], meta: list[tuple], words_at: WordBuckets | None = None) -> np.ndarray:
+        words_at, raw = words_at if words_at is not None else WordBuckets(), np.zeros((len(texts), len(self.targets), 2))
+        for i, (text, m) in enumerate(zip(texts, meta, strict=True)):
             one, style = content(text, words_at)
             two = metadata(*m, style)
-            yield one, two, [(t.views[0].raw(one), t.views[1].raw(two)) for t in self.targets.values()]
-
-    def score(self, texts: list[str | None], meta: list[tuple], words_at: WordBuckets | None = None) -> np.ndarray:
-        raw = np.array([r for _, _, r in self.raws(texts, meta, words_at if words_at is not None else WordBuckets())]).reshape(len(texts), len(self.targets), 2)
+            raw[i] = [(t.views[0].raw(one), t.views[1].raw(two)) for t in self.targets.values()]
         return np.stack([t.score(raw[:, k, 0], raw[:, k, 1]) for k, t in enumerate(self.targets.values())], axis=1)
 
+    def score_features(self, one: list[bytes], two: list[bytes]) -> np.ndarray:
+        """The same scores of packed features."""
+        views = unpacked(one), unpacked(two)
+        return np.stack([t.score(*(t.views[v].raws(*views[v], len(one)) for v in (0, 1))) for t in self.targets.values()], axis=1)
 
-def labelled_rows(docs: DataFrame, labels: DataFrame, key: str, text: str, meta: tuple[str, str, str], most: int) -> pd.DataFrame:
-    """Features, labels and weights of the sampled labelled rows; texts stay in the tasks."""
-    known = labels.where(" AND ".join(f"{t} IS NOT NULL" for t in TARGETS) + f" AND `{key}` IS NOT NULL").groupBy(key).agg(*[F.max(t).alias(f"_{t}") for t in TARGETS])
+
+def features(docs: DataFrame, *, key: str = "doc_id", text: str = "text", meta: tuple[str, str, str] = ("lang", "source", "n_chars")) -> DataFrame:
+    """Key, digest of the text and packed features of both views of every document; texts are read once, and stay in the tasks."""
+    ship(docs.sparkSession)
+
+    @F.pandas_udf("struct<one:binary,two:binary>")
+    def made(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+        words_at = WordBuckets()
+        for texts, langs, sources, sizes in batches:
+            out = []
+            for x, *m in zip(texts, langs, sources, sizes, strict=True):
+                one, style = content(x, words_at)
+                out.append((packed(one), packed(metadata(*m, style))))
+            yield pd.DataFrame(out, columns=["one", "two"])
+            relieve()
+
+    both = made(F.col(text), *map(F.col, meta))
+    return reliable(docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("hash"), both.alias("f")).select("key", "hash", "f.*"))
+
+
+def chosen_labels(labels: DataFrame, key: str, most: int | None) -> DataFrame:
+    """(key, labels, weight) of all labelled keys, or of at most ``most``."""
+    known = labels.where(" AND ".join(f"{t} IS NOT NULL" for t in TARGETS) + f" AND `{key}` IS NOT NULL").groupBy(F.col(key).alias("key")).agg(*[F.max(t).alias(f"_{t}") for t in TARGETS])
+    if most is None:
+        return known.withColumn("_weight", F.lit(1.0))
     kinds = [f"_{t}" for t in TARGETS]
-    hashed = known.withColumn("_hash", F.xxhash64(F.col(key), F.lit(7)))
+    hashed = known.withColumn("_hash", F.xxhash64(F.col("key"), F.lit(7)))
     counts = {tuple(r[k] for k in kinds): r["n"] for r in hashed.groupBy(*kinds).agg(F.count("*").alias("n")).collect()}
     share, left, take = most, len(counts), {}
     for kind, n in sorted(counts.items(), key=lambda x: x[1]):  # small groups leave their part to the others
@@ -304,7 +334,7 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, key: str, text: str, meta:
         share, left = share - take[kind], left - 1
     # Hashes as numbers from 0 to 1: hardly more rows than wanted are left to be put in order.
     place, parts = F.col("_hash") / F.lit(float(1 << 64)) + F.lit(0.5), F.lit(0.0)
-    rank = F.row_number().over(Window.partitionBy(*kinds).orderBy("_hash", key))
+    rank = F.row_number().over(Window.partitionBy(*kinds).orderBy("_hash", "key"))
     wanted, weight = F.lit(0), F.lit(1.0)
     for kind, n in take.items():
         here = F.lit(True)
@@ -312,53 +342,161 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, key: str, text: str, meta:
             here = here & (F.col(c) == v)
         parts = F.when(here, min(1.0, (n + 5 * n**0.5 + 5) / counts[kind])).otherwise(parts)
         wanted, weight = F.when(here, n).otherwise(wanted), F.when(here, counts[kind] / max(1, n)).otherwise(weight)
-    chosen = hashed.where(place <= parts).withColumn("_rank", rank).where(F.col("_rank") <= wanted).select(key, *kinds, weight.alias("_weight"))
+    return hashed.where(place <= parts).withColumn("_rank", rank).where(F.col("_rank") <= wanted).select("key", *kinds, weight.alias("_weight"))
 
-    @F.pandas_udf("struct<one:binary,two:binary>")
-    def features(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
-        words_at = WordBuckets()
-        for texts, langs, sources, sizes in batches:
-            out = []
-            for x, *m in zip(texts, langs, sources, sizes, strict=True):
-                one, style = content(x, words_at)
-                out.append((np.sort(one).astype("<i4").tobytes(), metadata(*m, style).astype("<i4").tobytes()))
-            yield pd.DataFrame(out, columns=["one", "two"])
-            relieve()
 
-    # At most labelled rows of a few numbers, so their size is bounded.
-    met = docs.select(key, F.col(text).alias("_text"), *meta).join(F.broadcast(chosen), key)
-    rows = met.select(F.col(key).alias("key"), F.xxhash64("_text").alias("hash"), *kinds, "_weight", features(F.col("_text"), *map(F.col, meta)).alias("f")).select("key", "hash", *kinds, "_weight", "f.*")
-    return rows.toPandas().sort_values(["key", "hash"], kind="stable").drop_duplicates("key", ignore_index=True)
+def labelled(rows: DataFrame, labels: DataFrame, key: str, most: int | None) -> DataFrame:
+    """Features, labels and weight of labelled documents, one for each key."""
+    met = rows.join(broadcast_small(reliable(chosen_labels(labels, key, most))), "key")
+    first = F.min(F.struct("hash", *[f"_{t}" for t in TARGETS], "_weight", "one", "two")).alias("f")
+    return met.groupBy("key").agg(first).select("key", "f.*")
+
 
+def labelled_rows(docs: DataFrame, labels: DataFrame, key: str, text: str, meta: tuple[str, str, str], most: int) -> pd.DataFrame:
+    """A bounded number of labelled rows in the driver's memory."""
+    return labelled(features(docs, key=key, text=text, meta=meta), labels, key, most).toPandas().sort_values(["key", "hash"], kind="stable", ignore_index=True)
 
-def taught(docs: DataFrame, model: QualityModel, part: int, parts: int, key: str, text: str, meta: tuple[str, str, str]) -> dict[str, tuple[np.ndarray | None, np.ndarray | None]]:
-    """Prior weights of either view for each target, from documents that the other view labels confidently; ``part`` of ``parts`` of them is asked."""
+
+class Labelled:
+    """Labelled rows of both views, once for each group of near copies; about every third group is held out. They stay in the tasks."""
+
+    def __init__(self, rows: DataFrame):
+        kinds = [f"_{t}" for t in TARGETS]
+
+        def sketched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                codes, owner = unpacked(batch["one"].tolist())
+                cuts = np.searchsorted(owner, np.arange(len(batch) + 1))
+                pairs = [sketch(codes[a:b]) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+                yield batch.assign(s=[a for a, _ in pairs], t=[b for _, b in pairs])
+                relieve()
+
+        named = rows.select("key", "hash", *[(F.col(c) > 0).cast("int").alias(c) for c in kinds], "_weight", "one", "two")
+        kind = named.schema["key"].dataType.simpleString()
+        made = named.mapInPandas(sketched, f"key {kind}, hash long, {', '.join(f'{c} int' for c in kinds)}, _weight double, one binary, two binary, s long, t long")
+        once = made.groupBy("s", "t", *kinds).agg(F.min(F.struct("key", "hash", "_weight", "one", "two")).alias("f"), F.count("*").alias("n"))
+        held = F.pmod(F.xxhash64("s", "t", F.lit(3)), F.lit(3)) == 2
+        share = F.col("n") / F.sum("n").over(Window.partitionBy("s", "t"))  # labels that differ within a group share its weight
+        once = reliable(once.select("s", "t", *kinds, held.alias("held"), (F.col("f._weight") * share).alias("_weight"), "f.one", "f.two"))
+        sums = once.groupBy("held").agg(F.count("*").alias("n"), F.sum("_weight").alias("w"), *[F.sum(c).alias(c) for c in kinds], *[F.sum(F.col(c) * F.col("_weight")).alias(f"w{c}") for c in kinds]).collect()
+        both = {r["held"]: r for r in sums}
+        self.rows = sum(r["n"] for r in sums)
+        self.fitted = both[False]["n"] if False in both else 0
+        self.good = [float(both[False][c]) if False in both else 0.0 for c in kinds]
+        unit = sum(r["w"] for r in sums) / self.rows if self.rows else 1.0
+        sure = [(sum(r[f"w{c}"] for r in sums) / unit, sum(r["w"] - r[f"w{c}"] for r in sums) / unit) for c in kinds]
+        self.prior = [float(np.log((a + 1) / (b + 1))) if self.rows else 0.0 for a, b in sure]
+        parts = max(1, -(-self.fitted // PART_ROWS))
+        self.held = once.where("held").select(*kinds, (F.col("_weight") / unit).alias("_weight"), "one", "two")
+        dealt = once.where("NOT held").select(*kinds, (F.col("_weight") / unit).alias("_weight"), "one", "two", F.pmod(F.xxhash64("s", "t", F.lit(5)), F.lit(parts)).alias("part"))
+        self.parts = reliable(dealt.repartition(parts, "part"))
+        self._count()
+
+    def _count(self) -> None:
+        """Features that enough fitting rows have, and for each target those that depend on it, by counts over all fitting rows."""
+        kinds = [f"_{t}" for t in TARGETS]
+
+        def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            sums = [np.zeros((1 + len(kinds), n), np.int32) for n in BUCKETS]
+            for batch in batches:
+                for v, name in enumerate(("one", "two")):
+                    codes, owner = unpacked(batch[name].tolist())
+                    np.add.at(sums[v][0], codes, 1)
+                    for k, c in enumerate(kinds):
+                        np.add.at(sums[v][k + 1], codes[batch[c].to_numpy(int)[owner] > 0], 1)
+            for v, x in enumerate(sums):
+                at = np.flatnonzero(x[0])
+                yield pd.DataFrame({"view": v, "bucket": at, "seen": x[0][at]} | {c: x[k + 1][at] for k, c in enumerate(kinds)})
+            relieve()
+
+        least = (max(MIN_TEXTS, int(MIN_SHARE * self.rows)), 2)
+        counts = self.parts.mapInPandas(count, f"view int, bucket long, seen long, {', '.join(f'{c} long' for c in kinds)}").groupBy("view", "bucket").agg(*[F.sum(c).alias(c) for c in ("seen", *kinds)])
+        found = counts.where(F.col("seen") >= F.when(F.col("view") == 0, least[0]).otherwise(least[1])).toPandas()
+        self.enough, self.telling = [], []
+        for v, n in enumerate(BUCKETS):
+            mine = found[found["view"] == v]
+            at, seen = mine["bucket"].to_numpy(np.int64), mine["seen"].to_numpy(float)
+            self.enough.append(np.bincount(at, minlength=n) > 0)
+            apart = [chi_square(mine[c].to_numpy(float), seen, good, float(self.fitted)) >= MIN_CHI for c, good in zip(kinds, self.good, strict=True)]
+            self.telling.append([np.bincount(at[x], minlength=n) > 0 for x in apart])
+
+    def fit(self, priors: dict[str, tuple[np.ndarray | None, np.ndarray | None]]) -> dict[str, Target]:
+        at = [(k, v) for k in range(len(TARGETS)) for v in (0, 1)]
+        start = {(k, v): np.zeros(BUCKETS[v], np.float32) if priors[TARGETS[k]][v] is None else priors[TARGETS[k]][v] for k, v in at}
+        allowed = {(k, v): self.telling[v][k] | self.enough[v] & (start[k, v] != 0) for k, v in at}
+        sparse = {a: (np.flatnonzero(start[a]), start[a][np.flatnonzero(start[a])], np.flatnonzero(allowed[a])) for a in at}
+
+        def fit_parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            held = [x for x in batches if len(x)]
+            for _, rows in pd.concat(held, ignore_index=True).groupby("part") if held else ():
+                weight, views = rows["_weight"].to_numpy(float), [unpacked(rows[c].tolist()) for c in ("one", "two")]
+                for (k, v), (places, values, admitted) in sparse.items():
+                    may, from_ = np.zeros(BUCKETS[v], bool), np.zeros(BUCKETS[v])
+                    may[admitted], from_[places] = True, values
+                    bias, features_, moved, seen = descend(*views[v], rows[f"_{TARGETS[k]}"].to_numpy(float), weight, may, from_)
+                    yield pd.DataFrame({"target": k, "view": v, "bucket": np.append(features_, -1), "moved": np.append(moved * seen, bias * len(rows)), "seen": np.append(seen, len(rows))})
+                relieve()
+
+        moves = self.parts.mapInPandas(fit_parts, "target int, view int, bucket long, moved double, seen long").groupBy("target", "view", "bucket").agg((F.sum("moved") / F.sum("seen")).alias("moved")).where("moved <> 0").toPandas()
+        models = {}
+        for k, v in at:
+            mine = moves[(moves["target"] == k) & (moves["view"] == v)]
+            places, moved = mine["bucket"].to_numpy(np.int64), mine["moved"].to_numpy(float)
+            weights = start[k, v].astype(np.float64)
+            weights[places[places >= 0]] += moved[places >= 0]
+            models[k, v] = Linear(weights.astype(np.float32), float(moved[places < 0].sum()))
+        return self._calibrated(models)
+
+    def _calibrated(self, models: dict[tuple[int, int], Linear]) -> dict[str, Target]:
+        """Targets of fitted views, by counts of all held-out rows."""
+
+        def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                views = [unpacked(batch[c].tolist()) for c in ("one", "two")]
+                for k, t in enumerate(TARGETS):
+                    raw = [np.rint(np.clip(models[k, v].raws(*views[v], len(batch)), -MOST_SCORE, MOST_SCORE) * STEPS_OF_SCORE).astype(np.int32) for v in (0, 1)]
+                    yield pd.DataFrame({"target": k, "y": batch[f"_{t}"].to_numpy(np.int32), "one": raw[0], "two": raw[1], "weight": batch["_weight"]})
+                relieve()
+
+        cells = self.held.mapInPandas(score, "target int, y int, one int, two int, weight double").groupBy("target", "y", "one", "two").agg(F.sum("weight").alias("weight"), F.count("*").alias("rows"))
+        found = cells.toPandas().sort_values(["target", "one", "two", "y"], ignore_index=True)
+        out = {}
+        for k, name in enumerate(TARGETS):
+            mine = found[found["target"] == k]
+            y, w, rows = (mine[c].to_numpy(float) for c in ("y", "weight", "rows"))
+            z = [mine[c].to_numpy(float) / STEPS_OF_SCORE for c in ("one", "two")]
+            calibration = [fit_calibration(z[v], y, w) if len(y) else (0.0, self.prior[k]) for v in (0, 1)]
+            odds = [a * x + b for x, (a, b) in zip(z, calibration, strict=True)]
+            teaches = [thresholds(1 / (1 + np.exp(-np.clip(odds[v], -30, 30))), y, w, rows) if len(y) and calibration[v][0] > 0 else (-1.0, 2.0) for v in (0, 1)]
+            out[name] = Target((models[k, 0], models[k, 1]), tuple(calibration), tuple(teaches), fit_fusion(*odds, y, w, self.prior[k]))
+        return out
+
+
+def taught(rows: DataFrame, model: QualityModel) -> dict[str, tuple[np.ndarray | None, np.ndarray | None]]:
+    """Prior weights of either view for each target, from all documents that the other view labels confidently."""
     names = list(model.targets)
     if all(t.teaches[v] == (-1.0, 2.0) for t in model.targets.values() for v in (0, 1)):
         return {n: (None, None) for n in names}
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words_at = WordBuckets()
         held = {(k, v): np.zeros((2, BUCKETS[v]), np.int32) for k in range(len(names)) for v in (0, 1)}
         totals = {at: [0, 0] for at in held}
         for batch in batches:
-            for one, two, raw in model.raws(batch["text"].tolist(), list(zip(batch["lang"], batch["source"], batch["chars"], strict=True)), words_at):
-                for k, t in enumerate(model.targets.values()):
-                    for v in (0, 1):  # the view that teaches
-                        p = 1 / (1 + np.exp(-min(30.0, max(-30.0, t.odds(v, raw[k][v])))))
-                        low, high = t.teaches[v]
-                        if p <= low or p >= high:
-                            label = int(p >= high)
-                            held[k, 1 - v][label, (two, one)[v]] += 1
-                            totals[k, 1 - v][label] += 1
+            views = [unpacked(batch[c].tolist()) for c in ("one", "two")]
+            for k, t in enumerate(model.targets.values()):
+                for v in (0, 1):  # the view that teaches
+                    p = 1 / (1 + np.exp(-np.clip(t.odds(v, t.views[v].raws(*views[v], len(batch))), -30, 30)))
+                    low, high = t.teaches[v]
+                    codes, owner = views[1 - v]
+                    for label, sure in ((0, (p <= low) & (p < high)), (1, p >= high)):
+                        np.add.at(held[k, 1 - v][label], codes[sure[owner]], 1)
+                        totals[k, 1 - v][label] += int(sure.sum())
             relieve()
         for (k, v), x in held.items():
             at = np.flatnonzero(x[0] + x[1])
             yield pd.DataFrame({"target": k, "view": v, "bucket": np.append(at, -1), "bad": np.append(x[0][at], totals[k, v][0]), "good": np.append(x[1][at], totals[k, v][1])})
 
-    asked = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), *[F.col(c).alias(n) for c, n in zip(meta, ("lang", "source", "chars"), strict=True)])
-    asked = asked.where(F.pmod(F.xxhash64("key", F.xxhash64("text"), F.lit(11)), F.lit(parts)) == part)
-    counts = asked.select("text", "lang", "source", "chars").mapInPandas(count, "target int, view int, bucket long, bad long, good long")
+    counts = rows.select("one", "two").mapInPandas(count, "target int, view int, bucket long, bad long, good long")
     counts = reliable(counts.groupBy("target", "view", "bucket").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")))
     whole = {(r.target, r.view): (float(r.bad), float(r.good)) for r in counts.where("bucket < 0").collect()}
     # Only features that depend on the pseudo-label come to the driver.
@@ -384,19 +522,19 @@ def taught(docs: DataFrame, model: QualityModel, part: int, parts: int, key: str
     return out
 
 
-def fit(
-    docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", meta: tuple[str, str, str] = ("lang", "source", "n_chars"), most: int = LABELLED_ROWS, rounds: int = ROUNDS, told=None
-) -> QualityModel:
-    """Co-train both views over some rounds. ``told`` gets the prior weights of every exchange (for tests)."""
-    ship(docs.sparkSession)
-    rows = labelled_rows(docs, labels, key, text, meta, most)
-    sets = {t: Labelled.of(*([np.frombuffer(x, "<i4").astype(np.int64) for x in rows[v]] for v in ("one", "two")), (rows[f"_{t}"] > 0).to_numpy().astype(float), rows["_weight"].to_numpy(float)) for t in TARGETS}
-    model = QualityModel({t: s.fit() for t, s in sets.items()})
-    for r in range(rounds - 1):
-        priors = taught(docs, model, r, rounds - 1, key, text, meta)
+def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", meta: tuple[str, str, str] = ("lang", "source", "n_chars"), most: int | None = None, rounds: int = ROUNDS, told=None) -> QualityModel:
+    """Co-train both views over some rounds, on all labelled rows or at most ``most``. ``told`` gets the prior weights of every exchange (for tests)."""
+    return fit_features(features(docs, key=key, text=text, meta=meta), labels, key=key, most=most, rounds=rounds, told=told)
+
+
+def fit_features(rows: DataFrame, labels: DataFrame, *, key: str = "doc_id", most: int | None = None, rounds: int = ROUNDS, told=None) -> QualityModel:
+    known = Labelled(labelled(rows, labels, key, most))
+    model = QualityModel(known.fit({t: (None, None) for t in TARGETS}))
+    for _ in range(rounds - 1):
+        priors = taught(rows, model)
         if told is not None:
             told.append(priors)
-        model = QualityModel({t: s.fit(priors[t]) for t, s in sets.items()})
+        model = QualityModel(known.fit(priors))
     return model
 
 
@@ -427,7 +565,18 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return classify(docs, model).where("kept").select("row.*")
 
 
+def classify_features(rows: DataFrame, model: QualityModel) -> DataFrame:
+    """Key with quality, toxic and kept of documents' features, as ``classify`` has them."""
+
+    @F.pandas_udf("struct<quality:double,toxic:double>")
+    def scored(one: pd.Series, two: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame(model.score_features(one.tolist(), two.tolist()), columns=list(TARGETS))
+
+    out = rows.select("key", scored("one", "two").alias("s")).select("key", "s.quality", "s.toxic")
+    return out.withColumn("kept", (F.col("quality") >= 0.5) & (F.col("toxic") < 0.5))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    scored = classify(docs, fit(docs, table(spark, sf_dir, "labels")))
-    return scored.select("row.doc_id", F.round("quality", 6).alias("quality"), F.round("toxic", 6).alias("toxic"), "kept")
+    rows = features(table(spark, sf_dir, "documents"))
+    scored = classify_features(rows, fit_features(rows, table(spark, sf_dir, "labels")))
+    return scored.select(F.col("key").alias("doc_id"), F.round("quality", 6).alias("quality"), F.round("toxic", 6).alias("toxic"), "kept")
