@@ -6,8 +6,7 @@ suffix says, and the languages of a host, smoothed hierarchically (host towards
 own domain, or has no dots, is smoothed towards the corpus at once). A class ``und`` with a flat model takes texts that no trained language explains.
 
 Declarations are normalised to their primary tag ("EN", "en-US" and " en " are ``en``; what isn't two or three letters says nothing). Every language declared on
-a text with letters is a class. The text models are fitted on at most ``TRAIN_ROWS`` rows (or ``LANGUAGE_ROWS`` of each language); every other count covers
-all rows.
+a text with letters is a class. The query and the pipeline stage fit the text models on all such texts (``fit_all``), and every other count covers all rows too.
 
 Defined results: a text without letters (null, empty, digits) is ``und`` and not accepted, whatever is declared; missing
 evidence (null host, suffix or declaration) is neutral; ties go to the first language in alphabetical order; repeated rows each get
@@ -27,8 +26,10 @@ from pyspark.sql import functions as F
 from .common import reliable, relieve, ship, table
 
 UNKNOWN = "und"
-#: Most rows that the text models are fitted on, shared equally by the languages; rows of each language that are taken however many languages there are.
+#: Most rows that ``fit`` takes, shared equally by the languages; rows of each language that are taken however many languages there are.
 TRAIN_ROWS, LANGUAGE_ROWS = 4_000, 50
+#: Languages that a task holds counts of at once (256 KB each).
+LANGUAGES_HELD = 64
 #: What a text needs to have trigrams.
 LETTER = r"[A-Za-z\x{80}-\x{10FFFF}]"
 #: Size of the hashed trigram space, smoothing of its counts.
@@ -88,16 +89,44 @@ class TextModel:
         return n, out
 
 
+def model_of(names: tuple[str, ...], counts: np.ndarray) -> TextModel:
+    """The model of counts: a row for each language, a column for each bucket."""
+    counts = counts + TRIGRAM_PSEUDO
+    logp = np.log(counts / counts.sum(axis=1, keepdims=True))
+    size = 1 << BUCKET_BITS
+    return TextModel(names, np.vstack([logp, np.full((1, size), -np.log(size))]).astype(np.float32))
+
+
 def fit_texts(texts: list[str], languages: list[str]) -> TextModel:
     names = tuple(sorted(set(languages)))
     size = 1 << BUCKET_BITS
     at = {x: i for i, x in enumerate(names)}
-    counts = np.full((len(names), size), TRIGRAM_PSEUDO)
+    counts = np.zeros((len(names), size))
     label = np.array([at[x] for x in languages], np.int64)
     for bucket, owner in trigram_slices(texts):
         counts += np.bincount(label[owner] * size + bucket, minlength=counts.size).reshape(counts.shape)
-    logp = np.log(counts / counts.sum(axis=1, keepdims=True))
-    return TextModel(names, np.vstack([logp, np.full((1, size), -np.log(size))]).astype(np.float32))
+    return model_of(names, counts)
+
+
+def trigram_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows (said, bucket, n) of a task's texts (said, text), combined for as many languages as are held at once."""
+    held: dict[str, np.ndarray] = {}
+
+    def told() -> Iterator[pd.DataFrame]:
+        for name, x in held.items():
+            at = np.flatnonzero(x)
+            yield pd.DataFrame({"said": name, "bucket": at.astype(np.int32), "n": x[at]})
+        held.clear()
+
+    for batch in batches:
+        for name, rows in batch.groupby("said"):
+            x = held.setdefault(name, np.zeros(1 << BUCKET_BITS, np.int64))
+            for bucket, _ in trigram_slices(rows["text"].tolist()):
+                x += np.bincount(bucket, minlength=len(x))
+            if len(held) >= LANGUAGES_HELD:
+                yield from told()
+        relieve()
+    yield from told()
 
 
 def primary_tag(declared: Column) -> Column:
@@ -106,14 +135,33 @@ def primary_tag(declared: Column) -> Column:
     return F.nullif(tag, F.lit(""))
 
 
+def declared_texts(docs: DataFrame, key: str, text: str, declared: str) -> DataFrame:
+    """(said, text, hash) of texts with letters and a declared language."""
+    known = docs.select(primary_tag(F.col(declared)).alias("said"), F.col(text).alias("text"), F.xxhash64(F.col(key), F.xxhash64(text)).alias("hash"))
+    return known.where(F.col("said").isNotNull() & F.col("text").rlike(LETTER))
+
+
+def fit_all(docs: DataFrame, *, key: str = "doc_id", text: str = "text", declared: str = "lang") -> TextModel:
+    """Fit the text models of all declared languages on all rows.
+
+    Trigrams are counted in tasks and summed by Spark; a number for each language and bucket comes to the driver.
+    """
+    ship(docs.sparkSession)
+    known = declared_texts(docs, key, text, declared).select("said", "text")
+    counts = known.mapInPandas(trigram_counts, "said string, bucket int, n long").groupBy("said", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    names = tuple(sorted(counts["said"].unique()))
+    held = np.zeros((len(names), 1 << BUCKET_BITS))
+    held[counts["said"].map({x: i for i, x in enumerate(names)}).to_numpy(np.int64), counts["bucket"].to_numpy(np.int64)] = counts["n"]
+    return model_of(names, held)
+
+
 def fit(docs: DataFrame, *, key: str = "doc_id", text: str = "text", declared: str = "lang", rows: int = TRAIN_ROWS) -> TextModel:
-    """Fit the text models of all declared languages on at most ``rows`` rows, or ``LANGUAGE_ROWS`` of each language where that is more.
+    """Fit on at most ``rows`` rows, or ``LANGUAGE_ROWS`` of each language where that is more, for a caller who wants a quick model.
 
     The languages are counted over all rows; of each, rows whose key has a small hash are taken: so small that hardly more than wanted are
     left to be put in order.
     """
-    known = docs.select(primary_tag(F.col(declared)).alias("said"), F.col(text).alias("text"), F.xxhash64(F.col(key), F.xxhash64(text)).alias("hash"))
-    known = known.where(F.col("said").isNotNull() & F.col("text").rlike(LETTER))
+    known = declared_texts(docs, key, text, declared)
     place = F.col("hash") / F.lit(float(1 << 64)) + F.lit(0.5)  # hashes as numbers from 0 to 1
     counts = known.groupBy("said").agg(F.count("*").alias("n"), F.min(place).alias("first")).collect()
     most = max(LANGUAGE_ROWS, rows // max(1, len(counts)))
@@ -241,7 +289,7 @@ def texts_of_pages(pages: DataFrame) -> DataFrame:
 
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents whose language is accepted."""
-    model = fit(docs)
+    model = fit_all(docs)
     return identify(docs, model, declared="lang", host="source").where("accepted").select("row.*")
 
 
@@ -252,5 +300,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     docs = table(spark, sf_dir, "documents").select("doc_id", F.lit(None).cast("long").alias("page_id"), "text", "lang", "source", F.lit(None).cast("string").alias("url"))
     pages = texts_of_pages(table(spark, sf_dir, "pages")).select(F.lit(None).cast("long").alias("doc_id"), "page_id", "text", "lang", F.lit(None).cast("string").alias("source"), "url")
-    found = identify(docs.unionByName(pages), fit(docs), declared="lang", host="source", url="url", carry=["doc_id", "page_id"])
+    found = identify(docs.unionByName(pages), fit_all(docs), declared="lang", host="source", url="url", carry=["doc_id", "page_id"])
     return found.select("row.doc_id", "row.page_id", F.col("lang").alias("language"), F.round("posterior", 6).alias("posterior"), "text_lang", "n_trigrams", "accepted")
