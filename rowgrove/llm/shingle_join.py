@@ -10,7 +10,7 @@ more each has at most a fifth of its shingles outside the other. That is used tw
    share one of the first n - ceil(0.8 n) + 1 of each in any common order.
 
 Sets that meet are first compared with the smallest node of the place, then those that still aren't in one component with each other: a group of many
-copies costs its members, not its pairs. Sizes, places in the order and parity sketches drop pairs that can't reach 0.8; what is left is confirmed
+copies costs its members, not its pairs. A pair that meets in many places is made at the first one of them. Sizes, places in the order and parity sketches drop pairs that can't reach 0.8; what is left is confirmed
 on the whole sets. Counting is combined before shuffles, and hot shingles are met in joins that adaptive execution splits.
 
 Defined results: texts without words have no shingles and no links here.
@@ -35,6 +35,8 @@ OVER, UNDER = 4, 5
 TASK_ROWS = 250_000
 PAIRS_AT_ONCE = 1 << 16
 SKETCH_BITS = 1024
+#: First places of a set that go with each of its places, so that a pair is made at the first place it shares among them.
+HEAD = 32
 
 
 def shingles(words: list[bytes]) -> np.ndarray:
@@ -106,6 +108,11 @@ def other_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         return
     every = pd.concat(held, ignore_index=True).sort_values(["shingle", "n", "node"], kind="stable")
     shingle, n, node, at, part = (every[c].to_numpy(np.int64) for c in ("shingle", "n", "node", "at", "component"))
+    known = np.array([len(x) for x in every["head"]], np.int64)
+    head = np.zeros((len(every), HEAD), np.int64)
+    head[np.arange(HEAD) < known[:, None]] = np.concatenate(every["head"].to_list())
+    # Places of a set stand in one order for all, so those before this one are the beginning of its head.
+    before = np.minimum(known, every["i"].to_numpy(np.int64))
     sketch = np.frombuffer(b"".join(every["sketch"]), np.uint64).reshape(len(every), -1)
     del held, every
     cuts = np.concatenate(([0], np.flatnonzero(shingle[1:] != shingle[:-1]) + 1, [len(shingle)]))
@@ -121,6 +128,9 @@ def other_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             j = j[(OVER + UNDER) * most >= OVER * (n[i] + n[j])]
             apart = np.bitwise_count(sketch[i] ^ sketch[j]).sum(axis=1, dtype=np.int64)
             j = j[(OVER + UNDER) * apart <= (n[i] + n[j]) * (UNDER - OVER)]
+            if len(j) and before[i]:
+                met = np.isin(head[j], head[i, : before[i]]) & (np.arange(HEAD) < before[j][:, None])
+                j = j[~met.any(axis=1)]
             if len(j):
                 out.append(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])], axis=1))
                 size += len(j)
@@ -164,7 +174,8 @@ def links(rows: DataFrame, texts: DataFrame, known: DataFrame, components: Calla
     alone, allowed = F.col("n") - F.size("common"), F.floor(F.col("n") * (UNDER - OVER) / UNDER).cast("int")
     first = F.slice("common", F.lit(1), F.greatest(allowed + 1 - alone, F.lit(1)))
     kept = ranked.where(alone <= allowed).select("node", "n", alone.alias("alone"), first.alias("first"))
-    places = reliable(kept.select("node", "n", "alone", F.posexplode("first").alias("i", "x")).select("node", "n", (F.col("alone") + F.col("i")).alias("at"), "x.shingle"))
+    kept = reliable(kept)
+    places = reliable(kept.select("node", "n", "alone", F.posexplode("first").alias("i", "x")).select("node", "n", "i", (F.col("alone") + F.col("i")).alias("at"), "x.shingle"))
     leader = places.groupBy("shingle").agg(F.min(F.struct("node", "n", "at")).alias("lead"), F.count("*").alias("here")).where("here > 1")
     met = places.join(leader, "shingle").where((F.col("node") != F.col("lead.node")) & _fits(F.col("n"), F.col("at"), F.col("lead.n"), F.col("lead.at")))
     pairs = reliable(met.select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b")).distinct())
@@ -172,7 +183,8 @@ def links(rows: DataFrame, texts: DataFrame, known: DataFrame, components: Calla
     here = places.join(broadcast_small(state), "node", "left").withColumn("component", F.coalesce("component", "node"))
     several = here.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("shingle")
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), places.count() // TASK_ROWS)
-    sketched = here.join(several, "shingle").join(broadcast_small(sets.select("node", "sketch")), "node")
+    heads = kept.select("node", F.transform(F.slice("first", 1, HEAD), lambda x: x["shingle"]).alias("head"))
+    sketched = here.join(several, "shingle").join(sets.select("node", "sketch").join(heads, "node"), "node")
     more = sketched.repartition(tasks, "shingle").mapInPandas(other_pairs, "a long, b long").distinct()
     more = reliable(more.join(pairs, ["a", "b"], "left_anti"))
     return state.select(F.col("node").alias("a"), F.col("component").alias("b")).union(confirmed(more, sets))

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from rowgrove.llm import shingle_join as sj
@@ -118,3 +119,26 @@ def test_the_first_shingles_of_similar_sets_hold_enough_of_each_other():
                 lacking, others = n - both, m - both
                 lost = max(lacking, sj.first_size(n) - sj.first_size(m) + others) if sj.first_size(m) < m else lacking
                 assert lost <= n // 5, (n, m)
+
+
+def test_a_pair_is_made_at_one_place():
+    """Sets that share many places are compared once, and none of their pairs is lost."""
+    r = np.random.default_rng(11)
+    base = np.unique(r.integers(1, 2**62, 200))
+    sets = [np.unique(np.where(r.random(len(base)) < 0.05, r.integers(1, 2**62, len(base)), base)) for _ in range(60)]
+    count = {}
+    for x in sets:
+        for v in x.tolist():
+            count[v] = count.get(v, 0) + 1
+    rows = []
+    for k, x in enumerate(sets):
+        order = sorted((count[v], v) for v in x.tolist() if count[v] > 1)
+        alone = len(x) - len(order)
+        first = [v for _, v in order[: max(1, len(x) // 5 + 1 - alone)]]
+        rows += [(k, v, len(x), i, alone + i, k, sj.parity_sketch(x.astype(np.uint64)), first[: sj.HEAD]) for i, v in enumerate(first)]
+    frame = pd.DataFrame(rows, columns=["node", "shingle", "n", "i", "at", "component", "sketch", "head"])
+    by_place = [x for _, x in frame.groupby("shingle")]  # each place in a task of its own, as if there were very many
+    made = [tuple(p) for x in by_place for y in sj.other_pairs(iter([x])) for p in y.to_numpy().tolist()]
+    similar = {(a, b) for b in range(60) for a in range(b) if 5 * len(np.intersect1d(sets[a], sets[b])) >= 4 * len(np.union1d(sets[a], sets[b]))}
+    assert similar and similar <= set(made)
+    assert len(made) < 1.1 * len(set(made))
