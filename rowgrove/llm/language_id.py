@@ -182,7 +182,8 @@ def text_evidence(text: Column, model: TextModel) -> Column:
             yield pd.DataFrame({"n": n, "logs": list(logs / (1.0 + n / SATURATION)[:, None])})
             relieve()
 
-    return scored(text)
+    # Else a filter on a score is moved below and scores texts once more, by a second worker of each task.
+    return scored.asNondeterministic()(text)
 
 
 def suffix_of(url: Column) -> Column:

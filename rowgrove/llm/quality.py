@@ -200,9 +200,11 @@ def descend(columns: np.ndarray, owner: np.ndarray, y: np.ndarray, weight: np.nd
     if len(set(y.tolist())) < 2:
         return bias, np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
     kept = admitted[columns] | (start[columns] != 0)
-    columns, owner = columns[kept], owner[kept]
+    columns, owner = columns[kept], owner[kept].astype(np.int64)
     # Only the columns that occur are moved, so work goes by them and not by all buckets.
-    at, place, seen = np.unique(columns, return_inverse=True, return_counts=True)
+    seen = np.bincount(columns, minlength=len(start))
+    at = np.flatnonzero(seen)
+    seen, place = seen[at], (np.cumsum(seen > 0) - 1)[columns]
     w_at, move_at, start_at = start[at], np.zeros(len(at)), start[at]
     scale_at = admitted[at] / np.sqrt(np.maximum(1.0, seen) / n + 0.01)
     for _ in range(STEPS):
@@ -357,6 +359,29 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, key: str, text: str, meta:
     return labelled(features(docs, key=key, text=text, meta=meta), labels, key, most).toPandas().sort_values(["key", "hash"], kind="stable", ignore_index=True)
 
 
+class Part:
+    """Rows of one part as they come: weights, targets and the useful codes of either view."""
+
+    def __init__(self):
+        self.rows, self.numbers, self.views = 0, [], ([], [])
+
+    def add(self, rows: pd.DataFrame, useful: list[np.ndarray]) -> None:
+        self.numbers.append(rows[["_weight", *[f"_{t}" for t in TARGETS]]].to_numpy(float).T)
+        for v, name in enumerate(("one", "two")):
+            codes, owner = unpacked(rows[name].tolist())
+            kept = useful[v][codes]
+            self.views[v].append(np.stack([codes[kept], owner[kept] + self.rows]).astype(np.int32))
+        self.rows += len(rows)
+
+    def joined(self) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]], int]:
+        """Weight and targets by row, (codes, row) of either view, rows; what was held goes."""
+        views = []
+        for held in self.views:
+            views.append(tuple(np.concatenate(held, axis=1)))
+            held.clear()
+        return np.concatenate(self.numbers, axis=1), views, self.rows
+
+
 class Labelled:
     """Labelled rows of both views, once for each group of near copies; about every third group is held out. They stay in the tasks."""
 
@@ -427,14 +452,23 @@ class Labelled:
         sparse = {a: (np.flatnonzero(start[a]), start[a][np.flatnonzero(start[a])], np.flatnonzero(allowed[a])) for a in at}
 
         def fit_parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            held = [x for x in batches if len(x)]
-            for _, rows in pd.concat(held, ignore_index=True).groupby("part") if held else ():
-                weight, views = rows["_weight"].to_numpy(float), [unpacked(rows[c].tolist()) for c in ("one", "two")]
+            # Of each batch only codes stay that a regression has a use for, so what a part costs goes by those and not by its texts.
+            useful = [np.zeros(n, bool) for n in BUCKETS]
+            for (_, v), (places, _, admitted) in sparse.items():
+                useful[v][places] = useful[v][admitted] = True
+            held: dict[int, Part] = {}
+            for batch in batches:
+                for part, rows in batch.groupby("part"):
+                    held.setdefault(part, Part()).add(rows, useful)
+            while held:
+                _, mine = held.popitem()
+                (weight, *y), views, n = mine.joined()
+                del mine
                 for (k, v), (places, values, admitted) in sparse.items():
                     may, from_ = np.zeros(BUCKETS[v], bool), np.zeros(BUCKETS[v])
                     may[admitted], from_[places] = True, values
-                    bias, features_, moved, seen = descend(*views[v], rows[f"_{TARGETS[k]}"].to_numpy(float), weight, may, from_)
-                    yield pd.DataFrame({"target": k, "view": v, "bucket": np.append(features_, -1), "moved": np.append(moved * seen, bias * len(rows)), "seen": np.append(seen, len(rows))})
+                    bias, features_, moved, seen = descend(*views[v], y[k], weight, may, from_)
+                    yield pd.DataFrame({"target": k, "view": v, "bucket": np.append(features_, -1), "moved": np.append(moved * seen, bias * n), "seen": np.append(seen, n)})
                 relieve()
 
         moves = self.parts.mapInPandas(fit_parts, "target int, view int, bucket long, moved double, seen long").groupBy("target", "view", "bucket").agg((F.sum("moved") / F.sum("seen")).alias("moved")).where("moved <> 0").toPandas()

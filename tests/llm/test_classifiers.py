@@ -1,4 +1,7 @@
+import tracemalloc
+
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -314,3 +317,44 @@ def test_text_models_count_all_rows(spark, monkeypatch):
     got, want = lang.fit_all(df), lang.fit_texts([r[1] for r in rows], [r[2] for r in rows])
     assert got.languages == want.languages and np.array_equal(got.logp, want.logp)
     assert lang.fit_all(df.where("false")).languages == ()
+
+
+def test_language_stage_scores_texts_once_in_a_task(spark, docs_of, monkeypatch):
+    """A second evaluation takes a second Python worker of each task, which stays in the executor's memory."""
+    docs = docs_of(["the cat sat on the mat and the dog too", "el gato y el perro de la casa", None, "12"])
+    plans = []
+    monkeypatch.setattr(lang, "reliable", lambda df, keep=lang.reliable: (plans.append(df._jdf.queryExecution().executedPlan().toString()), keep(df))[1])
+    found = lang.identify(docs, lang.fit_all(docs), declared="lang", host="source").where("accepted")
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) > 1 and [p.count("ArrowEvalPython") for p in plans] == [1] * len(plans)
+    assert found.count() >= 1
+
+
+def test_a_part_is_fitted_in_memory_of_its_useful_codes():
+    """Words that no regression may use take no memory beyond their batch, and those in use get the weights of a fit on whole rows."""
+    rng = np.random.default_rng(0)
+    n, y = 4000, rng.integers(0, 2, 4000)
+    one = [np.unique(np.concatenate((rng.integers(1000, q.BUCKETS[0], 500), np.flatnonzero(rng.random(10) < 0.2 + 0.6 * v)))) for v in y]
+    rows = pd.DataFrame({"part": 0, "_quality": y, "_toxic": 0, "_weight": 1.0, "one": list(map(q.packed, one)), "two": [q.packed(np.array([3 + v])) for v in y]})
+    known, fitters = q.Labelled.__new__(q.Labelled), []
+
+    class Parts:
+        def mapInPandas(self, fitter, schema):
+            fitters.append(fitter)
+            raise InterruptedError
+
+    some = [np.arange(b) < 10 for b in q.BUCKETS]
+    known.parts, known.enough, known.telling = Parts(), some, [[x, x] for x in some]
+    with pytest.raises(InterruptedError):
+        known.fit({t: (None, None) for t in q.TARGETS})
+    batches = [rows.iloc[a : a + 500].reset_index(drop=True) for a in range(0, n, 500)]
+    tracemalloc.start()
+    got = list(fitters[0](iter(batches)))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 40e6  # whole rows take 90 MB
+    owner = np.repeat(np.arange(n), [len(x) for x in one])
+    bias, at, moved, seen = q.descend(np.concatenate(one), owner, y.astype(float), np.ones(n), some[0], np.zeros(q.BUCKETS[0]))
+    mine = next(x for x in got if (x["target"] == 0).all() and (x["view"] == 0).all())
+    assert mine["bucket"].tolist() == [*at, -1] and mine["seen"].tolist() == [*seen, n]
+    assert mine["moved"].to_numpy() == pytest.approx(np.append(moved * seen, bias * n))
