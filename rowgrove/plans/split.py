@@ -86,10 +86,11 @@ def assemble_files(spark: SparkSession, sources: DataFrame, target: str, columns
     ends of chunks (``plan_parts``); each is read by ranges and put by a task of its own. The driver holds the file's own footer and nothing else.
     Missing or repeated columns and unequal row counts in a group are errors before anything is uploaded.
     """
-    found = footer.footers(spark, "", "column_chunks", files=sources.select("path").distinct())
+    found = footer.footers(spark, "", "chunk_entries", files=sources.select("path").distinct())
+    facts = ["start", "length", "num_values", "num_rows", "entry"]
     place = F.array_position(F.array(*map(F.lit, columns)), F.col("column"))
-    met = sources.join(found.select("path", "row_group", "column", "length", "num_values"), ["path", "row_group", "column"], "left").withColumn("col", place)
-    listed = reliable(met.select("position", "col", "column", "path", "row_group", "length", "num_values"))
+    met = sources.join(found.where(F.col("column").isin(*columns)), ["path", "row_group", "column"], "left").withColumn("col", place)
+    listed = reliable(met.select("position", "col", "column", "path", "row_group", *facts))
     _check_groups(listed, columns)
     before = Window.orderBy("position", "col").rowsBetween(Window.unboundedPreceding, -1)  # over one file's chunks
     laid = listed.withColumn("at", (F.coalesce(F.sum("length").over(before), F.lit(0)) + MAGIC_BYTES).cast("long"))
@@ -106,9 +107,9 @@ def assemble_files(spark: SparkSession, sources: DataFrame, target: str, columns
 
         def put(group: pd.DataFrame) -> pd.DataFrame:
             group = group.sort_values("at")
-            picked = [chunks.file_chunk(p, int(g), c) for p, g, c in group[["path", "row_group", "column"]].itertuples(index=False)]
+            picked = [chunks.Chunk(r.column, int(r.num_rows), r.entry, stores.Range(r.path, int(r.start), int(r.length))) for r in group.itertuples(index=False)]
             number = int(group["part"].iloc[0])
-            data = b"".join([chunks.MAGIC if number == 1 else b"", *(c.read() for c in picked)])
+            data = b"".join([chunks.MAGIC if number == 1 else b"", *chunks.read_each(picked)])
             stores.Upload(target, upload=name).put_part(number, data)
             entries = [thrift.dump(c.moved(int(at))) for c, at in zip(picked, group["at"], strict=True)]
             return pd.DataFrame({"position": group["position"], "col": group["col"], "rows": [c.rows for c in picked], "entry": entries})
@@ -117,13 +118,17 @@ def assemble_files(spark: SparkSession, sources: DataFrame, target: str, columns
         ship(spark)
         done = dealt.groupBy("part").applyInPandas(put, "position long, col long, rows long, entry binary").collect()
         done.sort(key=lambda r: (r["position"], r["col"]))
-        base = chunks.file_footer(first)[0]
-        more = [e for p in {r["path"] for r in sources.select("path").distinct().collect()} for e in chunks.file_footer(p)[0][chunks.SCHEMA][1][1][1:]]
-        groups = []
+        base = chunks.file_head(first)
+        more = []
+        if set(columns) - {e[4][1].decode() for e in base[chunks.SCHEMA][1][1][1:]}:
+            others = footer.footers(spark, "", "schemas", files=sources.select("path").distinct()).select("schema").distinct().collect()
+            more = [e for r in others for e in thrift.parse(bytes(r["schema"]))[0][chunks.SCHEMA][1][1][1:]]
+        groups, count = [], 0
         for _, members in groupby(done, key=lambda r: r["position"]):
             members = list(members)
-            groups.append(chunks.group_of_entries([thrift.parse(bytes(r["entry"]))[0] for r in members], members[0]["rows"], len(groups)))
-        tail = chunks.footer_bytes(base, groups, schema=chunks.schema_of(base, columns, more), pairs=pairs)
+            groups.append(thrift.dump(chunks.group_of_entries([thrift.parse(bytes(r["entry"]))[0] for r in members], members[0]["rows"], len(groups))))
+            count += members[0]["rows"]
+        tail = chunks.footer_bytes(base, groups, schema=chunks.schema_of(base, columns, more), pairs=pairs, rows=count)
         upload.put_part(last + 1, tail)
         return upload.known(range(1, last + 1)).finish()
 

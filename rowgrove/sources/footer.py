@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 import struct
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,14 +27,20 @@ from .thrift import read_struct
 MAGIC = b"PAR1"
 #: Bytes read from a file's end at first; a longer footer takes a second read.
 TAIL_BYTES = 64 * 1024
-#: Most tasks that open files.
-TASKS = 10_000
+#: Most tasks that open files; files (or row groups) of one task, and bytes that it reads, where there are more than a few tasks for each core.
+TASKS, TASK_FILES, TASK_BYTES = 10_000, 256, 128 << 20
+#: Rows of a relation that a task hands on at a time.
+BATCH_ROWS = 2_000
 
 RELATIONS = {
     "files": "path string, length long, footer_offset long, footer_length long, version long, created_by string, num_rows long, num_row_groups long, num_columns long",
     "row_groups": "path string, row_group long, start_row long, num_rows long, total_bytes long, compressed_bytes long",
     "column_chunks": "path string, row_group long, col long, column string, physical string, logical string, codec string, num_values long, encodings array<string>, has_dictionary boolean, dictionary_offset long, data_offset long, start long, length long",
     "kv": "path string, pos long, key string, value string",
+    # Footers in thrift's bytes, for files written anew: ``head`` is the footer without row groups, ``entry`` that of a row group or chunk.
+    "group_entries": "path string, row_group long, start long, length long, num_rows long, data_end long, head binary, entry binary",
+    "chunk_entries": "path string, row_group long, column string, start long, length long, num_values long, num_rows long, entry binary",
+    "schemas": "path string, schema binary",
 }
 
 
@@ -73,6 +80,11 @@ def rows_of(path: str, length: int, read: Callable[[int, int], bytes], relation:
             value = pair.get(2)
             yield path, i, pair[1].decode("utf-8", "replace"), None if value is None else value.decode("utf-8", "replace")
         return
+    if relation in ("group_entries", "chunk_entries", "schemas"):
+        from .chunks import entries_of
+
+        yield from entries_of(path, raw, offset, relation)
+        return
     whole = MAGIC + raw + struct.pack("<I", len(raw)) + MAGIC
     meta = pq.read_metadata(pa.BufferReader(whole))
     if relation == "files":
@@ -111,9 +123,16 @@ def list_files(spark: SparkSession, path: str) -> DataFrame:
     return files.where(_data_file(F.col("path")))
 
 
-def _dealt(files: DataFrame) -> DataFrame:
-    """A relation of files or ranges dealt out to tasks, each to one of them where there are not too many."""
-    return files.repartition(max(1, min(files.count(), TASKS)))
+def tasks_for(spark: SparkSession, count: int, size: int = 0) -> int:
+    """Tasks for ``count`` files or ranges of ``size`` bytes: one each while there are few for the session's cores, else up to ``TASK_FILES`` and ``TASK_BYTES`` in one."""
+    wanted = max(4 * spark.sparkContext.defaultParallelism, -(-count // TASK_FILES), -(-size // TASK_BYTES))
+    return max(1, min(count, wanted, TASKS))
+
+
+def dealt(files: DataFrame, size: str | None = None) -> DataFrame:
+    """A relation of files or ranges (of ``size`` bytes, a column) dealt out to tasks."""
+    count, held = files.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0)) if size else F.lit(0)).first()
+    return files.repartition(tasks_for(files.sparkSession, count, held))
 
 
 def footers(spark: SparkSession, path: str, relation: str = "files", *, files: DataFrame | None = None) -> DataFrame:
@@ -124,26 +143,29 @@ def footers(spark: SparkSession, path: str, relation: str = "files", *, files: D
     schema = RELATIONS[relation]
     names = [c.split(" ")[0] for c in schema.split(", ")]
 
-    def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
             for row in batch.to_pylist():
                 content = row.get("content")
                 if content is not None:
-                    found = list(rows_of(row["path"], len(content), lambda a, n, c=content: c[a : a + n], relation))
+                    yield from rows_of(row["path"], len(content), lambda a, n, c=content: c[a : a + n], relation)
                 else:
                     with opened(row["path"]) as f:
-                        found = list(rows_of(row["path"], f.size(), _read_at(f), relation))
-                if found:
-                    yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in found], schema=arrow)
+                        yield from rows_of(row["path"], f.size(), _read_at(f), relation)
+
+    def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = found(batches)
+        while some := list(islice(rows, BATCH_ROWS)):
+            yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in some], schema=arrow)
 
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
     arrow = to_arrow_schema(_parse_datatype_string(schema))
     if files is not None:
-        files = _dealt(files.select("path"))
+        files = dealt(files.select("path"))
     elif scheme(path) in KNOWN_SCHEMES:
-        files = _dealt(list_files(spark, path).withColumn("path", uri(F.col("path"))))
+        files = dealt(list_files(spark, path).withColumn("path", uri(F.col("path"))))
     else:
         files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where(_data_file(F.col("path"))).select("path", "length", "content")
     return files.mapInArrow(parsed, schema)
@@ -197,7 +219,7 @@ def bytes_of_ranges(ranges: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_pylist([row | {"bytes": read_range(row["path"], row["start"], row["n"])}], schema=arrow)
 
     ship(ranges.sparkSession)
-    return _dealt(ranges).mapInArrow(fetch, schema)
+    return dealt(ranges, "n").mapInArrow(fetch, schema)
 
 
 def byte_ranges(spark: SparkSession, path: str, ranges: list[tuple[int, int]]) -> DataFrame:
@@ -351,7 +373,7 @@ class _RowGroupReader(DataSourceReader):
 
 
 def read_row_groups(spark: SparkSession, groups: DataFrame, columns: list[str], like: str) -> DataFrame:
-    """Rows (file, rg, ord, columns) of row groups (path, row_group), each read by a task of its own; ``like`` is a file with the schema.
+    """Rows (file, rg, ord, columns) of row groups (path, row_group), dealt out to tasks; ``like`` is a file with the schema.
 
     ``groups`` is the footer relation or a part of it; no list of files or groups goes to the driver.
     """
@@ -368,7 +390,8 @@ def read_row_groups(spark: SparkSession, groups: DataFrame, columns: list[str],
                 yield from _group_batches(row["path"], [row["row_group"]], fields)
 
     ship(spark)
-    return _dealt(groups.select("path", "row_group")).mapInArrow(fetch, from_arrow_schema(_with_position(fields)))
+    sized = "compressed_bytes" if "compressed_bytes" in groups.columns else None
+    return dealt(groups, sized).select("path", "row_group").mapInArrow(fetch, from_arrow_schema(_with_position(fields)))
 
 
 def register(spark: SparkSession) -> None:
