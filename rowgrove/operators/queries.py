@@ -17,7 +17,7 @@ from ..functions.paths import scratch, table_path, uri
 from ..functions.schema import SchemaError, schema_relation
 from ..plans import assemble, dictionary, parts, processors, split
 from ..plans import ordinals as o
-from ..sources import chunks, footer, stores, writer
+from ..sources import chunks, footer, stores, thrift, writer
 
 ROWS_PER_GROUP = 4096
 CHUNKS = ["o_orderkey", "o_orderstatus", "o_orderpriority"]
@@ -275,18 +275,19 @@ def copy_and_fresh_chunks(spark, d):
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for path, group in batch[["path", "row_group"]].itertuples(index=False):
-                old = chunks.file_footer(path)[0]
-                copied = chunks.file_chunk(path, int(group), "c_custkey")
+            for r in batch.itertuples(index=False):
+                old = thrift.parse(r.head)[0]
+                copied = next(c for c in chunks.chunks_of(r.path, thrift.parse(r.entry)[0]) if c.column == "c_custkey")
                 keys = pq.ParquetFile(pa.BufferReader(chunks.assembled(old, [[copied]], schema=chunks.schema_of(old, ["c_custkey"])))).read()["c_custkey"]
                 table = pa.table({"last_digit": pc.subtract(keys, pc.multiply(pc.divide(keys, 10), 10))})
                 fresh = chunks.fresh_chunk(table)
                 built = chunks.GroupBuilder(["last_digit", "c_custkey"]).add(copied).add(fresh).build()
                 content = chunks.assembled(old, [built], schema=chunks.schema_of(old, ["last_digit", "c_custkey"], chunks.fresh_schema(table)))
-                yield pq.ParquetFile(pa.BufferReader(content)).read().to_pandas().assign(rg=group)
+                yield pq.ParquetFile(pa.BufferReader(content)).read().to_pandas().assign(rg=r.row_group)
 
     footer.ship(spark)
-    return footer.footers(spark, to, "row_groups").repartition("row_group").mapInPandas(build, "rg long, c_custkey long, last_digit long")
+    groups = footer.dealt(footer.footers(spark, to, "group_entries"), "length")
+    return groups.select("path", "row_group", "head", "entry").mapInPandas(build, "rg long, c_custkey long, last_digit long")
 
 
 def assemble_upload(spark, d):
