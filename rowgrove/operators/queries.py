@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.paths import scratch, table_path, uri
+from ..functions.paths import reliable, scratch, table_path, uri
 from ..functions.schema import SchemaError, schema_relation
 from ..plans import assemble, dictionary, parts, processors, split
 from ..plans import ordinals as o
@@ -481,20 +481,21 @@ def row_group_reader(spark, d):
 def raw_chunk_bytes(spark, d):
     """Raw bytes of every chunk, made a file of their own and read by another reader; the stream is opened twice."""
     to = _written(spark, d)
-    listed = footer.footers(spark, to, "column_chunks")
+    listed = footer.footers(spark, to, "chunk_entries")
+    heads = o.few(reliable(footer.footers(spark, to, "group_entries").where("row_group = 0").select("path", "head")))
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for r in batch.itertuples():
-                chunk = chunks.file_chunk(r.path, int(r.row_group), r.column)
+                chunk = chunks.Chunk(r.column, int(r.num_rows), r.entry, stores.Range(r.path, int(r.start), int(r.length)))
                 with chunk.source.open() as one, chunk.source.open() as two:
                     again = one.read() == two.read() == r.bytes
-                old = chunks.file_footer(r.path)[0]
+                old = thrift.parse(r.head)[0]
                 values = pq.ParquetFile(pa.BufferReader(chunks.assembled(old, [[chunk]], schema=chunks.schema_of(old, [r.column])))).read()[r.column].to_pylist()
                 text = [f"{v:.2f}" if isinstance(v, float) else str(v) for v in values]
                 yield pd.DataFrame({"row_group": [r.row_group], "column": [r.column], "num_values": [len(text)], "first_value": [text[0]], "last_value": [text[-1]], "largest": [max(text)], "again": [again]})
 
-    return processors.raw_chunks(listed).mapInPandas(read, "row_group long, `column` string, num_values long, first_value string, last_value string, largest string, again boolean")
+    return processors.raw_chunks(listed, ["num_rows", "entry"]).join(heads, "path").mapInPandas(read, "row_group long, `column` string, num_values long, first_value string, last_value string, largest string, again boolean")
 
 
 def byte_ranges(spark, d):

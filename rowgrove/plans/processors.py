@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -54,10 +54,10 @@ def process_chunks(df: DataFrame, columns: list[str], fn: Callable[[int, str, pd
     return df.select(*kept).groupBy(*_keys(df)).applyInPandas(chunks, schema)
 
 
-def raw_chunks(chunks: DataFrame) -> DataFrame:
-    """Compressed bytes of chunks: (path, row_group, column, start, length, bytes), by one ranged read each.
+def raw_chunks(chunks: DataFrame, more: Sequence[str] = ()) -> DataFrame:
+    """Compressed bytes of chunks: (path, row_group, column, start, length, bytes), by one ranged read each; ``more`` columns are kept.
 
     ``chunks`` is the footer relation or a part of it. To open one chunk's bytes again and again see ``sources.chunks.file_chunk``.
     """
-    asked = chunks.select("path", "row_group", "column", "start", F.col("length").alias("n"))
+    asked = chunks.select("path", "row_group", "column", "start", F.col("length").alias("n"), *more)
     return bytes_of_ranges(asked).withColumnRenamed("n", "length")
