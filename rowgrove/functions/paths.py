@@ -56,4 +56,5 @@ def table_path(sf_dir: str, name: str) -> str:
 
 def uri(path: Column) -> Column:
     """One spelling of local paths, which come with none, one or three slashes behind the scheme."""
-    return F.regexp_replace(F.regexp_replace(path, r"^file:/+", "/"), r"^/", "file:///")
+    right = path.startswith("file:///") & ~path.startswith("file:////")  # as scans give them, without a regular expression for each row
+    return F.when(right, path).otherwise(F.regexp_replace(F.regexp_replace(path, r"^file:/+", "/"), r"^/", "file:///"))

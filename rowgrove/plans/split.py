@@ -44,34 +44,38 @@ def split_by_row_group(df: DataFrame, path: str, *, codec: str = "zstd") -> None
 def split_files(spark: SparkSession, path: str, target: str) -> DataFrame:
     """Cut every file under ``path`` into one file for each row group, bytes copied as they are, footers written anew.
 
-    Returns (path, row_group, file, length). Groups are read and written by a task each; an existing target is refused, and if one fails all files
-    written go. Rows of the result are read from a written table, so that nothing is cut twice.
+    Returns (path, row_group, file, length). Each file's footer is parsed once; groups are dealt out to tasks and read and written one by one. An existing
+    target is refused, and if one fails all files written go. Rows of the result are read from a written table, so that nothing is cut twice.
     """
     if exists(spark, target):
         raise SplitError(f"{target} already exists")
-    groups = footer.footers(spark, path, "row_groups").select("path", "row_group")
-    files = footer.list_files(spark, path).select(uri(F.col("path")).alias("path"))
-    numbers = few(files.withColumn("no", F.row_number().over(Window.orderBy("path")) - 1))
+    files = footer.list_files(spark, path).select(uri(F.col("path")).alias("path"), "length")  # listed once for both
+    groups = footer.footers(spark, path, "group_entries", files=files if stores.scheme(path) in stores.KNOWN_SCHEMES else None)
+    count, size = files.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
+    numbers = few(files.select("path", (F.row_number().over(Window.orderBy("path")) - 1).alias("no")))
     schema = "path string, row_group long, file string, length long"
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        system, folder = stores.file_system(target)
         for batch in batches:
-            for source, group, no in batch[["path", "row_group", "no"]].itertuples(index=False):
-                old, data_end = chunks.file_footer(source)
-                content = chunks.split_group(source, old, int(group), data_end)
-                system, folder = stores.file_system(target)
+            made = []
+            for r in batch.itertuples(index=False):
+                content = chunks.cut_group(r.path, thrift.parse(r.head)[0], thrift.parse(r.entry)[0], int(r.row_group), int(r.data_end))
                 system.create_dir(folder, recursive=True)
-                name = f"part-{no:05d}-{group:05d}.parquet"
+                name = f"part-{r.no:05d}-{r.row_group:05d}.parquet"
                 with system.open_output_stream(written := f"{folder}/.{name}-{uuid.uuid4().hex}") as f:
                     f.write(content)
                 system.move(written, f"{folder}/{name}")
-                yield pd.DataFrame({"path": [source], "row_group": [group], "file": [f"{target}/{name}"], "length": [len(content)]})
+                made.append((r.path, r.row_group, f"{target}/{name}", len(content)))
+            yield pd.DataFrame(made, columns=["path", "row_group", "file", "length"])
 
     ship(spark)
-    met = groups.join(numbers, "path")
+    met = groups.join(numbers, "path").select("path", "row_group", "data_end", "head", "entry", "no")
+    # Groups aren't counted, which would parse all footers twice: files and their bytes tell how many tasks, a few for each core at least.
+    tasks = max(footer.tasks_for(spark, count, size), 4 * spark.sparkContext.defaultParallelism)
     report = f"{target}.report-{uuid.uuid4().hex}"
     try:
-        met.repartition(max(1, min(met.count(), footer.TASKS)), "path", "row_group").mapInPandas(cut, schema).write.parquet(report)
+        met.repartition(tasks).mapInPandas(cut, schema).write.parquet(report)
     except Exception:
         delete_folder(spark, target)
         delete_folder(spark, report)

@@ -9,6 +9,7 @@ import pytest
 
 from rowgrove.operators.oracles import ORACLES
 from rowgrove.operators.queries import QUERIES
+from rowgrove.plans import split
 from rowgrove.sources import chunks, footer, thrift
 
 from .oracle import connect, same
@@ -52,3 +53,14 @@ def test_entries_are_those_of_the_footer(spark, tmp_path):
     expected = [c for g in range(17) for c in chunks.group_chunks(path, old, g)]
     assert [(r.column, r.start, r.length, r.num_rows, bytes(r.entry)) for r in found] == [(c.column, c.source.start, c.source.length, c.rows, c.entry) for c in expected]
     assert b"".join(chunks.read_each(expected)) == b"".join(c.read() for c in expected)
+
+
+def test_many_files_share_tasks(spark, tmp_path):
+    """Each group had a task and a report file of its own, up to 10,000, and each task parsed its file's footer."""
+    for i in range(30):
+        (tmp_path / "in" / f"n={i}").mkdir(parents=True)
+        pq.write_table(pa.table({"a": range(i, i + 7)}), tmp_path / "in" / f"n={i}" / "f.parquet", row_group_size=3)
+    made = split.split_files(spark, str(tmp_path / "in"), str(tmp_path / "out"))
+    assert made.count() == 90 and sum(pq.read_table(r.file)["a"].to_pylist() == list(range(n := i + 3 * r.row_group, min(n + 3, i + 7))) for r in made.collect() for i in [int(r.path.split("n=")[1].split("/")[0])]) == 90
+    assert len(list(tmp_path.glob("out.report-*/*.parquet"))) <= 4 * spark.sparkContext.defaultParallelism
+    assert footer.tasks_for(spark, 54_000) <= 300 and footer.tasks_for(spark, 3) == 3 and footer.tasks_for(spark, 1000, 1 << 40) == 1000
