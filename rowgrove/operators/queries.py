@@ -529,9 +529,10 @@ def split_row_groups(spark, d):
 def split_files(spark, d):
     """Files cut by row group without decoding; each is read by its own new footer."""
     to, number = _files(spark, d)
-    made = split.split_files(spark, to, scratch(spark, "cut"))
+    target = scratch(spark, "cut")
+    made = split.split_files(spark, to, target)
     placed = made.select(uri(F.col("file")).alias("_file"), number, "row_group")
-    cut = o.scan(spark, [f.file for f in made.select("file").collect()][0].rsplit("/", 1)[0], ["o_orderkey", "o_totalprice"])
+    cut = o.scan(spark, target, ["o_orderkey", "o_totalprice"])
     return cut.join(o.few(placed), uri(F.col("file")) == F.col("_file")).select("file_no", "row_group", F.col("ord").alias("pos"), "o_orderkey", "o_totalprice")
 
 
