@@ -8,11 +8,13 @@ from collections.abc import Iterator, Sequence
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from ..functions.paths import delete_folder, exists, scratch
 from ..functions.schema import SchemaError, require, same_columns, validate_flat_schema
 from ..functions.shipping import ship
-from . import chunks
-from .stores import file_system
+from . import chunks, footer
+from .stores import KNOWN_SCHEMES, Upload, file_system, read_range, scheme
 
 
 class WriterError(ValueError):
@@ -21,6 +23,8 @@ class WriterError(ValueError):
 
 CODECS = {"none": "uncompressed", "uncompressed": "uncompressed", "snappy": "snappy", "zstd": "zstd"}
 ZSTD_LEVEL = 2
+#: Rows that one task sorts for a file; most pieces of one file, whose data and page indexes are a part of an upload each.
+PIECE_ROWS, MOST_PIECES = 1 << 19, 4_900
 #: Most bytes of a file that is one cell of a DataFrame.
 CELL_BYTES = (1 << 31) - 1024
 
@@ -51,8 +55,8 @@ def write_table(df: DataFrame, path: str, *, mode: str = "overwrite", **layout)
 def write_row_groups(df: DataFrame, path: str, rows_per_group: int, *, order: Sequence[str] = (), declared_rows: int | None = None, columns: Sequence[str] | None = None, mode: str = "overwrite", **layout) -> None:
     """Write one file with row groups of exactly ``rows_per_group`` rows (the last may have fewer), rows by ``order``.
 
-    One file has one writer, so this is a single task: for a table the size of a file. Tables of many files are written by ``write_grouped_files``,
-    in parallel and with the same exact row groups.
+    Up to ``PIECE_ROWS`` rows, or without an order, a single task writes it. Beyond, tasks sort and write pieces of whole row groups, and the pieces' bytes are
+    put together to the one file, undecoded, under a new footer: no task sorts more than a piece.
     """
     validate_flat_schema(df.schema)
     if columns is not None:
@@ -63,9 +67,92 @@ def write_row_groups(df: DataFrame, path: str, rows_per_group: int, *, order: Se
         raise SchemaError("a file without row groups can't be written")
     if declared_rows is not None and n != declared_rows:
         raise SchemaError(f"{n} rows, not the declared {declared_rows}")
+    options = write_options(rows_per_group=rows_per_group, **layout)
+    if order and n > max(PIECE_ROWS, rows_per_group) and scheme(path) in KNOWN_SCHEMES:
+        _write_pieces(df, path, rows_per_group, n, list(order), mode, options)
+        return
     one = df.repartition(1)
     one = one.sortWithinPartitions(*order) if order else one
-    one.write.mode(mode).options(**write_options(rows_per_group=rows_per_group, **layout)).parquet(path)
+    one.write.mode(mode).options(**options).parquet(path)
+
+
+def _write_pieces(df: DataFrame, path: str, rows_per_group: int, n: int, order: list[str], mode: str, options: dict[str, str]) -> None:
+    spark = df.sparkSession
+    if exists(spark, path) and mode in ("errorifexists", "error", "ignore"):
+        if mode == "ignore":
+            return
+        raise SchemaError(f"{path} already exists")
+    rows = -(-max(PIECE_ROWS, -(-n // MOST_PIECES)) // rows_per_group) * rows_per_group
+    count = -(-n // rows)
+    work = scratch(spark, "pieces")
+    try:
+        dealt, by = _dealt_rows(df, order, rows, n, f"{work}/numbered")
+        # Piece k is task k's: rows are dealt by the number itself, not by its hash.
+        dealt = dealt.repartitionById(count, F.col("_piece").cast("int")).sortWithinPartitions("_piece", *by)
+        dealt.select("_piece", *df.columns).write.partitionBy("_piece").options(**options).parquet(f"{work}/written")
+        if mode == "overwrite":
+            delete_folder(spark, path)
+        _join_pieces(spark, f"{work}/written", f"{path}/part-00000-{uuid.uuid4()}.parquet")
+    finally:
+        delete_folder(spark, work)
+
+
+def _dealt_rows(df: DataFrame, order: list[str], rows: int, n: int, numbered: str) -> tuple[DataFrame, list[str]]:
+    """Rows with their piece of ``rows`` rows in sorted order, and the columns that sort a piece.
+
+    Where one whole number per row (an ordinal) says the piece, which is checked by counting, that is it; else rows are sorted in ranges, written and numbered.
+    """
+    if len(order) == 1 and df.schema[order[0]].dataType.typeName() in ("byte", "short", "integer", "long"):
+        piece = F.floor(F.col(order[0]) / rows)
+        found = df.groupBy(piece.alias("p")).count().orderBy("p").limit(-(-n // rows) + 1).collect()
+        if [(r["p"], r["count"]) for r in found] == [(i, min(rows, n - i * rows)) for i in range(-(-n // rows))]:
+            return df.withColumn("_piece", piece), order
+    spark = df.sparkSession
+    mixed = df.withColumn("_tie", F.xxhash64(*df.columns))
+    ranged = mixed.repartitionByRange(-(-n // rows), *order, "_tie").sortWithinPartitions(*order, "_tie").drop("_tie")
+    # The id holds the task's number in its upper bits and the row's place in it in the lower 33.
+    ranged.withColumn("_id", F.monotonically_increasing_id()).write.parquet(numbered)
+    read = spark.read.schema(ranged.withColumn("_id", F.lit(0).cast("long")).schema).parquet(numbered)
+    part, place = F.shiftright("_id", 33), F.col("_id").bitwiseAND((1 << 33) - 1)
+    counts = read.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    starts = counts.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))  # a row for each task
+    met = read.withColumn("_part", part).join(F.broadcast(starts), "_part")
+    return met.withColumn("_piece", F.floor((F.col("_start") + place) / rows)), ["_id"]
+
+
+def _join_pieces(spark, written: str, target: str) -> None:
+    """One file of the row groups of files (``_piece=k``), their bytes and page indexes copied by a task for each; the driver holds the new footer."""
+    piece = F.regexp_extract("path", r"_piece=(\d+)", 1).cast("long")
+    sized = footer.footers(spark, written, "group_entries").groupBy(piece.alias("piece"), "path").agg((F.max(F.col("start") + F.col("length")) - len(chunks.MAGIC)).alias("size"))
+    rows, at = [], len(chunks.MAGIC)
+    for r in sorted(sized.collect(), key=lambda r: r["piece"]):  # a row for each piece
+        rows.append((r["piece"], r["path"], at, r["size"]))
+        at += r["size"]
+    last = len(rows)
+    with Upload(target) as upload:
+        name = upload.id
+
+        def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for r in batch.to_pylist():
+                    part = Upload(target, upload=name)
+                    data = read_range(r["path"], len(chunks.MAGIC), r["size"])
+                    part.put_part(r["piece"] + 1, chunks.MAGIC + data if r["piece"] == 0 else data)
+                    del data
+                    groups, index, count = chunks.moved_groups(r["path"], r["start"] - len(chunks.MAGIC))
+                    part.put_part(last + r["piece"] + 1, index)
+                    yield pa.RecordBatch.from_pylist([{"piece": r["piece"], "rows": count, "index": len(index), "groups": groups}], schema=out)
+
+        out = pa.schema([("piece", pa.int64()), ("rows", pa.int64()), ("index", pa.int64()), ("groups", pa.list_(pa.binary()))])
+        given = spark.createDataFrame(rows, "piece long, path string, start long, size long").repartitionById(last, F.col("piece").cast("int"))
+        done = given.mapInArrow(put, "piece long, rows long, `index` long, groups array<binary>").collect()  # footer entries of one file; sorted here, as Spark's sort would run the tasks twice
+        made = []
+        for r in sorted(done, key=lambda r: r["piece"]):
+            for group in r["groups"]:
+                made.append(chunks.placed_group(bytes(group), at, len(made)))
+            at += r["index"]
+        upload.known(range(1, 2 * last + 1)).put_part(2 * last + 1, chunks.footer_bytes(chunks.file_head(rows[0][1]), made, rows=sum(r["rows"] for r in done)))
+        upload.finish()
 
 
 def write_grouped_files(df: DataFrame, path: str, rows_per_group: int, rows_per_file: int, *, ordinal: str = "ord", mode: str = "overwrite", **layout) -> None:

@@ -6,11 +6,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from rowgrove.operators.oracles import ORACLES
 from rowgrove.operators.queries import QUERIES
 from rowgrove.plans import split
-from rowgrove.sources import chunks, footer, thrift
+from rowgrove.sources import chunks, footer, thrift, writer
 
 from .oracle import connect, same
 
@@ -64,3 +65,34 @@ def test_many_files_share_tasks(spark, tmp_path):
     assert made.count() == 90 and sum(pq.read_table(r.file)["a"].to_pylist() == list(range(n := i + 3 * r.row_group, min(n + 3, i + 7))) for r in made.collect() for i in [int(r.path.split("n=")[1].split("/")[0])]) == 90
     assert len(list(tmp_path.glob("out.report-*/*.parquet"))) <= 4 * spark.sparkContext.defaultParallelism
     assert footer.tasks_for(spark, 54_000) <= 300 and footer.tasks_for(spark, 3) == 3 and footer.tasks_for(spark, 1000, 1 << 40) == 1000
+
+
+@pytest.mark.parametrize("order", [["n"], ["few", "text"], ["text"]])
+def test_a_file_is_sorted_in_pieces(order, spark, tmp_path, monkeypatch):
+    """One task sorted the whole file: the memory of a task grew with the table."""
+    monkeypatch.setattr(writer, "PIECE_ROWS", 1000, raising=False)
+    df = spark.range(12_345).repartition(7).select(F.col("id").alias("n"), (F.col("id") % 3).alias("few"), F.when(F.col("id") % 11 != 0, F.concat(F.lit("text "), F.col("id") % 97)).alias("text"))
+    to = str(tmp_path / "out")
+    for mode in ("overwrite", "overwrite"):
+        writer.write_row_groups(df, to, 300, order=order, page_rows=100, mode=mode)
+    files = list((tmp_path / "out").glob("*"))
+    assert len([f for f in files if f.name.endswith(".parquet")]) == 1
+    found = pq.ParquetFile(next(f for f in files if f.name.endswith(".parquet")))
+    assert [found.metadata.row_group(i).num_rows for i in range(found.num_row_groups)] == [300] * 41 + [45]
+    got, want = found.read().to_pandas(), df.orderBy(*order).toPandas()
+    assert got[order].astype(str).equals(want[order].astype(str)) and got.sort_values("n").reset_index(drop=True).equals(want.sort_values("n").reset_index(drop=True))
+    assert all(found.metadata.row_group(i).column(j).has_column_index and found.metadata.row_group(i).column(j).has_offset_index for i in range(42) for j in range(3))
+    assert spark.read.parquet(to).where("n BETWEEN 5000 AND 5100 AND few = 1").count() == df.where("n BETWEEN 5000 AND 5100 AND few = 1").count()
+    listed = footer.footers(spark, to, "row_groups").orderBy("row_group").collect()
+    assert [r.start_row for r in listed] == [300 * i for i in range(42)]
+    with pytest.raises(Exception, match="exists"):
+        writer.write_row_groups(df, to, 300, order=order, mode="errorifexists")
+
+
+def test_most_memory_of_a_task(spark, tmp_path, monkeypatch):
+    """Rows of a piece go to one task each."""
+    monkeypatch.setattr(writer, "PIECE_ROWS", 1000, raising=False)
+    seen = []
+    monkeypatch.setattr(writer, "_join_pieces", lambda spark, written, target: seen.extend(pq.ParquetFile(f).metadata.num_rows for f in __import__("pathlib").Path(written).rglob("*.parquet")), raising=False)
+    writer.write_row_groups(spark.range(4500), str(tmp_path / "out"), 100, order=["id"])
+    assert sorted(seen) == [500, 1000, 1000, 1000, 1000]
