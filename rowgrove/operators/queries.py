@@ -406,12 +406,15 @@ def page_layout(spark, d):
 
     def pages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            found = []
             for r in batch.itertuples():
                 heads = chunks.page_headers(stores.read_range(r.path, r.start, r.length))
-                yield pd.DataFrame([(r.row_group, r.column, i, kind, n, r.codec) for i, (kind, n, _) in enumerate(heads)], columns=["row_group", "column", "page", "kind", "num_values", "codec"])
+                found += [(r.row_group, r.column, i, kind, n, r.codec) for i, (kind, n, _) in enumerate(heads)]
+            yield pd.DataFrame(found, columns=["row_group", "column", "page", "kind", "num_values", "codec"])
 
     footer.ship(spark)
-    return listed.select("path", "row_group", "column", "codec", "start", "length").mapInPandas(pages, "row_group long, `column` string, page long, kind string, num_values long, codec string")
+    dealt = footer.dealt(listed.select("path", "row_group", "column", "codec", "start", "length"), "length")
+    return dealt.mapInPandas(pages, "row_group long, `column` string, page long, kind string, num_values long, codec string")
 
 
 def schema_order(spark, d):
